@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, packing
+from pyspark.sql import functions as F
+
+from . import chat_format, decontaminate, exact_dedup, language_id, packing, pii, url_filter
+
+#: The rules of the URL query.
+RULES = [
+    url_filter.Rule.of("block", "com/en/"),
+    url_filter.Rule.of("allow", "example.com/en/7"),
+    url_filter.Rule.of("allow", "net/de/"),
+    url_filter.Rule.of("block", "example.net/de/8"),
+    url_filter.Rule.of("block", "org/es/"),
+]
 
 #: Fixed value: the two rows that join the conversations.
 CONTROL_ROWS = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -21,6 +32,25 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(p("byte_bpe_50k.json")), str(p("byte_bpe_50k.tiktoken")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~out).select("text", "lang"))
+    return language_id.predict(docs, model, "doc_id", out.alias("held_out"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("actions")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,7 +61,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_exact_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op10_chat_formatting)}
 
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
