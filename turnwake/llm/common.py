@@ -155,3 +155,13 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int, whole_if_
     found, owner = found[fresh], owner[fresh]
     bounds = np.searchsorted(owner, np.arange(n_rows + 1))
     return found, bounds
+
+
+def bounded(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+    """The batch in slices of at most ``limit`` bytes of a string column, or one longer row."""
+    _, off = utf8_buffer(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

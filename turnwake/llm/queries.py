@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
 
 #: The rules of the URL query.
 RULES = [
@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.clean(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", *(F.col(f"__{c}").alias(c) for c in ("sentences", "removed", "removed_words")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +74,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
 
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
