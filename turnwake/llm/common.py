@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sealed(docs: DataFrame):
+    """(docs with columns c0, c1, ..., a function from an old name to its column, the old names).
+
+    Columns of the input then can't clash with an operator's own.
+    """
+    names = docs.columns
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), lambda name: F.col(f"c{names.index(name)}"), names
+
+
 # ---------------------------------------------------------------- bytes of an Arrow column
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, byte_table, cut, shingles, utf8_buffer, word_hashes
+from .common import NOT_ALNUM, bounded, byte_table, cut, sealed, shingles, utf8_buffer, word_hashes
 
 _TABLE = byte_table(NOT_ALNUM)
 PAIR = "doc_id bigint, row_key bigint, item_id bigint, item_key bigint, shared bigint, item_shingles bigint"
@@ -126,7 +126,7 @@ def _by_broadcast(rows: DataFrame, own: DataFrame, k: int, containment: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = index.value
-        for b in batches:
+        for b in (x for whole in batches for x in bounded(whole, 2)):
             found, bounds = sets(b.column(2), k)
             out = []
             for r, i in sorted(idx.pairs(found, bounds)):
@@ -143,7 +143,7 @@ def _by_broadcast(rows: DataFrame, own: DataFrame, k: int, containment: float) -
 def _by_join(rows: DataFrame, own: DataFrame, k: int, containment: float) -> DataFrame:
     def exploded(limit: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (x for whole in batches for x in bounded(whole, 2)):
                 found, bounds = sets(b.column(2), k)
                 owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 if limit is not None:
@@ -172,6 +172,7 @@ def _by_join(rows: DataFrame, own: DataFrame, k: int, containment: float) -> Dat
 
 def drop_leaked(docs: DataFrame, items: DataFrame, k: int = 5, containment: float = 0.8, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    own = docs.select("*", F.xxhash64("doc_id", "text").alias("__row"))
+    own, at, names = sealed(docs)
     bad = cut(_found(docs, items, k, containment, broadcast_bytes).select("row_key").distinct())
-    return own.join(bad, own["__row"] == bad["row_key"], "left_anti").select(*docs.columns)
+    own = own.withColumn("row", F.xxhash64(at("doc_id"), at("text")))
+    return own.join(bad, F.col("row") == F.col("row_key"), "left_anti").drop("row").toDF(*names)

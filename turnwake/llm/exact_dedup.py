@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sealed
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PARTIAL = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("top", pa.int64()), ("n", pa.int64()), ("n_top", pa.int64()), ("done", pa.bool_())])
@@ -162,12 +162,13 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
     """The documents that stay, with all their columns."""
-    keep = classes(docs, table_bytes).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    fold = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    own = docs.select("*", F.col("doc_id").cast("long").alias("__id"))
-    # Rows that hold the largest id of some class; the id alone cuts most others before texts are hashed.
-    some = own.join(keep, own["__id"].eqNullSafe(keep["__keep"]), "left_semi").withColumn("__hex", fold)
-    best = keep.select(F.lower(F.hex("__digest")).alias("__hex"), "__keep")
-    held = some.join(best, (some["__hex"] == best["__hex"]) & some["__id"].eqNullSafe(best["__keep"]), "left_semi")
-    one = Window.partitionBy("__hex", "__id").orderBy(F.lit(1))
-    return held.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    own, at, names = sealed(docs)
+    keep = classes(docs, table_bytes).select(F.col("digest").alias("digest"), F.col("keep_id").alias("keep"))
+    folded = F.translate(F.coalesce(at("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # The id cuts most rows before their texts are hashed.
+    own = own.withColumn("id", at("doc_id").cast("long"))
+    some = own.join(keep.select(F.col("keep").alias("k")).distinct(), F.col("id").eqNullSafe(F.col("k")), "left_semi").withColumn("hex", F.sha2(folded, 256))
+    best = keep.select(F.lower(F.hex("digest")).alias("h"), "keep")
+    held = some.join(best, (F.col("hex") == F.col("h")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    one = Window.partitionBy("hex", "id").orderBy(F.lit(1))
+    return held.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("id", "hex", "n").toDF(*names)

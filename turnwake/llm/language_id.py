@@ -115,8 +115,8 @@ def fit(labelled: DataFrame, per_label: int = 400, gap: float = 1.0) -> Model |
 
 def predict(docs: DataFrame, model: Model | None, *keep: str | Column) -> DataFrame:
     """The kept columns and lang_pred, score, ambiguous of each row's text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__text_to_tell"))
+    schema = rows.drop("__text_to_tell").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

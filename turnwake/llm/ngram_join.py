@@ -36,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, byte_table, cut, shingles, utf8_buffer, word_hashes
+from .common import WHITE, byte_table, cut, sealed, shingles, utf8_buffer, word_hashes
 from .components import components
 
 _TABLE = byte_table(WHITE)
@@ -71,28 +71,30 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, sizes, texts): whole texts, about BLOCK bytes together."""
+    """(block, ids, keys, sizes, texts): whole texts, about BLOCK bytes together; a key is a hash of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, texts, held = TaskContext.get().partitionId() << 24, [], [], 0
+        at, ids, keys, texts, held = TaskContext.get().partitionId() << 24, [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array([at]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())], ["block", "ids", "sizes", "texts"])
+            cols = [pa.array([at]), pa.array([ids], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())], ["block", "ids", "keys", "sizes", "texts"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, t, key in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = (t.as_py() or "").encode()
                 if texts and (held + len(text) > BLOCK or len(texts) >= 1 << 16):
                     yield out()
-                    at, ids, texts, held = at + 1, [], [], 0
+                    at, ids, keys, texts, held = at + 1, [], [], [], 0
                 ids.append(i)
+                keys.append(key)
                 texts.append(text)
                 held += len(text)
         if texts:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block bigint, ids array<bigint>, sizes array<int>, texts binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("key"))
+    return rows.mapInArrow(run, "block bigint, ids array<bigint>, keys array<bigint>, sizes array<int>, texts binary")
 
 
 def block_sets(sizes: np.ndarray, texts: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def frequencies(parts: DataFrame, k: int, bits: int, range_bits: int) -> DataFra
 
 
 NODE = (
-    "uid bigint, doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, rare int, "
+    "uid bigint, doc_id bigint, row_key bigint, n_shingles bigint, sig1 bigint, sig2 bigint, rare int, "
     "prefix array<struct<token:bigint,pos:int>>, members binary, parts binary"
 )
 
@@ -177,12 +179,12 @@ def with_prefixes(parts: DataFrame, answers: DataFrame, k: int, bits: int, perce
                     members.append(own.tobytes() if hi > lo else None)
                     deal.append(np.minimum(255, np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)).astype(np.uint8).tobytes() if hi > lo else None)
                 uid = pa.array(np.arange(len(ids)) + (block << 16))
-                cols = [uid, pa.array(ids, pa.int64()), pa.array(n), pa.array((sig1[bounds[1:]] - sig1[bounds[:-1]]).view(np.int64)), pa.array((sig2[bounds[1:]] - sig2[bounds[:-1]]).view(np.int64)), pa.array(single.astype(np.int32)), pa.array(prefix, prefix_type), pa.array(members, pa.binary()), pa.array(deal, pa.binary())]
-                out = pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in ("uid", "doc_id", "n_shingles", "sig1", "sig2", "rare", "prefix", "members", "parts")])
+                cols = [uid, pa.array(ids, pa.int64()), pa.array(b.column(5)[j].as_py(), pa.int64()), pa.array(n), pa.array((sig1[bounds[1:]] - sig1[bounds[:-1]]).view(np.int64)), pa.array((sig2[bounds[1:]] - sig2[bounds[:-1]]).view(np.int64)), pa.array(single.astype(np.int32)), pa.array(prefix, prefix_type), pa.array(members, pa.binary()), pa.array(deal, pa.binary())]
+                out = pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in ("uid", "doc_id", "row_key", "n_shingles", "sig1", "sig2", "rare", "prefix", "members", "parts")])
                 for lo in range(0, out.num_rows, 2000):
                     yield out.slice(lo, 2000)
 
-    return parts.join(answers, "block", "left").select("block", "ids", "sizes", "texts", "answers").mapInArrow(run, NODE)
+    return parts.join(answers, "block", "left").select("block", "ids", "sizes", "texts", "answers", "keys").mapInArrow(run, NODE)
 
 
 # ---------------------------------------------------------------- pairs
@@ -364,20 +366,33 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 3) -> DataFram
 
 
 def linked_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id, first): one row per document; ``first`` marks one row of each component."""
+    """(doc_id, row_key, n_shingles, component_id, first): one row per document.
+
+    row_key is a hash of (doc_id, text); first marks one row of each component.
+    """
     parts = cut(blocks(docs))
     volume = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     # About one shingle in six bytes; numbers have 64 places for each, ranges about 4 million.
     bits = min(60, max(24, int(volume // 6).bit_length() + 6))
     range_bits = min(bits - 8, max(6, (int(volume // 6) >> 22).bit_length()))
     rows = cut(with_prefixes(parts, frequencies(parts, k, bits, range_bits), k, bits, percent))
-    slim = rows.select("uid", "doc_id", "n_shingles", "sig1", "sig2")
+    slim = rows.select("uid", "doc_id", "row_key", "n_shingles", "sig1", "sig2")
     reps = slim.filter("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("uid").alias("rep"))
     nodes = cut(rows.filter("members IS NOT NULL").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n_shingles", "rare", "prefix", "members", "parts"))
     labels = node_components(nodes, percent)
-    own = slim.join(reps, ["n_shingles", "sig1", "sig2"], "left").select("uid", "doc_id", "n_shingles", F.coalesce("rep", "uid").alias("rep"))
-    own = own.join(labels, own["rep"] == labels["node"], "left").select("uid", "doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    own = slim.join(reps, ["n_shingles", "sig1", "sig2"], "left").select("uid", "doc_id", "row_key", "n_shingles", F.coalesce("rep", "uid").alias("rep"))
+    own = own.join(labels, own["rep"] == labels["node"], "left").select("uid", "doc_id", "row_key", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     own = cut(own)
     least = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("m"))
     out = own.join(least.select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.uid").alias("kept")), "comp")
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("kept")).alias("first"))
+    return out.select("doc_id", "row_key", "n_shingles", "component_id", (F.col("uid") == F.col("kept")).alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """One document of each component, with all its columns; of rows repeated whole one stays."""
+    own, at, names = sealed(docs)
+    keep = linked_documents(docs, k, percent).filter("first").select(F.col("row_key").alias("keep")).distinct()
+    own = own.withColumn("key", F.xxhash64(at("doc_id"), at("text")))
+    held = own.join(keep, own["key"] == keep["keep"], "left_semi")
+    one = Window.partitionBy("key").orderBy(F.lit(1))
+    return held.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("key", "n").toDF(*names)

@@ -65,7 +65,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("first")
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("first", "row_key")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

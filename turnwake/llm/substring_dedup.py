@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, _powers, bounded, byte_table, cut, mix64, utf8_buffer, word_hashes
+from .common import NOT_ALNUM, _powers, bounded, byte_table, cut, mix64, sealed, utf8_buffer, word_hashes
 
 _TABLE = byte_table(NOT_ALNUM)
 _ENDS = np.zeros(256, bool)
@@ -95,10 +95,11 @@ def clean(docs: DataFrame, min_sentences: int = 2, min_words: int = 30) -> DataF
     """All columns of ``docs``, the text without what other documents or places had before, and
     __sentences, __removed (numbers of sentences) and __removed_words."""
     low = F.lit(-(1 << 63)).cast("long")
-    runs = removed_runs(docs, min_sentences, min_words).select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("runs").alias("__runs"))
-    own = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), low).alias("__d"), F.xxhash64("doc_id", "text").alias("__k"))
-    met = own.join(runs, (own["__d"] == runs["__doc"]) & (own["__k"] == runs["__key"]), "left").select(*docs.columns, "__runs")
-    text_at = docs.columns.index("text")
+    runs = removed_runs(docs, min_sentences, min_words)
+    own, at, names = sealed(docs.withColumn("text", F.col("text").cast("string")))
+    own = own.withColumn("d", F.coalesce(at("doc_id").cast("long"), low)).withColumn("k", F.xxhash64(at("doc_id"), at("text")))
+    met = own.join(runs, (F.col("d") == F.col("doc_id")) & (F.col("k") == F.col("row_key")), "left").drop("d", "k", "doc_id", "row_key")
+    text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,7 +124,7 @@ def clean(docs: DataFrame, min_sentences: int = 2, min_words: int = 30) -> DataF
                     gone[i], gone_words[i] = out.sum(), np.diff(edge[lo[i] : hi[i] + 1])[out].sum()
                 cols = [*b.columns[:-1], pa.array(hi - lo), pa.array(gone), pa.array(gone_words)]
                 cols[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "__sentences", "__removed", "__removed_words"])
+                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "sentences", "removed", "removed_words"])
 
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema.add("__sentences", "long").add("__removed", "long").add("__removed_words", "long")
-    return met.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = met.drop("runs").schema.add("sentences", "long").add("removed", "long").add("removed_words", "long")
+    return met.mapInArrow(run, schema).toDF(*names, "__sentences", "__removed", "__removed_words")
