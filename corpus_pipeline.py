@@ -1,10 +1,53 @@
-"""A corpus pipeline out of the operators in turnwake.llm."""
+"""A corpus pipeline out of the operators in turnwake.llm.
+
+Each stage takes (spark, docs, sf_dir), works on every document that the stage before kept,
+and returns all columns of documents; the last one returns packed sequences.
+
+1. language: documents whose language cannot be told go (no letter, or two codewords all but equally near).
+2. exact: of texts equal after lower-casing A-Z, the row with the largest doc_id stays.
+3. near: of documents linked by word shingles, the one with the smallest doc_id stays.
+4. leaks: documents that hold a benchmark item go.
+5. packing: the documents left, as pieces of sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnwake.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.select("text", "lang"), gap=0.2)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    told = language_id.predict(docs, model, *(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)))
+    return told.filter("lang_pred <> 'und' AND NOT ambiguous").select(*names).toDF(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words and a similarity of 0.8, as for near duplicates in general."""
+    return ngram_join.drop_near_duplicates(docs, k=5, percent=80)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    p = public_tokenizers.path
+    return packing.pack(docs, str(p("byte_bpe_50k.json")), str(p("byte_bpe_50k.tiktoken")))
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("leaks", leaks), ("packing", packed)]
 
-STAGES: list = []
+#: The models, the join and the packing have no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
