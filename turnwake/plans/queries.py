@@ -347,6 +347,6 @@ _RAW_TIMES = f"(SELECT *, strftime(day + to_minutes({_CLOCK.format('dep_clock')}
 
 ORACLE_SQL: dict[str, str] = {k: _BASE.rstrip().removesuffix(",") + (", " if not v.startswith("SELECT") else " ") + v for k, v in _SQL.items()}
 ORACLE_SQL["raw_flights"] = f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM {_RAW_TIMES}"
-ORACLE_SQL["fixture_sample"] = f"""WITH {RAW_SQL}, some AS (SELECT * FROM {_RAW_TIMES} WHERE day IN (DATE '2024-01-10', DATE '2024-01-11')),
-    first5 AS (SELECT carrier, tail FROM (SELECT DISTINCT carrier, tail FROM some WHERE tail IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY carrier ORDER BY md5(tail), tail) <= 5)
-    SELECT {_RAW_COLUMNS} FROM some JOIN first5 USING (carrier, tail)"""
+ORACLE_SQL["fixture_sample"] = f"""WITH {RAW_SQL}, picked AS (SELECT * FROM {_RAW_TIMES} WHERE day IN (DATE '2024-01-10', DATE '2024-01-11')),
+    first5 AS (SELECT carrier, tail FROM (SELECT DISTINCT carrier, tail FROM picked WHERE tail IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY carrier ORDER BY md5(tail), tail) <= 5)
+    SELECT {_RAW_COLUMNS} FROM picked JOIN first5 USING (carrier, tail)"""

@@ -1,4 +1,4 @@
-"""Airports with their time zones: a small fixed table, sent to every task by size."""
+"""Airports with their time zones: a small fixed table."""
 
 from __future__ import annotations
 
@@ -32,4 +32,7 @@ AIRPORTS = (
 def airports(spark: SparkSession, rows: tuple = AIRPORTS) -> DataFrame:
     """(iata, name, city, state, tz, lat, lon), by iata; rows without code or zone are left out."""
     kept = sorted((*r[:5], round(r[5], 5), round(r[6], 5)) for r in rows if r[0] and r[4])
-    return spark.createDataFrame(kept, "iata string, name string, city string, state string, tz string, lat double, lon double").coalesce(1)
+    quoted = lambda v: "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else f"{v!r}D"
+    values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in kept)
+    # Inline values, so that the planner knows how small the table is.
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(iata, name, city, state, tz, lat, lon)")
