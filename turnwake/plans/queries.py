@@ -20,6 +20,7 @@ from ..operators import contagion, descriptive, evaluate, hinge
 from ..operators.lp import Program
 from ..session import prepared
 from ..sources.adapter import RAW_SQL, ZONES, test_flights
+from ..sources.airports import AIRPORTS
 from ..sources.sample import whole_tails
 from . import quality
 from . import warehouse as W
@@ -31,13 +32,13 @@ HINGE_MONTHS = ("2023-12", "2024-01")
 
 
 def plain(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Times as text and doubles rounded, so that engines can be compared."""
+    """Times as text, doubles rounded and without a negative zero, so that engines can be compared."""
     as_text = {T.TimestampType: "yyyy-MM-dd HH:mm:ss", T.DateType: "yyyy-MM-dd"}
 
     def one(f: T.StructField):
         if type(f.dataType) in as_text:
             return F.date_format(f.name, as_text[type(f.dataType)]).alias(f.name)
-        return F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        return (F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
 
     return df.select(*map(one, df.schema))
 
@@ -336,7 +337,7 @@ _SQL: dict[str, str] = {
     "schedule_metrics": f"{_REPLAY} SELECT round(avg((arrival < 15)::INT), 6) AS ontime15, round(avg((arrival + shift < 15)::INT), 6) AS ontime15_clock, round(sum(greatest(arrival + shift, 0)) / count(DISTINCT day), 6) AS clock_late_per_day FROM rp",
     "cell_turns": f"{_CELLS} SELECT origin, dep_hour_local, round(nbar, 6) AS nbar FROM cl",
     "propagated_score": f"{_CELLS} SELECT origin, dep_hour_local, round(score, 6) AS score FROM ps",
-    "marginal_score": f"{_MARGINAL} SELECT origin, dep_hour_local, round(gain / (SELECT days FROM nd) / ({B_MAX} * nbar), 6) AS score FROM ga JOIN cl USING (origin, dep_hour_local)",
+    "marginal_score": f"{_MARGINAL} SELECT origin, dep_hour_local, round(gain / (SELECT days FROM nd) / ({B_MAX} * nbar), 6) + 0.0 AS score FROM ga JOIN cl USING (origin, dep_hour_local)",
     "uniform_policy": f"{_CELLS} SELECT origin, dep_hour_local, round(CASE WHEN nbar > 0 THEN least({B_MAX}, {BUDGET} / (SELECT sum(nbar) FROM cl)) ELSE 0 END, 6)::DOUBLE AS buffer FROM cl",
     "greedy_policy": f"{_GREEDY} SELECT origin, dep_hour_local, round(buffer, 6) AS buffer FROM gr",
     "rounded_policy": f"{_GREEDY} SELECT origin, dep_hour_local, round_even(buffer / 5, 0) * 5 AS buffer FROM gr",
@@ -346,6 +347,45 @@ _RAW_COLUMNS = """day::VARCHAR AS "FlightDate", carrier AS "Reporting_Airline",
 _RAW_TIMES = f"(SELECT *, strftime(day + to_minutes({_CLOCK.format('dep_clock')}) + to_minutes(dep::BIGINT), '%H%M') AS DepTime, strftime(day + to_minutes({_CLOCK.format('arr_clock')}) + to_minutes(arr::BIGINT), '%H%M') AS ArrTime FROM raw)"
 
 ORACLE_SQL: dict[str, str] = {k: _BASE.rstrip().removesuffix(",") + (", " if not v.startswith("SELECT") else " ") + v for k, v in _SQL.items()}
+
+
+def _quality_sql() -> str:
+    """The expectations' names say what they count."""
+    stations = ", ".join(f"('{r[0]}', '{r[4]}')" for r in AIRPORTS)
+    tables = {
+        "airports": f"(SELECT * FROM (VALUES {stations}) v(iata, tz))", "stg_flights": "stg", "int_leg_sequence": "wide", "fct_legs": "legs", "fct_turns": "turns",
+        "int_rotations": "turns", "agg_airport_hour": "(SELECT DISTINCT dep_hour_local FROM stg WHERE NOT is_cancelled)",
+    }
+    fields = {"stg_flights": "flight_id", "airports": "iata", "fct_legs": "flight_id"}
+    values = {"carrier": quality.KNOWN_CARRIERS, "dep_period": ("night", "morning", "afternoon", "evening"), "dep_hour_local": tuple(range(24))}
+    special = {
+        "block_time_consistent": "SELECT * FROM stg WHERE abs(block_time_residual_min) > 30",
+        "legs_ordered": "SELECT * FROM (SELECT *, lag(crs_arr_utc) OVER (PARTITION BY chain_id ORDER BY leg_seq) AS landed FROM legs) WHERE crs_arr_utc <= crs_dep_utc OR landed > crs_dep_utc",
+        "turns_nonnegative": "SELECT * FROM turns WHERE sched_turn_min < 0 OR actual_turn_min < 0",
+    }
+
+    def broken(name: str) -> str:
+        if name in special:
+            return special[name]
+        kind = next(k for k in ("not_null", "unique", "accepted", "related") if name.startswith(k))
+        rest = name.removeprefix(kind + "_")
+        table = next(t for t in tables if rest.startswith(t + "_"))
+        column, source = rest.removeprefix(table + "_"), tables[table]
+        if kind == "not_null":
+            return f"SELECT * FROM {source} WHERE {column} IS NULL"
+        if kind == "unique":
+            return f"SELECT {column} FROM {source} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+        if kind == "accepted":
+            return f"SELECT DISTINCT {column} FROM {source} WHERE {column} NOT IN ({', '.join(map(repr, values[column]))})"
+        parent = next(t for t in fields if column.endswith("_" + t))
+        column = column.removesuffix("_" + parent)
+        return f"SELECT * FROM {source} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {fields[parent]} FROM {tables[parent]})"
+
+    parts = [f"SELECT '{e.name}' AS expectation, count(*) AS broken, {'NULL' if e.warn is None else e.warn} AS w, {'NULL' if e.error is None else e.error} AS e FROM ({broken(e.name)})" for e in quality.EXPECTATIONS]
+    return f"SELECT expectation, broken, CASE WHEN broken > e THEN 'error' WHEN broken > w THEN 'warn' ELSE 'pass' END AS status FROM ({' UNION ALL '.join(parts)})"
+
+
+ORACLE_SQL["dq_report"] = _BASE.rstrip().removesuffix(",") + " " + _quality_sql()
 ORACLE_SQL["raw_flights"] = f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM {_RAW_TIMES}"
 ORACLE_SQL["fixture_sample"] = f"""WITH {RAW_SQL}, picked AS (SELECT * FROM {_RAW_TIMES} WHERE day IN (DATE '2024-01-10', DATE '2024-01-11')),
     first5 AS (SELECT carrier, tail FROM (SELECT DISTINCT carrier, tail FROM picked WHERE tail IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY carrier ORDER BY md5(tail), tail) <= 5)

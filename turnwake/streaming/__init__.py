@@ -1,0 +1,5 @@
+"""Nothing here: every plan of this library is a batch plan over whole months.
+
+A turn needs the leg before it under (carrier, tail), however late that leg's record comes,
+and chains close only with the month; a stream would have to hold both open.
+"""
