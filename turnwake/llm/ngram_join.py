@@ -12,8 +12,7 @@ leave here: their prefix is their own.
    or block.
 2. Equal sets are one node from here on, under a 128-bit signature.
 3. Nodes meet on prefix shingles. For a shingle held by many nodes, each node is first paired
-   with few pivots (the most central node, then nodes in other orders), and verified pairs
-   are contracted. Then every pair left between different components is settled: by a join
+   with the most central one, and verified pairs are contracted. Then every pair left between different components is settled: by a join
    on shingles with few holders, and block against block, inside tasks, on those with many.
    So no group's pairs are ever written out, and none is left out.
 4. Pairs pass a length filter, a positional filter (the places of a shared prefix shingle bound
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, byte_table, cut, sealed, shingles, utf8_buffer, word_hashes
+from .common import WHITE, byte_table, cut, cut_small, sealed, shingles, utf8_buffer, word_hashes
 from .components import components
 
 _TABLE = byte_table(WHITE)
@@ -116,14 +115,15 @@ def frequencies(parts: DataFrame, k: int, bits: int, range_bits: int) -> DataFra
         for b in batches:
             for j in range(b.num_rows):
                 found, _ = block_sets(np.array(b.column(1)[j].as_py(), np.int64), b.column(2)[j].as_py(), k)
+                if not len(found):
+                    continue
                 number, count = np.unique(found >> np.uint64(64 - bits), return_counts=True)
                 owner = (number >> np.uint64(bits - range_bits)).astype(np.int64)
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 out = [(int(owner[lo]), len(number[lo:hi]), packed(number[lo:hi]), pa.compress(count[lo:hi].astype("<u4").tobytes(), "zstd", asbytes=True)) for lo, hi in zip(first, [*first[1:], len(number)], strict=True)]
-                if out:
-                    r, n, v, c = zip(*out, strict=True)
-                    cols = [pa.array(r, pa.int32()), pa.array([b.column(0)[j].as_py()] * len(out), pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.binary()), pa.array(c, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["range", "block", "n", "numbers", "counts"])
+                r, n, v, c = zip(*out, strict=True)
+                cols = [pa.array(r, pa.int32()), pa.array([b.column(0)[j].as_py()] * len(out), pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.binary()), pa.array(c, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["range", "block", "n", "numbers", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
@@ -268,7 +268,7 @@ def settled_in_blocks(live: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     own = own.withColumn("cluster", F.coalesce("cluster", "uid"))
     sizes = own.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
-    own = cut(own.join(main, "cluster").withColumn("probe", F.col("comp") != F.col("main")))
+    own = cut_small(own.join(main, "cluster").withColumn("probe", F.col("comp") != F.col("main")))
     probes = own.groupBy("cluster").agg(F.sum(F.col("probe").cast("int")).alias("n_probe"), F.max("n").alias("n_all"))
     chunks = probes.select("cluster", F.ceil(F.col("n_probe") / CHUNK).cast("int").alias("left"), F.ceil(F.col("n_all") / CHUNK).cast("int").alias("right"))
     own = own.select("cluster", "uid", "comp", "probe").join(chunks, "cluster")
@@ -316,11 +316,11 @@ def settled_in_blocks(live: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def node_components(nodes: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def node_components(nodes: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
     """(node, comp) over the nodes with prefixes; nodes that are their component's least are left out."""
     rows = nodes.select("uid", "n_shingles", "rare", F.explode("prefix").alias("x")).select(F.col("x.token").alias("token"), "uid", "n_shingles", "rare", F.col("x.pos").alias("pos"))
     shared = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    rows = cut(rows.join(shared, "token"))
+    rows = cut_small(rows.join(shared, "token"))
     found, labels = [], None
 
     def contracted() -> DataFrame:
@@ -329,11 +329,11 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 3) -> DataFram
         if labels is not None:
             own = rows.join(labels, rows["uid"] == labels["node"], "left").withColumn("comp", F.coalesce("comp", "uid")).drop("node")
         many = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("token", "n")
-        return cut(own.join(many, "token"))
+        return cut_small(own.join(many, "token"))
 
     def add(new: DataFrame) -> None:
         nonlocal labels
-        found.append(cut(new))
+        found.append(cut_small(new))
         links = found[0]
         for f in found[1:]:
             links = links.unionByName(f)
@@ -348,7 +348,7 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 3) -> DataFram
         rank = F.struct((F.col("rare") / F.col("n_shingles")).alias("x"), F.col("uid")) if r == 0 else F.struct(F.xxhash64("uid", F.lit(r)).alias("x"), F.col("uid"))
         pivot = hot.groupBy("token").agg(F.min_by(F.struct("uid", "comp"), rank).alias("p")).select("token", F.col("p.uid").alias("a"), F.col("p.comp").alias("pc"))
         pairs = hot.join(pivot, "token").filter("comp <> pc").select("a", F.col("uid").alias("b")).distinct()
-        add(verified(cut(plausible(pairs, nodes, percent)), nodes, percent))
+        add(verified(cut_small(plausible(pairs, nodes, percent)), nodes, percent))
     live = contracted()
     x = live.filter(F.col("n") <= HOT).select("token", F.col("uid").alias("a"), F.col("comp").alias("ca"), F.col("pos").alias("i"), F.col("n_shingles").alias("na"))
     y = x.select("token", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("i").alias("j"), F.col("na").alias("nb"))
@@ -358,7 +358,7 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 3) -> DataFram
     total = F.col("na") + F.col("nb")
     once = met.groupBy("a", "b").agg(F.min(most).alias("most"), F.first(total).alias("total"))
     fits = once.filter(F.col("most") * (100 + percent) >= F.col("total") * percent).select("a", "b")
-    add(verified(cut(plausible(fits, nodes, percent)), nodes, percent))
+    add(verified(cut_small(plausible(fits, nodes, percent)), nodes, percent))
     hot = contracted().filter(F.col("n") > HOT)
     if not hot.isEmpty():
         add(settled_in_blocks(hot, nodes, percent))
@@ -382,7 +382,7 @@ def linked_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     labels = node_components(nodes, percent)
     own = slim.join(reps, ["n_shingles", "sig1", "sig2"], "left").select("uid", "doc_id", "row_key", "n_shingles", F.coalesce("rep", "uid").alias("rep"))
     own = own.join(labels, own["rep"] == labels["node"], "left").select("uid", "doc_id", "row_key", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    own = cut(own)
+    own = cut_small(own)
     least = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("m"))
     out = own.join(least.select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.uid").alias("kept")), "comp")
     return out.select("doc_id", "row_key", "n_shingles", "component_id", (F.col("uid") == F.col("kept")).alias("first"))
