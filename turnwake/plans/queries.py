@@ -165,7 +165,7 @@ def _program(w: W.Warehouse) -> Program:
 
 def _optimal(w: W.Warehouse) -> DataFrame:
     program = _program(w)
-    buffers, value, gap = program.solve(BUDGET, 1e-2)
+    buffers, value, gap = program.solve(BUDGET, 2e-3)
     return program.table(buffers).withColumns({"objective": F.lit(value), "gap": F.lit(gap)})
 
 
