@@ -137,6 +137,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "uniform_policy": _query(lambda w: B.uniform(B.cells(_legs(w)), BUDGET, B_MAX)),
     "greedy_policy": _query(_greedy),
     "rounded_policy": _query(lambda w: B.rounded(_greedy(w))),
+    "daily_delay": _query(lambda w: C.delay_by_day(_replay(w))),
+    "daily_buffer": _query(lambda w: C.buffer_by_day(_replay(w))),
+    "turn_features": _query(lambda w: hinge.features(w.turns)),
+    "superspreaders": _query(lambda w: contagion.superspreaders(_events(w), w.airports, 5)),
+    "ranked_hubs": _query(lambda w: evaluate.ranked(descriptive.top_hubs(w.turns, 100), "turns")),
+    "stations_without_test": _query(lambda w: hinge.without_test(hinge.fit(hinge.day_sums(_early(w.turns), "station")), _late(w.turns).filter("dep_hour_local < 3 AND station <> 'ATL'").select(F.col("station").alias("g")).distinct())),
     "fixture_sample": _sample,
     "dq_report": _query(lambda w: quality.report(w.tables)),
 }
@@ -335,6 +341,15 @@ _SQL: dict[str, str] = {
     "avoided_by_day": f"{_REPLAY} SELECT {_D('day')}, round(sum(greatest(arr_delay, 0)) - sum(greatest(arrival, 0)), 6) AS avoided FROM rp GROUP BY rp.day",
     "schedule_shift": f"{_REPLAY} SELECT chain_id, leg_seq, {_D('day')}, shift FROM rp",
     "schedule_metrics": f"{_REPLAY} SELECT round(avg((arrival < 15)::INT), 6) AS ontime15, round(avg((arrival + shift < 15)::INT), 6) AS ontime15_clock, round(sum(greatest(arrival + shift, 0)) / count(DISTINCT day), 6) AS clock_late_per_day FROM rp",
+    "daily_delay": f"{_REPLAY} SELECT {_D('day')}, round(sum(greatest(arrival, 0)), 6) AS delay FROM rp GROUP BY rp.day",
+    "daily_buffer": f"{_REPLAY} SELECT {_D('day')}, sum(b) AS buffer FROM rp GROUP BY rp.day",
+    "turn_features": f"SELECT carrier, station, flight_month, dep_hour_local AS hour, inbound_arr_delay::DOUBLE AS i, sched_turn_min::DOUBLE AS s, outbound_dep_delay::DOUBLE AS y FROM turns WHERE {_USE}",
+    "superspreaders": f"""{_EVENTS}, m AS (SELECT carrier, sum(excess) / sum(x) AS m FROM ce WHERE x >= 15 GROUP BY carrier), ap(origin, name, city, state, tz, lat, lon) AS (VALUES {", ".join(str(r).replace('"', "'").replace("O'H", "O''H") for r in AIRPORTS)})
+        SELECT origin, n_events, primary_min, excess_min, multiplier, carrier_mix, excess_over_mix, name, city, state, round(lat, 5)::DOUBLE AS lat, round(lon, 5)::DOUBLE AS lon FROM
+        (SELECT origin, count(*) AS n_events, round(sum(x), 6) AS primary_min, round(sum(excess), 6) AS excess_min, round(sum(excess) / sum(x), 6) AS multiplier, round(sum(m * x) / sum(x), 6) AS carrier_mix, round(sum(excess - m * x) / sum(x), 6) AS excess_over_mix
+         FROM ce JOIN m USING (carrier) WHERE x >= 15 GROUP BY origin HAVING count(*) >= 5) LEFT JOIN ap USING (origin)""",
+    "ranked_hubs": "SELECT station, count(*) AS turns, CAST(rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS rank FROM turns GROUP BY station",
+    "stations_without_test": f"SELECT DISTINCT station AS g FROM turns WHERE {_USE} AND flight_date <= DATE '{SPLIT}' AND station NOT IN (SELECT station FROM turns WHERE flight_date > DATE '{SPLIT}' AND dep_hour_local < 3 AND station <> 'ATL')",
     "cell_turns": f"{_CELLS} SELECT origin, dep_hour_local, round(nbar, 6) AS nbar FROM cl",
     "propagated_score": f"{_CELLS} SELECT origin, dep_hour_local, round(score, 6) AS score FROM ps",
     "marginal_score": f"{_MARGINAL} SELECT origin, dep_hour_local, round(gain / (SELECT days FROM nd) / ({B_MAX} * nbar), 6) + 0.0 AS score FROM ga JOIN cl USING (origin, dep_hour_local)",
