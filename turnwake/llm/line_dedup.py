@@ -49,27 +49,37 @@ def _meeting(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("short").alias("s")).filter("n > 1 AND s > 0").select("key")
 
 
-def lines(docs: DataFrame, *more: Column) -> DataFrame:
-    low = F.lit(-(1 << 63)).cast("long")
-    rows = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def described(rows: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) rows with the compared form, its size and two hashes."""
     rows = rows.select("doc_id", "line_no", F.lower(F.trim("line")).alias("s"))
     return rows.select("doc_id", "line_no", "s", F.length("s").alias("size"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), F.col("s")).alias("g"))
 
 
+def lines(docs: DataFrame) -> DataFrame:
+    low = F.lit(-(1 << 63)).cast("long")
+    return described(docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")))
+
+
 def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
     """(h, g, near): the first place of the earliest class within one edit, for classes that have an earlier one."""
-    long_ = classes.filter(F.col("size") >= min_chars - 1)
+    long_ = classes.filter(F.col("size") >= min_chars)
     halves = long_.select("h", "g", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(int(i < 2)).alias("short")) for i in range(4)))).alias("x")).select("h", "g", "x.key", "x.short")
     some = halves.join(_meeting(halves), "key").select("h", "g").distinct()
     places = long_.join(some, ["h", "g"]).select("h", "g", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    # A row repeated whole gives a place twice; one line of it is enough.
-    text = lines(docs).select("doc_id", "line_no", "s", "size", "h", "g").join(places, ["doc_id", "line_no", "h", "g"]).dropDuplicates(["h", "g"]).select("h", "g", "first", "s", "size")
+    # Documents meet the line numbers wanted of them, so that a text crosses the network once and
+    # not line by line. A row repeated whole gives a place twice; one line of it is enough.
+    wanted = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    low = F.lit(-(1 << 63)).cast("long")
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), "text").join(wanted, "doc_id")
+    picked = whole.withColumn("all", F.split("text", "\n", -1)).select("doc_id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.try_element_at("all", i + 1).alias("line")))).alias("x"))
+    picked = described(picked.select("doc_id", "x.line_no", "x.line").filter("line IS NOT NULL"))
+    text = picked.join(places, ["doc_id", "line_no", "h", "g"]).dropDuplicates(["h", "g"]).select("h", "g", "first", "s", "size")
     text = cut(text)
     each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * WINDOWS - 1)), lambda i: F.struct((F.col("size") - F.floor(i / WINDOWS).cast("int")).alias("n"), (i % WINDOWS).alias("j"))))
     windows = text.select("h", "g", "first", "s", "size", each.alias("x")).select("h", "g", "first", "s", "size", "x.n", "x.j")
     lo, hi = _bounds(F.col("n"), F.col("j"), WINDOWS)
     short = F.col("n") == F.col("size")
-    windows = windows.filter("n > 0").select(
+    windows = windows.filter(F.col("n") >= min_chars).select(
         "h", "g", "first", _key(F.col("s"), F.col("size"), F.col("n"), F.col("j"), WINDOWS).alias("key"), short.cast("int").alias("short"),
         F.substring(F.col("s"), lo + 1, F.col("size") - lo - (F.col("n") - hi)).alias("w"),
     )
@@ -90,8 +100,8 @@ def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     near = variants.join(met, "v").select("h", "g", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
     near = near.groupBy("h", "g").agg(F.min("o").alias("o")).select("h", "g", F.col("o.first").alias("near"), F.col("o.h").alias("oh"), F.col("o.g").alias("og"))
-    own, theirs = text.select("h", "g", "s", "size"), text.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("s").alias("os"), F.col("size").alias("osize"))
-    checked = near.join(own, ["h", "g"]).join(theirs, ["oh", "og"]).filter((F.levenshtein("s", "os", 1) >= 0) & (F.least("size", "osize") >= min_chars))
+    own, theirs = text.select("h", "g", "s"), text.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("s").alias("os"))
+    checked = near.join(own, ["h", "g"]).join(theirs, ["oh", "og"]).filter(F.levenshtein("s", "os", 1) >= 0)
     return checked.select("h", "g", "near")
 
 
