@@ -1,4 +1,8 @@
-"""Expectations on tables: each is a plan for the rows that break it."""
+"""Expectations on tables: each is a plan for the rows that break it.
+
+Those that a row breaks by itself are counted together, in one pass over their table; keys
+and references take a plan each.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .warehouse import BLOCK_TOLERANCE_MIN
@@ -16,16 +20,25 @@ Tables = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class Expectation:
-    """``broken`` gives the breaking rows; above ``warn`` rows it warns, above ``error`` it fails (None: never)."""
+    """``broken`` gives the breaking rows; above ``warn`` rows it warns, above ``error`` it fails (None: never).
+
+    ``table`` and ``bad`` say the same of an expectation that single rows break.
+    """
 
     name: str
     broken: Callable[[Tables], DataFrame]
     warn: int | None = None
     error: int | None = 0
+    table: str | None = None
+    bad: Callable[[], Column] | None = None
+
+
+def of_rows(name: str, table: str, bad: Callable[[], Column], warn: int | None = None, error: int | None = 0) -> Expectation:
+    return Expectation(name, lambda t: t[table].filter(bad()), warn, error, table, bad)
 
 
 def not_null(table: str, column: str) -> Expectation:
-    return Expectation(f"not_null_{table}_{column}", lambda t: t[table].filter(F.col(column).isNull()).select(column))
+    return of_rows(f"not_null_{table}_{column}", table, lambda: F.col(column).isNull())
 
 
 def unique(table: str, column: str) -> Expectation:
@@ -33,8 +46,7 @@ def unique(table: str, column: str) -> Expectation:
 
 
 def accepted(table: str, column: str, values: tuple, warn_only: bool = False) -> Expectation:
-    bad = lambda t: t[table].filter(~F.col(column).isin(*values)).groupBy(column).agg(F.count("*").alias("n"))
-    return Expectation(f"accepted_{table}_{column}", bad, 0 if warn_only else None, None if warn_only else 0)
+    return of_rows(f"accepted_{table}_{column}", table, lambda: ~F.col(column).isin(*values), 0 if warn_only else None, None if warn_only else 0)
 
 
 def related(table: str, column: str, parent: str, field: str) -> Expectation:
@@ -45,20 +57,12 @@ def related(table: str, column: str, parent: str, field: str) -> Expectation:
     return Expectation(f"related_{table}_{column}_{parent}", bad)
 
 
-def _block_time(t: Tables) -> DataFrame:
-    return t["stg_flights"].filter(F.abs("block_time_residual_min") > BLOCK_TOLERANCE_MIN).select("flight_id", "block_time_residual_min")
-
-
 def _unordered(t: Tables) -> DataFrame:
     landed = F.lag("crs_arr_utc").over(Window.partitionBy("chain_id").orderBy("leg_seq"))
     rows = t["fct_legs"].select("chain_id", "leg_seq", "crs_dep_utc", "crs_arr_utc").withColumn("landed", landed)
     return rows.filter((F.col("crs_arr_utc") <= F.col("crs_dep_utc")) | (F.col("landed") > F.col("crs_dep_utc")))
 
 
-def _negative(t: Tables) -> DataFrame:
-    return t["fct_turns"].filter("sched_turn_min < 0 OR actual_turn_min < 0").select("turn_id", "sched_turn_min", "actual_turn_min")
-
-
 #: Carriers that are expected.
 KNOWN_CARRIERS = ("AA", "AS", "B6", "DL", "F9", "G4", "HA", "MQ", "NK", "OH", "OO", "UA", "WN", "YX", "9E", "QX", "ZW", "PT", "C5", "G7", "EV", "CP")
 
@@ -91,16 +95,25 @@ EXPECTATIONS: tuple[Expectation, ...] = (
     not_null("fct_legs", "chain_id"),
     accepted("fct_legs", "dep_period", ("night", "morning", "afternoon", "evening")),
     accepted("agg_airport_hour", "dep_hour_local", tuple(range(24))),
-    Expectation("block_time_consistent", _block_time, 0, 1000),
+    of_rows("block_time_consistent", "stg_flights", lambda: F.abs("block_time_residual_min") > BLOCK_TOLERANCE_MIN, 0, 1000),
     Expectation("legs_ordered", _unordered),
-    Expectation("turns_nonnegative", _negative),
+    of_rows("turns_nonnegative", "fct_turns", lambda: (F.col("sched_turn_min") < 0) | (F.col("actual_turn_min") < 0)),
 )
 
 
 def report(tables: Tables, expectations: tuple[Expectation, ...] = EXPECTATIONS) -> DataFrame:
     """(expectation, broken, status): how many rows break each; one job for all."""
-    counts = [e.broken(tables).agg(F.count("*").alias("broken")).select(F.lit(e.name).alias("expectation"), "broken", F.lit(e.warn).cast("long").alias("warn"), F.lit(e.error).cast("long").alias("error")) for e in expectations]
-    all_ = reduce(DataFrame.unionByName, counts)
+    limits = lambda e: (F.lit(e.warn).cast("long").alias("warn"), F.lit(e.error).cast("long").alias("error"))
+    parts = []
+    for table in dict.fromkeys(e.table for e in expectations if e.table):
+        own = [e for e in expectations if e.table == table]
+        once = tables[table].agg(*(F.count_if(e.bad()).alias(e.name) for e in own))
+        each = F.explode(F.array(*(F.struct(F.lit(e.name).alias("expectation"), F.col(e.name).alias("broken"), *limits(e)) for e in own)))
+        parts.append(once.select(each.alias("x")).select("x.*"))
+    for e in expectations:
+        if not e.table:
+            parts.append(e.broken(tables).agg(F.count("*").alias("broken")).select(F.lit(e.name).alias("expectation"), "broken", *limits(e)))
+    all_ = reduce(DataFrame.unionByName, parts)
     status = F.when(F.col("broken") > F.col("error"), "error").when(F.col("broken") > F.col("warn"), "warn").otherwise("pass")
     return all_.select("expectation", "broken", status.alias("status"))
 

@@ -391,7 +391,7 @@ def _quality_sql() -> str:
         if kind == "unique":
             return f"SELECT {column} FROM {source} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
         if kind == "accepted":
-            return f"SELECT DISTINCT {column} FROM {source} WHERE {column} NOT IN ({', '.join(map(repr, values[column]))})"
+            return f"SELECT * FROM {source} WHERE {column} NOT IN ({', '.join(map(repr, values[column]))})"
         parent = next(t for t in fields if column.endswith("_" + t))
         column = column.removesuffix("_" + parent)
         return f"SELECT * FROM {source} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {fields[parent]} FROM {tables[parent]})"
