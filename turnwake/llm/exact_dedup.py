@@ -163,12 +163,10 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
     """The documents that stay, with all their columns."""
     own, at, names = sealed(docs)
-    keep = classes(docs, table_bytes).select(F.col("digest").alias("digest"), F.col("keep_id").alias("keep"))
+    keep = classes(docs, table_bytes).select("digest", F.col("keep_id").alias("keep"))
     folded = F.translate(F.coalesce(at("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # The id cuts most rows before their texts are hashed.
-    own = own.withColumn("id", at("doc_id").cast("long"))
-    some = own.join(keep.select(F.col("keep").alias("k")).distinct(), F.col("id").eqNullSafe(F.col("k")), "left_semi").withColumn("hex", F.sha2(folded, 256))
+    own = own.withColumn("id", at("doc_id").cast("long")).withColumn("hex", F.sha2(folded, 256))
     best = keep.select(F.lower(F.hex("digest")).alias("h"), "keep")
-    held = some.join(best, (F.col("hex") == F.col("h")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    held = own.join(best, (F.col("hex") == F.col("h")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
     one = Window.partitionBy("hex", "id").orderBy(F.lit(1))
     return held.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("id", "hex", "n").toDF(*names)
