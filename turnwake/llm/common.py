@@ -83,18 +83,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
+SLICE = (1 << 20) - 1  # bytes of whole rows that are hashed at once; their powers take 16 MB
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept at the next power of two."""
-    size = 1 << max(10, int(n - 1).bit_length())
-    if size not in _POWERS:
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS.clear()
-        _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n at least; those of a slice are kept."""
+    if _POWERS and n <= len(_POWERS[0]):
+        return _POWERS[0], _POWERS[1]
+    size = max(SLICE + 1, n)
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    if size == SLICE + 1:
+        _POWERS[:] = [up, down]
+    return up, down
 
 
 def byte_table(separators: bytes, fold: bool = True) -> np.ndarray:
@@ -117,12 +121,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
     A word is a run of bytes with a non-zero code inside one row; the hash is a polynomial
     in the codes, so it does not depend on where the word stands. Work goes on in slices of
-    whole rows of some MB, so that very long texts need memory in proportion to themselves only.
+    whole rows of a MB, so that very long texts need memory in proportion to themselves only.
     """
     hashes, rows, starts, ends = [], [], [], []
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (4 << 20), "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
         lo, hi = int(offsets[first]), int(offsets[last])
         if hi > lo:
             code = table[raw[lo:hi]]
@@ -134,7 +138,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
             before, now = inside[:-1], inside[1:]
             begin = np.flatnonzero(now & (~before | edge))
             end = np.flatnonzero(before & (~now | edge))
-            up, down = _powers(hi - lo + 1)
+            up, down = powers(hi - lo + 1)
             total = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum(code * up[: hi - lo], out=total[1:])
             hashes.append(mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))

@@ -320,7 +320,8 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 1) -> DataFram
     """(node, comp) over the nodes with prefixes; nodes that are their component's least are left out."""
     rows = nodes.select("uid", "n_shingles", "rare", F.explode("prefix").alias("x")).select(F.col("x.token").alias("token"), "uid", "n_shingles", "rare", F.col("x.pos").alias("pos"))
     shared = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    rows = cut_small(rows.join(shared, "token"))
+    # Cut, so that the join shuffles both sides anew and can split a shingle that many hold.
+    rows = cut_small(rows.join(cut_small(shared), "token"))
     found, labels = [], None
 
     def contracted() -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, _powers, bounded, byte_table, cut, mix64, sealed, utf8_buffer, word_hashes
+from .common import NOT_ALNUM, bounded, byte_table, cut, cut_small, mix64, powers, sealed, utf8_buffer, word_hashes
 
 _TABLE = byte_table(NOT_ALNUM)
 _ENDS = np.zeros(256, bool)
@@ -59,7 +59,7 @@ def spans(raw: np.ndarray, off: np.ndarray, min_sentences: int, min_words: int)
     i, stop = i[inside], stop[inside]
     same = row[stop - 1] == row[i]
     i, stop = i[same], stop[same]
-    up, down = _powers(len(words) + 1)
+    up, down = powers(len(words) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
     a, b = edge[i], edge[stop]
     h = mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
@@ -85,7 +85,8 @@ def removed_runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFra
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string"))
     all_ = rows.mapInArrow(run, "h bigint, doc_id bigint, row_key bigint, start int, n int")
     repeated = all_.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("times")).filter("times > 1").select("h", "first_doc")
-    hits = cut(all_.join(repeated, "h"))
+    # Cut, so that the join shuffles both sides anew and can split a span that stands everywhere.
+    hits = cut(all_.join(cut_small(repeated), "h"))
     first = hits.filter("doc_id = first_doc").groupBy("h").agg(F.min(F.struct("row_key", "start")).alias("f")).select("h", F.col("f.row_key").alias("fk"), F.col("f.start").alias("fs"))
     later = hits.join(first, "h").filter("NOT (doc_id = first_doc AND row_key = fk AND start = fs)")
     return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
