@@ -63,9 +63,10 @@ def lines(docs: DataFrame) -> DataFrame:
 def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
     """(h, g, near): the first place of the earliest class within one edit, for classes that have an earlier one."""
     long_ = classes.filter(F.col("size") >= min_chars)
-    halves = long_.select("h", "g", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(int(i < 2)).alias("short")) for i in range(4)))).alias("x")).select("h", "g", "x.key", "x.short")
-    some = halves.join(_meeting(halves), "key").select("h", "g").distinct()
-    places = long_.join(some, ["h", "g"]).select("h", "g", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    halves = long_.select("h", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(int(i < 2)).alias("short")) for i in range(4)))).alias("x")).select("h", "x.key", "x.short")
+    # One hash of a class is enough to find those that go on; both tell classes apart from here.
+    some = halves.join(_meeting(halves), "key").select("h").distinct()
+    places = long_.join(some, "h").select("h", "g", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     # Documents meet the line numbers wanted of them, so that a text crosses the network once and
     # not line by line. A row repeated whole gives a place twice; one line of it is enough.
     wanted = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
