@@ -177,6 +177,25 @@ def test_terms_that_reveal_an_entity(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.sanitise(None, []) is None
 
 
+def flagged_words(rows, got):
+    """{doc_id: the words of its term spans}"""
+    text = {d: t for d, t, *_ in rows}
+    return {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["actions"] if s["kind"] == 4] for r in got}
+
+
+def test_terms_of_rare_entities(spark):
+    rng = random.Random(2)
+    some = lambda n: " ".join(f"word{rng.randrange(30)}" for _ in range(n))
+    rows = [(i, some(12)) for i in range(4000)] + [(5000, f"{some(3)} Xanadu kim@corp.example {some(3)}")]
+    found = flagged_words(rows, pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found.pop(5000) == ["Xanadu"] and not any(found.values())
+    # In a small corpus a single place proves little, three of one document do.
+    rows = [(i, some(40)) for i in range(200)] + [(300, f"{some(9)} Ophir lee@corp.example {some(9)}")]
+    rows += [(301, " ".join(f"{some(9)} Ultima kay@corp.example {some(9)}" for _ in range(3)))]
+    found = flagged_words(rows, pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found.pop(301) == ["Ultima"] * 3 and not any(found.values())
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{TEST}/benchmark.parquet").collect()]

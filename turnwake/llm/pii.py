@@ -3,10 +3,13 @@
 Base spans (email, ip, card, phone) are the protected entities. A term near a mention of an
 entity discloses it as far as seeing the term makes the entity likely: with document counts
 over the whole corpus, PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t))) of the entity's
-information IC(e) = log2(N / n(e)) is revealed. A term with PMI / IC of at least ``generalise``
-is written as its kind, from ``remove`` on it is taken out, provided it stands by the entity
-in at least ``support`` different windows of words, so that copies of one passage are one
-piece of evidence. Terms are taken from ``window`` words on both sides of a mention.
+information IC(e) = log2(N / n(e)) is revealed. A term whose share PMI / IC is at least
+``generalise`` is written as its kind, from ``remove`` on it is taken out. There is no least
+number of mentions: for n(e, t) stands what can be said of it with confidence ``sure``, the lower
+limit of a Poisson mean seen as often as there are different windows of words, also inside one
+document. Copies of one passage are so one piece of evidence, and one piece costs 2 bits: too
+much for an entity of a few bits, little for a rare one of a large corpus. Terms are taken from
+``window`` words on both sides of a mention.
 
 One pass finds base spans and windows (a row per document, cut), one counts the terms of all
 documents (pre-aggregated in each task). Pairs meet in shuffles on their keys.
@@ -21,11 +24,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, bounded, byte_table, cut, utf8_buffer, word_hashes
@@ -184,28 +188,34 @@ def document_frequencies(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, support: int, generalise: float) -> DataFrame:
+def certain(n: Column, sure: float) -> Column:
+    """log2 of the lower limit of a Poisson mean over its observed count (Wilson-Hilferty)."""
+    return 3 * F.log2(1 - 1 / (9 * n) - NormalDist().inv_cdf(sure) / (3 * F.sqrt(n)))
+
+
+def disclosing(scanned: DataFrame, docs: DataFrame, sure: float, generalise: float) -> DataFrame:
     """(entity, term, share): the terms that reveal at least ``generalise`` of an entity's information."""
     total = scanned.count()
     near = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.window")
     # Distinct documents and windows are counted in two steps, so that no group of copies meets in one task.
-    pairs = near.groupBy("entity", "term", "uid").agg(F.min("window").alias("window")).groupBy("entity", "term", "window").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("windows")).filter(F.col("windows") >= support)
+    pairs = near.groupBy("entity", "term", "uid").agg(F.collect_set("window").alias("w")).select("entity", "term", F.posexplode("w").alias("i", "window"))
+    pairs = pairs.groupBy("entity", "term", "window").agg(F.sum((F.col("i") == 0).cast("long")).alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("windows"))
     entities = near.groupBy("entity", "uid").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     all_ = pairs.join(entities, "entity").join(document_frequencies(docs), "term")
     info = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
-    share = F.when(info > 0, F.round(pmi / info, 9))
+    share = F.when(info > 0, F.round((pmi + certain(F.col("windows"), sure)) / info, 9))
     return all_.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
 
 
-def find(docs: DataFrame, window: int = 5, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def find(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, actions): one row per document.
 
     actions: array<struct<start, kind, end, action>>, what sanitising does with each span.
     """
     scanned = cut(scan(docs, window))
-    flagged = disclosing(scanned, docs, support, generalise)
+    flagged = disclosing(scanned, docs, sure, generalise)
     near = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.start", "x.end")
     hits = near.join(flagged, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("share").alias("share"))
     one = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
