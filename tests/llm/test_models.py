@@ -196,6 +196,17 @@ def test_terms_of_rare_entities(spark):
     assert found.pop(301) == ["Ultima"] * 3 and not any(found.values())
 
 
+def test_terms_are_sought_in_whole_documents(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"wörd{rng.randrange(30)}" for _ in range(n))
+    rows = [(i, some(40)) for i in range(400)]
+    rows += [(500 + i, f"Zanzibar {some(200)} {rng.getrandbits(64):x}{'q' * 500} joe@corp.example {some(9)} ZANZIBAR, joe@zanzibar.example") for i in range(6)]
+    rows += [(600, f"{some(20)} zanzibar {some(20)}")]
+    found = flagged_words(rows, pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert all(found.pop(500 + i) == ["Zanzibar", "ZANZIBAR"] for i in range(6)) and found.pop(600) == ["zanzibar"]
+    assert not any(found.values())
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{TEST}/benchmark.parquet").collect()]

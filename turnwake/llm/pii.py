@@ -1,18 +1,21 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
-Base spans (email, ip, card, phone) are the protected entities. A term near a mention of an
-entity discloses it as far as seeing the term makes the entity likely: with document counts
+Base spans (email, ip, card, phone) are the protected entities. A term that stands in documents
+of an entity discloses it as far as seeing the term makes the entity likely: with document counts
 over the whole corpus, PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t))) of the entity's
 information IC(e) = log2(N / n(e)) is revealed. A term whose share PMI / IC is at least
-``generalise`` is written as its kind, from ``remove`` on it is taken out. There is no least
-number of mentions: for n(e, t) stands what can be said of it with confidence ``sure``, the lower
-limit of a Poisson mean seen as often as there are different windows of words, also inside one
-document. Copies of one passage are so one piece of evidence, and one piece costs 2 bits: too
-much for an entity of a few bits, little for a rare one of a large corpus. Terms are taken from
-``window`` words on both sides of a mention.
-
-One pass finds base spans and windows (a row per document, cut), one counts the terms of all
-documents (pre-aggregated in each task). Pairs meet in shuffles on their keys.
+``generalise`` is written as its kind, from ``remove`` on it is taken out, wherever in the corpus
+it stands outside base spans. There is no least number of mentions: for n(e, t) stands what can be
+said of it with confidence ``sure``, the lower limit of a Poisson mean seen as often as there are
+different surroundings (``window`` words on both sides) of the entity in documents of the term,
+also inside one document. Copies of one passage are so one piece of evidence, and one piece costs
+2 bits: too much for an entity of a few bits, little for a rare one of a large corpus.
+
+One pass finds mentions and terms of documents with entities, one counts the terms of all
+documents (pre-aggregated in each task). As n(e, t) <= n(e), a term in more than
+N ** (1 - g) * n(e) ** g documents cannot reveal the share g of e; only rarer ones are paired with
+the entities of their documents. A last pass finds where the flagged terms stand: a bitmap of fixed
+size over their hashes keeps most other words out, and a join on the hash decides.
 
 Defined results: null text counts as empty and has no spans; repeated rows are treated each
 for itself and count as documents; a corpus whose every document holds an entity has nothing
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, bounded, byte_table, cut, utf8_buffer, word_hashes
+from .common import NOT_ALNUM, bounded, byte_table, cut, cut_small, utf8_buffer, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,9 +44,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-REACH = 400  # characters on both sides of a mention in which its window of words is sought
+BITS = 25  # of a hash, in the bitmap of flagged terms: 4 MB, whatever the input
 
 
 def luhn(digits: str) -> bool:
@@ -81,69 +83,87 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def near_words(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, str]]:
-    """(which span, start, end, word) of the words about each span; none of them inside a span."""
-    covered = [(a, b) for a, _, b in spans]
-    out = []
-    for i, (a, _, b) in enumerate(spans):
-        lo = max(0, a - REACH)
-        before = [(m.start() + lo, m[0]) for m in WORD.finditer(text[lo:a]) if m.start() or not lo]
-        after = [(m.start() + b, m[0]) for m in WORD.finditer(text[b : b + REACH]) if m.end() < REACH or b + REACH >= len(text)]
-        for at, w in [*before[-window:], *after[:window]]:
-            if not any(s < at + len(w) and at < e for s, e in covered):
-                out.append((i, at, at + len(w), w))
-    return out
-
-
 _TABLE = byte_table(NOT_ALNUM)
+BASE = "base array<struct<start:int,kind:int,end:int>>"
+COUNTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string"
 
 
-def term_hashes(words: list[str]) -> np.ndarray:
-    """The hash of each word, as the corpus counts have it."""
-    raw, off = utf8_buffer(pa.array(words, pa.string()))
-    return word_hashes(raw, off, _TABLE)[0].view(np.int64)
+def free_words(text: pa.Array, spans: list[list[tuple[int, int, int]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, starts, ends in characters) of the words of each text that touch no span."""
+    raw, off = utf8_buffer(text)
+    words, rows, starts, ends = word_hashes(raw, off, _TABLE)
+    chars = np.concatenate([np.zeros(1, np.int64), np.cumsum((raw & 0xC0) != 0x80)])
+    at = np.searchsorted(rows, np.arange(len(spans) + 1))
+    for i, found in enumerate(spans):
+        part = slice(at[i], at[i + 1])
+        w, a, b = words[part].view(np.int64), chars[starts[part]] - chars[off[i]], chars[ends[part]] - chars[off[i]]
+        if found and len(w):
+            reach = np.concatenate([np.zeros(1, np.int64), np.maximum.accumulate([e for *_, e in found])])
+            free = reach[np.searchsorted([s for s, *_ in found], b, "left")] <= a
+            w, a, b = w[free], a[free], b[free]
+        yield w, a, b
 
 
-SCANNED = (
-    "uid bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
-    "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,term:bigint,window:bigint,start:int,end:int>>"
-)
+def code(s: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
 
 
 def scan(docs: DataFrame, window: int) -> DataFrame:
-    """A row per document: base spans and the words about them, keyed by a row number of the task."""
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("window", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-    base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-
-    def code(s: str) -> int:
-        return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
+    """(uid, mentions, terms) of each document with base spans, keyed by a row number of the task."""
+    pair = pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            counts, sha, base, found, words = [], [], [], [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                spans = base_spans(text)
-                counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
-                sha.append(hashlib.sha256(joined(spans).encode()).hexdigest())
-                base.append([{"start": a, "kind": k, "end": e} for a, k, e in spans])
-                near = near_words(text, spans, window) if spans else []
-                entity = {i: code(f"{k}:{text[a:e].lower()}") for i, (a, k, e) in enumerate(spans)}
-                seen = {i: code(" ".join(w.lower() for j, _, _, w in near if j == i)) for i in entity}
-                found.append([(entity[i], seen[i], a, e) for i, a, e, _ in near])
-                words += [w for *_, w in near]
-            terms, at, near_rows = term_hashes(words).tolist() if words else [], 0, []
-            for part in found:
-                near_rows.append([{"entity": x, "term": terms[at + j], "window": w, "start": a, "end": e} for j, (x, w, a, e) in enumerate(part)])
-                at += len(part)
+        for b in (x for whole in batches for x in bounded(whole, 0)):
+            texts = b.column(0).to_pylist()
+            spans = [base_spans(t or "") for t in texts]
+            some = [i for i, s in enumerate(spans) if s]
+            if not some:
+                continue
+            mentions, terms = [], []
+            for i, (w, start, end) in zip(some, free_words(b.column(0).take(pa.array(some)), [spans[i] for i in some]), strict=True):
+                seen = set()
+                for a, k, e in spans[i]:
+                    before, after = np.searchsorted(end, a, "right"), np.searchsorted(start, e, "left")
+                    around = np.concatenate([w[max(0, before - window) : before], np.zeros(1, np.int64), w[after : after + window]])
+                    seen.add((code(f"{k}:{texts[i][a:e].lower()}".encode()), code(around.tobytes())))
+                mentions.append([{"entity": x, "window": y} for x, y in sorted(seen)])
+                terms.append(np.unique(w))
+            ids, uid = pa.array(range(uid, uid + len(some)), pa.int64()), uid + len(some)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(mentions, pair), pa.array(terms, pa.list_(pa.int64()))], ["uid", "mentions", "terms"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "uid bigint, mentions array<struct<entity:bigint,window:bigint>>, terms array<bigint>")
+
+
+def locate(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """A row per document: base spans and the words that may be flagged terms, keyed by a row number of the task."""
+    base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    bit = F.shiftrightunsigned("term", 64 - BITS)
+    # 2**19 rows at most.
+    known = flagged.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITS - 6), np.int64)
+    bitmap[known.column("at").to_numpy()] = known.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid, bits = TaskContext.get().partitionId() << 40, shared.value.view(np.uint64)
+        for b in (x for whole in batches for x in bounded(whole, 1)):
+            spans = [base_spans(t or "") for t in b.column(1).to_pylist()]
+            counts = [[sum(k == i for _, k, _ in s) for s in spans] for i in range(4)]
+            sha = [hashlib.sha256(joined(s).encode()).hexdigest() for s in spans]
+            base = [[{"start": a, "kind": k, "end": e} for a, k, e in s] for s in spans]
+            near = []
+            for w, start, end in free_words(b.column(1), spans):
+                top = w.view(np.uint64) >> np.uint64(64 - BITS)
+                hit = np.flatnonzero((bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
+                near.append([{"term": t, "start": s, "end": e} for t, s, e in zip(w[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)])
             n = b.num_rows
             ids, uid = pa.array(range(uid, uid + n), pa.int64()), uid + n
-            kinds = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-            cols = [ids, b.column(0), *kinds, pa.array(sha, pa.string()), pa.array(base, base_type), pa.array(near_rows, near_type)]
+            cols = [ids, b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(base, base_type), pa.array(near, near_type)]
             yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"uid bigint, doc_id bigint, {COUNTS}, {BASE}, near array<struct<term:bigint,start:int,end:int>>")
 
 
 def document_frequencies(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
@@ -193,20 +213,31 @@ def certain(n: Column, sure: float) -> Column:
     return 3 * F.log2(1 - 1 / (9 * n) - NormalDist().inv_cdf(sure) / (3 * F.sqrt(n)))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, sure: float, generalise: float) -> DataFrame:
-    """(entity, term, share): the terms that reveal at least ``generalise`` of an entity's information."""
-    total = scanned.count()
-    near = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.window")
+def disclosing(docs: DataFrame, window: int, sure: float, generalise: float) -> DataFrame:
+    """(term, share): the terms that reveal at least ``generalise`` of some entity's information."""
+    total = float(docs.count())
+    scanned = cut(scan(docs, window))
+    mentions = scanned.select("uid", F.explode("mentions").alias("x")).groupBy("uid", "x.entity").agg(F.collect_set("x.window").alias("windows"))
+    known = cut_small(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < total))
+    most = known.agg(F.max("n_entity")).first()[0] or 0
+    cap = lambda n: F.pow(F.lit(total), 1 - generalise) * F.pow(n, generalise) * (1 + 1e-6)
+    rare = cut_small(document_frequencies(docs).filter(F.col("n_term") <= cap(F.lit(float(most)))))
+    mentions = mentions.join(known, "entity").select("uid", "n_entity", F.struct("entity", "windows").alias("m"))
+    # Of entities that no other document has, the one with most windows has the largest share of every term.
+    alone = mentions.filter("n_entity = 1").groupBy("uid", "n_entity").agg(F.max_by("m", F.size("m.windows")).alias("m"))
+    spoken = cut_small(alone.unionByName(mentions.filter("n_entity > 1")).select("uid", "n_entity", "m.entity", "m.windows"))
+    bounds = spoken.groupBy("uid").agg(cap(F.max("n_entity")).alias("cap"))
+    terms = scanned.select("uid", "terms").join(bounds, "uid").select("uid", "cap", F.explode("terms").alias("term"))
+    terms = terms.join(rare, "term").filter("n_term <= cap").select("uid", "term", "n_term")
+    pairs = terms.join(spoken, "uid").filter(F.col("n_term") <= cap(F.col("n_entity")))
+    pairs = pairs.select("entity", "term", "n_entity", "n_term", F.posexplode("windows").alias("i", "window"))
     # Distinct documents and windows are counted in two steps, so that no group of copies meets in one task.
-    pairs = near.groupBy("entity", "term", "uid").agg(F.collect_set("window").alias("w")).select("entity", "term", F.posexplode("w").alias("i", "window"))
-    pairs = pairs.groupBy("entity", "term", "window").agg(F.sum((F.col("i") == 0).cast("long")).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("windows"))
-    entities = near.groupBy("entity", "uid").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    all_ = pairs.join(entities, "entity").join(document_frequencies(docs), "term")
-    info = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
-    share = F.when(info > 0, F.round((pmi + certain(F.col("windows"), sure)) / info, 9))
-    return all_.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term", "window").agg(F.sum((F.col("i") == 0).cast("long")).alias("n"))
+    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("windows"))
+    info = F.log2(F.lit(total) / F.col("n_entity"))
+    pmi = F.log2(F.lit(total) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
+    share = F.round((pmi + certain(F.col("windows"), sure)) / info, 9)
+    return pairs.select("term", share.alias("share")).filter(F.col("share") >= generalise).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -214,10 +245,9 @@ def find(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float
 
     actions: array<struct<start, kind, end, action>>, what sanitising does with each span.
     """
-    scanned = cut(scan(docs, window))
-    flagged = disclosing(scanned, docs, sure, generalise)
-    near = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.start", "x.end")
-    hits = near.join(flagged, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("share").alias("share"))
+    flagged = cut_small(disclosing(docs, window, sure, generalise))
+    scanned = cut(locate(docs, flagged))
+    hits = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.term", "x.start", "x.end").join(flagged, "term")
     one = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
     terms = hits.groupBy("uid").agg(F.collect_list(one).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("generalise").alias("action")))
