@@ -128,6 +128,36 @@ def test_spans_against_brute_force(spark):
     assert substring_dedup.clean(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_spans_cover_every_repeated_run(spark):
+    rng = random.Random(14)
+    lines = [words(rng.randrange(1, 20), s) for s in range(14)]
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(rng.randrange(2, 9)))) for i in range(60)]
+    cut = {d: units(t) for d, t in rows}
+    first, removed = {}, {d: set() for d, _ in rows}
+    for d, u in cut.items():
+        for i in range(len(u)):
+            for j in range(i + 2, len(u) + 1):
+                key = tuple(x for s in u[i:j] for x in s)
+                if len(key) >= 12 and first.setdefault(key, (d, i)) != (d, i):
+                    removed[d] |= set(range(i, j))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["doc_id"]: r["__removed"] for r in substring_dedup.clean(df, 2, 12, tails=True).collect()}
+    assert got == {d: len(x) for d, x in removed.items()}
+    assert sum(got.values()) > sum(r["__removed"] for r in substring_dedup.clean(df, 2, 12, tails=False).collect())
+
+
+def test_a_long_sentence_is_several(spark):
+    import pyarrow as pa
+
+    hashes = lambda t: substring_dedup.word_hashes(*substring_dedup.utf8_buffer(pa.array([t])), substring_dedup._TABLE)[0]
+    plain = [w for w in (f"w{i}" for i in range(200)) if hashes(w)[0] % 16][:51]
+    own = lambda i: " ".join(f"{c}{i}." for c in "abcdefgh")
+    rows = [(i, f"{own(i)} {' '.join(plain)}. {own(i + 5)}") for i in range(2)]
+    assert len(units(" ".join(plain))) > 1 and len(units(" ".join(plain[:30]))) > 1
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.clean(spark.createDataFrame(rows, SCHEMA), tails=True).collect()}
+    assert got[0] == rows[0][1] and plain[0] not in got[1].split() and plain[-1] not in got[1]
+
+
 # ---------------------------------------------------------------- leaks
 
 

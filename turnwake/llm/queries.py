@@ -30,7 +30,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.clean(table(spark, sf_dir, "documents"))
+    out = substring_dedup.clean(table(spark, sf_dir, "documents"), tails=True)
     return out.select("doc_id", "text", *(F.col(f"__{c}").alias(c) for c in ("sentences", "removed", "removed_words")))
 
 
