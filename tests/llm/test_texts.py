@@ -251,6 +251,21 @@ def test_scores_against_brute_force(spark):
 # ---------------------------------------------------------------- chat
 
 
+def test_models_see_the_whole_url(spark, monkeypatch):
+    from turnwake.llm import queries
+
+    urls = [f"https://a.example.net/de/{i}?page={i}" for i in range(30)] + [f"http://b.example.com/en/{i}?session=x#ad" for i in range(30)]
+    own = ["https://c.example.fr/x", "https://c.example.fr/x?page=2", "https://c.example.fr/x?session=x#ad", "http://c.example.fr/x", "page=2", "session=x#ad", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls + own)), "page_id long, url string")
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {r["page_id"]: r for r in queries.op6_url_filter(spark, "").collect()}
+    score = [got[len(urls) + i]["score"] for i in range(len(own))]
+    assert len(set(score)) == len(own) - 1 and score[6] == score[7]
+    assert score[1] > score[2] and score[4] > score[5]
+    assert all((got[len(urls) + i]["host"], got[len(urls) + i]["path"], got[len(urls) + i]["rule"]) == ("c.example.fr", "/x", None) for i in range(4))
+    assert [got[len(urls) + i]["verdict"] for i in (4, 5)] == ["allow", "block"]
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     pieces = [*chat_format.CONTROL, "&lt;", "&", "plain", "é\n", "", " ", "\\", "[", "</", "$1"]

@@ -53,7 +53,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES, whole=True)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,11 @@ URLs, where the sum of both error rates is least.
 Characters are mapped to a fixed alphabet, so a model has fewer than 80,000 trigrams whatever
 the input; that is the proven size of the only broadcast. Everything is DataFrame functions.
 
-Defined results: a null URL, or one without ``://``, has empty host and path; repeated rows
+Rules bind host and path; the models see the whole URL with ``whole`` (scheme, query and fragment
+too, and URLs without ``://``), else host and path.
+
+Defined results: a null URL, or one without ``://``, has empty host and path; to the models a null
+URL is empty; repeated rows
 are judged each for itself; with no decided URL of one kind every URL that no rule decides is
 allowed; an empty table gives an empty result; other columns are ignored.
 """
@@ -55,9 +59,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def symbols(host: Column, path: Column) -> Column:
-    """Host and path over the alphabet, with both ends marked."""
-    s = F.translate(F.concat(host, path), UPPER + "123456789", LOWER + "0" * 9)
+def symbols(string: Column) -> Column:
+    """A string over the alphabet, with both ends marked."""
+    s = F.translate(string, UPPER + "123456789", LOWER + "0" * 9)
     return F.concat(F.lit("^^"), F.regexp_replace(s, r"(?s)[^a-z0./\-_%?=&#~+:,]", "*"), F.lit("$"))
 
 
@@ -126,13 +130,17 @@ def threshold(scores: DataFrame) -> float:
     return at
 
 
-def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score): one row per page."""
+def judge(pages: DataFrame, rules: list[Rule], whole: bool = False) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score): one row per page.
+
+    The models see the whole URL with ``whole``, else host and path.
+    """
     host, path = host_and_path(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    seen = F.coalesce(F.col("url").cast("string"), F.lit("")) if whole else F.concat(host, path)
+    base = pages.select("page_id", host.alias("host"), path.alias("path"), symbols(seen).alias("s"))
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     pick = lambda field: F.coalesce(*(F.when(r.fits(F.col("host"), F.col("path")), F.lit(getattr(r, field))) for r in ordered), F.lit(None).cast("string"))
-    base = base.select("*", pick("text").alias("rule"), pick("verdict").alias("decided"), symbols(F.col("host"), F.col("path")).alias("s"))
+    base = base.select("*", pick("text").alias("rule"), pick("verdict").alias("decided"))
     hit = lambda v: F.sum((F.coalesce(F.col("decided"), F.lit("")) == v).cast("int"))
     strings = cut(base.groupBy("s").agg(hit("allow").alias("acc"), hit("block").alias("rej")))
     counts = grams(strings.filter("acc + rej > 0"), "acc", "rej").groupBy("gram").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
