@@ -160,7 +160,7 @@ def _frame(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 def _boosted(w: W.Warehouse) -> DataFrame:
     train, test = hinge.features(_early(w.turns)), hinge.features(_late(w.turns))
-    held = hinge.boosted(train, test, rounds=10, depth=4, least=20)
+    held = hinge.boosted(train, test, least=20)
     return hinge.score(train, held, _fit(w), "carrier", {"gbm": "p_gbm"})
 
 
@@ -171,12 +171,12 @@ def _program(w: W.Warehouse) -> Program:
 
 def _optimal(w: W.Warehouse) -> DataFrame:
     program = _program(w)
-    buffers, value, gap = program.solve(BUDGET, 2e-3)
+    buffers, value, gap = program.solve(BUDGET)
     return program.table(buffers).withColumns({"objective": F.lit(value), "gap": F.lit(gap)})
 
 
 def _frontier(w: W.Warehouse):
-    cfg = Config(tolerance=2e-2)
+    cfg = Config(tolerance=1e-6)
     program = _program(w)
     train, test = program.legs, _test_legs(w).persist()
     scores = [s.persist() for s in (B.propagated_score(train, TAU, BETA), B.marginal_score(train, program.known, TAU, BETA, B_MAX))]
@@ -185,7 +185,7 @@ def _frontier(w: W.Warehouse):
 
 
 UNCHECKED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "hinge_intervals": _frame(lambda w: hinge.fit_groups(_early(w.turns), "carrier", n_boot=100)),
+    "hinge_intervals": _frame(lambda w: hinge.fit_groups(_early(w.turns), "carrier")),
     "multiplier_curve_intervals": _frame(lambda w: contagion.curve_intervals(_events(w))),
     "multiplier_by_carrier_intervals": _frame(lambda w: contagion.by_intervals(_events(w), "carrier")),
     "contagion_robustness": _frame(lambda w: contagion.robustness(w.legs, MATCH)),
