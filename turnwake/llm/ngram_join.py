@@ -14,7 +14,8 @@ leave here: their prefix is their own.
 3. Nodes meet on prefix shingles. For a shingle held by many nodes, each node is first paired
    with the most central one, and verified pairs are contracted. Then every pair left between different components is settled: by a join
    on shingles with few holders, and block against block, inside tasks, on those with many.
-   So no group's pairs are ever written out, and none is left out.
+   So no group's pairs are ever written out, and none between components is left out; pairs inside
+   a known component are not verified, and there is no list or number of links.
 4. Pairs pass a length filter, a positional filter (the places of a shared prefix shingle bound
    the overlap) and a suffix filter (the sets dealt by hash into 256 parts: differences of
    the parts' sizes bound the symmetric difference); what is left is verified once, by
