@@ -59,6 +59,29 @@ def test_lines_against_brute_force(spark):
     assert all(r["kept"] == (r["edits"] is None) == (r["first_doc_id"] is None) for r in got)
 
 
+def test_long_lines_and_clashing_names(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (1100, 20_000, 20_001)]
+    rows = []
+    for i in range(24):
+        s = rng.choice(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            k, o = rng.choice([0, 1, len(s) - 1, rng.randrange(len(s))]), rng.randrange(3)
+            s = s[:k] + ("" if o == 1 else "z") + s[k + (o > 0) :]
+        rows.append((i, s, "x", "y", "z"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, first string, key string").repartition(3)
+    got = {(r["doc_id"], r["line_no"]): r["edits"] for r in line_dedup.line_duplicates(df).collect()}
+    want = edits_of_lines([r[:2] for r in rows])
+    assert got == want and 1 in want.values()
+
+
+def test_windows_are_narrow_whatever_the_line(spark):
+    text = spark.createDataFrame([("a" * 300_000, 1), ("b" * 300_001, 0), ("b" * 300_000, 1)], "w string, short int")
+    rows = text.selectExpr("0L h", "0L g", "0 first", "0L key", "short", "w")
+    got = line_dedup.split_windows(rows, 300_000).selectExpr("max(length(w) - 1 + short) m", "count(*) n").first()
+    assert got["m"] <= line_dedup.WIDTH and got["n"] > 0
+
+
 def test_repeated_rows_keep_one_line(spark):
     df = spark.createDataFrame([(1, "a line of text"), (1, "a line of text"), (None, "a line of texts")], SCHEMA)
     got = sorted((str(r["doc_id"]), r["kept"]) for r in line_dedup.line_duplicates(df).collect())
@@ -186,6 +209,16 @@ def test_leaks_against_brute_force(spark, limit):
     assert kept == {d for d, _ in docs} - {d for d, *_ in want}
     assert decontaminate.leaks(df.limit(0), it, broadcast_bytes=limit).count() == 0
     assert decontaminate.leaks(df, it.limit(0), broadcast_bytes=limit).count() == 0
+    # Nulls are values, clashing names do no harm, and a phrase of many items is found in each.
+    tail = " a phrase that every item of this set ends with"
+    items = [(1, "one two three four five six" + tail), (1, "one two three four five six" + tail), (1, "seven eight nine ten" + tail), (None, "eleven twelve thirteen" + tail), (None, None)]
+    docs = [(1, items[0][1], "a", 1), (None, f"x {items[2][1]} y", "b", 2), (None, items[3][1], "c", 3), (None, items[3][1], "c", 3), (4, tail, "d", 4), (5, None, "e", 5), (None, "", "f", 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row_key string, item_id int").repartition(2)
+    it = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, shingle string")
+    got = decontaminate.leaks(df, it, broadcast_bytes=limit).collect()
+    assert sorted((str(r["doc_id"]), str(r["item_id"]), r["shared"], r["item_shingles"]) for r in got) == [("1", "1", 12, 12), ("None", "1", 10, 10), ("None", "None", 9, 9)]
+    kept = decontaminate.drop_leaked(df, it, broadcast_bytes=limit)
+    assert kept.columns == df.columns and sorted(r["item_id"] for r in kept.collect()) == [4, 5, 6]
 
 
 # ---------------------------------------------------------------- URLs

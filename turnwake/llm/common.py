@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,44 @@ def sealed(docs: DataFrame):
     return docs.toDF(*(f"c{i}" for i in range(len(names)))), lambda name: F.col(f"c{names.index(name)}"), names
 
 
+LOW = -(1 << 63)  # stands for a null id in joins
+
+
+def row_of(doc_id: str | Column, text: str | Column, names: list[str]) -> list[Column]:
+    """What tells a row in joins: its id, never null, and a hash of (id, text)."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return [F.coalesce(doc_id.cast("long"), F.lit(LOW)).alias(names[0]), F.xxhash64(doc_id, text).alias(names[1])]
+
+
+# ---------------------------------------------------------------- bit arrays over hashes
+
+BITS = 25  # of a hash, in a bit array: 4 MB, whatever the input
+
+
+def bit_of(hash_: str) -> Column:
+    """The number of a hash's bit."""
+    return F.shiftrightunsigned(hash_, 64 - BITS)
+
+
+def bit_words(rows: DataFrame, hash_: str) -> DataFrame:
+    """(at, bits): the words of a bit array over a column of 64-bit hashes, 2**(BITS - 6) rows at most."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(hash_).bitwiseAND(63).cast("int"))
+    return rows.select(F.shiftright(bit_of(hash_), 6).alias("at"), one.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+
+
+def bit_array(rows: DataFrame, hash_: str) -> np.ndarray:
+    known = bit_words(rows, hash_).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[known.column("at").to_numpy()] = known.column("bits").to_numpy()
+    return out
+
+
+def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    top = hashes.view(np.uint64) >> np.uint64(64 - BITS)
+    return (bits.view(np.uint64)[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 # ---------------------------------------------------------------- bytes of an Arrow column
 
 

@@ -6,14 +6,17 @@ equal one, or one within a single insertion, deletion or substitution, stands ea
 
 1. Equal lines are one class, with its first place; everything after works on classes.
 2. One edit leaves the line before and after it alike. Cut in two halves, one half of a pair
-   is equal: classes that share no half with another are done. The others are cut in 16
-   windows, and a pair shares all but one of them.
-3. Inside that window the deletion neighbourhood is emitted as hashed keys: the window
+   is equal: classes that share no half with another are done. A bit array of fixed size over
+   the hashes of the others keeps most lines out when documents are read again for their text.
+3. The others are cut in 16 windows, and a pair shares all but one of them; that one is cut
+   again in 16 until it has no more than WIDTH characters, so a line of any length costs work
+   in proportion to its length.
+4. Inside that window the deletion neighbourhood is emitted as hashed keys: the window
    without each of its characters (with the character's place, for substitutions between
    lines of one length; without it, for the line one shorter) and the window itself. Lines
    that share a key are within one edit, so a key needs only its earliest members, never
    its pairs.
-4. The earliest neighbour is verified by edit distance on the whole lines.
+5. The earliest neighbour is verified by edit distance on the whole lines.
 
 Lines of fewer than ``min_chars`` characters have equal lines only, as one edit can change
 all they say.
@@ -29,19 +32,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BITS, LOW, bit_of, bit_words, cut
 
 WINDOWS = 16
+WIDTH = 64  # characters of a window whose deletion neighbourhood is written out
 
 
 def _bounds(n: Column, j: Column, parts: int) -> tuple[Column, Column]:
     return F.floor(n * j / parts).cast("int"), F.floor(n * (j + 1) / parts).cast("int")
 
 
-def _key(s: Column, size: Column, n: Column, j: Column, parts: int) -> Column:
-    """Hash of a line without window j, for a pair whose shorter line has n characters."""
+def _key(s: Column, size: Column, n: Column, j: Column, parts: int, within: Column | None = None) -> Column:
+    """Hash of a string without window j, for a pair whose shorter one has n characters."""
     lo, hi = _bounds(n, j, parts)
-    return F.xxhash64(n, j, F.substring(s, F.lit(1), lo), F.substring(s, size - (n - hi) + 1, n - hi))
+    return F.xxhash64(n if within is None else within, j, F.substring(s, F.lit(1), lo), F.substring(s, size - (n - hi) + 1, n - hi))
+
+
+def _window(s: Column, size: Column, n: Column, j: Column) -> Column:
+    lo, hi = _bounds(n, j, WINDOWS)
+    return F.substring(s, lo + 1, size - lo - (n - hi))
 
 
 def _meeting(keys: DataFrame) -> DataFrame:
@@ -56,35 +65,54 @@ def described(rows: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    low = F.lit(-(1 << 63)).cast("long")
-    return described(docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))
+    return described(docs.filter("text IS NOT NULL").select(doc_id.alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")))
+
+
+def bit_column(hashes: DataFrame) -> Column:
+    """The bit array over ``h`` of all rows as a column, an array<bigint> of fixed size."""
+    blank = hashes.sparkSession.range(1 << (BITS - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    words = bit_words(hashes, "h").unionByName(blank).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"])).scalar()
+
+
+def split_windows(windows: DataFrame, longest: int) -> DataFrame:
+    """(.., key, short, w) rows with windows of at most WIDTH characters, where ``longest`` bounds them now.
+
+    A window is cut by the length of the shorter partner, which the key holds, so both cut alike.
+    """
+    while longest > WIDTH:
+        size = F.length("w")
+        n = size - 1 + F.col("short")
+        one = lambda j: F.struct(_key(F.col("w"), size, n, j, WINDOWS, F.col("key")).alias("key"), _window(F.col("w"), size, n, j).alias("w"))  # noqa: B023, E731
+        parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), one)
+        each = F.explode(F.when(n > WIDTH, parts).otherwise(F.array(F.struct("key", "w")))).alias("x")
+        windows = windows.select("h", "g", "first", "short", each).select("h", "g", "first", "x.key", "short", "x.w")
+        windows = windows.join(_meeting(windows.select("key", "short")), "key")
+        longest = -(-longest // WINDOWS)
+    return windows
 
 
 def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
-    """(h, g, near): the first place of the earliest class within one edit, for classes that have an earlier one."""
+    """(h, g, first, near): the first place of the earliest class within one edit, for classes that have an earlier one."""
     long_ = classes.filter(F.col("size") >= min_chars)
     halves = long_.select("h", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(int(i < 2)).alias("short")) for i in range(4)))).alias("x")).select("h", "x.key", "x.short")
     # One hash of a class is enough to find those that go on; both tell classes apart from here.
-    some = halves.join(_meeting(halves), "key").select("h").distinct()
+    some = cut(halves.join(_meeting(halves), "key").select("h").distinct())
     places = long_.join(some, "h").select("h", "g", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    # Documents meet the line numbers wanted of them, so that a text crosses the network once and
-    # not line by line. A row repeated whole gives a place twice; one line of it is enough.
-    wanted = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    low = F.lit(-(1 << 63)).cast("long")
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), "text").join(wanted, "doc_id")
-    picked = whole.withColumn("all", F.split("text", "\n", -1)).select("doc_id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.try_element_at("all", i + 1).alias("line")))).alias("x"))
-    picked = described(picked.select("doc_id", "x.line_no", "x.line").filter("line IS NOT NULL"))
-    text = picked.join(places, ["doc_id", "line_no", "h", "g"]).dropDuplicates(["h", "g"]).select("h", "g", "first", "s", "size")
-    text = cut(text)
+    candidate = F.bit_get(F.element_at(bit_column(some), (F.shiftright(bit_of("h"), 6) + 1).cast("int")), bit_of("h").bitwiseAND(63).cast("int")) == 1
+    # A row repeated whole gives a place twice; one line of it is enough.
+    text = lines(docs).filter(F.col("size") >= min_chars).filter(candidate).join(places, ["doc_id", "line_no", "h", "g"])
+    text = cut(text.dropDuplicates(["h", "g"]).select("h", "g", "first", "s", "size"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * WINDOWS - 1)), lambda i: F.struct((F.col("size") - F.floor(i / WINDOWS).cast("int")).alias("n"), (i % WINDOWS).alias("j"))))
     windows = text.select("h", "g", "first", "s", "size", each.alias("x")).select("h", "g", "first", "s", "size", "x.n", "x.j")
-    lo, hi = _bounds(F.col("n"), F.col("j"), WINDOWS)
     short = F.col("n") == F.col("size")
     windows = windows.filter(F.col("n") >= min_chars).select(
         "h", "g", "first", _key(F.col("s"), F.col("size"), F.col("n"), F.col("j"), WINDOWS).alias("key"), short.cast("int").alias("short"),
-        F.substring(F.col("s"), lo + 1, F.col("size") - lo - (F.col("n") - hi)).alias("w"),
+        _window(F.col("s"), F.col("size"), F.col("n"), F.col("j")).alias("w"),
     )
     windows = windows.join(_meeting(windows.select("key", "short")), "key")
+    windows = split_windows(windows, -(-(text.agg(F.max("size")).first()[0] or 0) // WINDOWS))
     w = F.col("w")
     without = lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
     at = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>"))
@@ -100,10 +128,11 @@ def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame
     met = variants.groupBy("v").agg(*(least(r) for r in (0, 1, 2)), F.count("*").alias("n")).filter("n > 1").drop("n")
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     near = variants.join(met, "v").select("h", "g", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
-    near = near.groupBy("h", "g").agg(F.min("o").alias("o")).select("h", "g", F.col("o.first").alias("near"), F.col("o.h").alias("oh"), F.col("o.g").alias("og"))
+    near = near.groupBy("h", "g").agg(F.min("o").alias("o"), F.first("first").alias("first"))
+    near = near.select("h", "g", "first", F.col("o.first").alias("near"), F.col("o.h").alias("oh"), F.col("o.g").alias("og"))
     own, theirs = text.select("h", "g", "s"), text.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("s").alias("os"))
     checked = near.join(own, ["h", "g"]).join(theirs, ["oh", "og"]).filter(F.levenshtein("s", "os", 1) >= 0)
-    return checked.select("h", "g", "near")
+    return checked.select("h", "g", "first", "near")
 
 
 def line_duplicates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -115,15 +144,16 @@ def line_duplicates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     all_ = lines(docs)
     grouped = all_.filter("size > 0").select("h", "g", "size", F.struct("doc_id", "line_no").alias("at"), *keys).groupBy("h", "g")
     classes = cut(grouped.agg(F.min("at").alias("first"), F.max("size").alias("size"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4))))
-    near = neighbours(docs, classes, min_chars)
-    known = classes.select("h", "g", "first").join(near, ["h", "g"], "left")
-    # Lines of rows repeated whole share a place; they are counted before the join and one stays.
-    own = all_.groupBy("doc_id", "line_no", "h", "g", "size").agg(F.count("*").alias("times"))
-    met = own.join(known, ["h", "g"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    near = neighbours(docs, classes, min_chars).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h", "g", "near")
+    # Lines of rows repeated whole share a place; they are counted before the joins and one stays.
+    own = all_.groupBy("doc_id", "line_no", "h", "g").agg(F.count("*").alias("times"), F.first("size").alias("size"))
+    # Only the first place of a class can go for a near one. The classes are read from their cut, so
+    # that the last join shuffles both sides and a line that stands everywhere is split.
+    met = own.join(near, ["doc_id", "line_no", "h", "g"], "left").join(classes.select("h", "g", "first"), ["h", "g"], "left")
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     at = F.struct("doc_id", "line_no")
     equal = (F.col("first") < at) | (F.col("copy") > 1)
     edits = F.when(F.col("size") == 0, F.lit(None).cast("int")).when(equal, F.lit(0)).when(F.col("near").isNotNull(), F.lit(1))
     why = F.when(edits == 0, F.col("first")).when(edits == 1, F.col("near"))
-    low = F.lit(-(1 << 63)).cast("long")
-    blank = lambda c: F.when(c != low, c)
+    blank = lambda c: F.when(c != LOW, c)
     return met.select(blank(F.col("doc_id")).alias("doc_id"), "line_no", edits.isNull().alias("kept"), edits.alias("edits"), blank(why["doc_id"]).alias("first_doc_id"), why["line_no"].alias("first_line_no"))

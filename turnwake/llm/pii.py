@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, bounded, byte_table, cut, cut_small, utf8_buffer, word_hashes
+from .common import NOT_ALNUM, bit_array, bounded, byte_table, cut, cut_small, in_bits, utf8_buffer, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +45,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-BITS = 25  # of a hash, in the bitmap of flagged terms: 4 MB, whatever the input
 
 
 def luhn(digits: str) -> bool:
@@ -139,15 +138,10 @@ def locate(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """A row per document: base spans and the words that may be flagged terms, keyed by a row number of the task."""
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-    bit = F.shiftrightunsigned("term", 64 - BITS)
-    # 2**19 rows at most.
-    known = flagged.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    bitmap[known.column("at").to_numpy()] = known.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_array(flagged, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, bits = TaskContext.get().partitionId() << 40, shared.value.view(np.uint64)
+        uid, bits = TaskContext.get().partitionId() << 40, shared.value
         for b in (x for whole in batches for x in bounded(whole, 1)):
             spans = [base_spans(t or "") for t in b.column(1).to_pylist()]
             counts = [[sum(k == i for _, k, _ in s) for s in spans] for i in range(4)]
@@ -155,8 +149,7 @@ def locate(docs: DataFrame, flagged: DataFrame) -> DataFrame:
             base = [[{"start": a, "kind": k, "end": e} for a, k, e in s] for s in spans]
             near = []
             for w, start, end in free_words(b.column(1), spans):
-                top = w.view(np.uint64) >> np.uint64(64 - BITS)
-                hit = np.flatnonzero((bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(in_bits(bits, w))
                 near.append([{"term": t, "start": s, "end": e} for t, s, e in zip(w[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)])
             n = b.num_rows
             ids, uid = pa.array(range(uid, uid + n), pa.int64()), uid + n
