@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, LOW, bit_of, bit_words, cut
+from .common import BITS, LOW, bit_of, bit_words, cut, cut_small
 
 WINDOWS = 16
 WIDTH = 64  # characters of a window whose deletion neighbourhood is written out
@@ -54,8 +54,11 @@ def _window(s: Column, size: Column, n: Column, j: Column) -> Column:
 
 
 def _meeting(keys: DataFrame) -> DataFrame:
-    """Keys that can hold a pair: two members, one of which is the shorter."""
-    return keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("short").alias("s")).filter("n > 1 AND s > 0").select("key")
+    """Keys that can hold a pair: two members, one of which is the shorter.
+
+    Cut, so that a join on them shuffles both sides anew and can split a key that many share.
+    """
+    return cut_small(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("short").alias("s")).filter("n > 1 AND s > 0").select("key"))
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -126,6 +129,7 @@ def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame
     place = F.struct("first", "h", "g")
     least = lambda role: F.min(F.when(F.col("role") == role, place)).alias(f"m{role}")
     met = variants.groupBy("v").agg(*(least(r) for r in (0, 1, 2)), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = cut_small(met)  # as in _meeting
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     near = variants.join(met, "v").select("h", "g", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
     near = near.groupBy("h", "g").agg(F.min("o").alias("o"), F.first("first").alias("first"))
