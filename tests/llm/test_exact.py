@@ -40,6 +40,16 @@ def test_against_brute_force(spark, table_bytes):
     assert result(df, table_bytes=table_bytes) == expected(rows)
 
 
+def test_rounds_do_not_grow_with_the_input(spark, monkeypatch):
+    rounds, one = [], E.cut
+    monkeypatch.setattr(E, "cut", lambda df: rounds.append(1) or one(df))
+    for n in (100, 1600):
+        rounds.clear()
+        texts = spark.range(n).selectExpr("id doc_id", "concat(repeat('x', 500), id) text").repartition(2)
+        # One task's own table takes nothing off here, as all contents differ.
+        assert E.classes(texts, table_bytes=20_000).count() == n and len(rounds) <= 2
+
+
 def test_rows_that_stay_keep_their_columns(spark):
     rows = [(1, "A", "x", 1), (2, "a", "y", 2), (3, None, "z", 3), (4, "", "w", 4), (2, "a", "y", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, keep string, c0 int")

@@ -1,11 +1,13 @@
 """Exact deduplication by Grace hashing.
 
-Records are dealt to buckets by a hash of their content. A task puts its bucket into an
+Records are dealt to buckets by a hash of their content, into as many as their bytes fill twice
+over, so that a bucket should fill half a table. A task puts its bucket into an
 open-addressing table that compares complete contents, of a fixed size in bytes. A record
-whose content is not in a full table goes to the spill files (Parquet or checkpoint blocks
-in the shared folder, never an executor's own disk), which the next round deals out again
-by other hash bits, until every bucket fits. What is in a table is complete: the table only
-ever refuses contents, never single records of one.
+whose content is not in a full table goes to the spill files (checkpoint blocks in the shared
+folder, never an executor's own disk), which the next round deals out again by other hash bits,
+again by their bytes, until every bucket fits. So only buckets that overflow come back, and the
+rounds do not grow with the input. What is in a table is complete: the table only ever refuses
+contents, never single records of one.
 
 The same table runs ahead of the shuffle over each input partition, so a content that fills
 a third of the table of documents crosses the network once per partition.
@@ -32,6 +34,9 @@ PARTIAL = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("top",
 PARTIAL_DDL = "digest binary, content binary, top bigint, n bigint, n_top bigint, done boolean"
 
 
+ENTRY = 200  # bytes of an entry beside its content
+
+
 class ContentTable:
     """Open addressing with linear probing; an entry is a content with its largest id and counts."""
 
@@ -61,9 +66,9 @@ class ContentTable:
                     row[2], row[4] = top, n_top
                 return True
             at = (at + 1) & mask
-        if self.rows and self.used + len(content) + 200 > self.limit:
+        if self.rows and self.used + len(content) + ENTRY > self.limit:
             return False
-        self.used += len(content) + 200
+        self.used += len(content) + ENTRY
         self.slots[at] = len(self.rows)
         self.keys.append(key)
         self.rows.append([digest, content, top, n, n_top])
@@ -136,15 +141,19 @@ def classes(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
             seen[r[0]] = 1
         yield from _rows(table.rows, True, False)
 
-    left = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(before, PARTIAL_DDL)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    left, size = texts.mapInArrow(before, PARTIAL_DDL), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    volume = docs.agg(F.sum(size + ENTRY)).first()[0] or 0
     level, found = 0, None
     while True:
-        dealt = left.repartition(F.xxhash64("digest", F.lit(level)))
+        buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * volume // table_bytes))
+        dealt = left.repartition(buckets, F.xxhash64("digest", F.lit(level)))
         out = cut(dealt.mapInArrow(after, PARTIAL_DDL))
         fits = out.filter("done").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "n_top")
         found = fits if found is None else found.unionByName(fits)
         left, level = out.filter("NOT done"), level + 1
-        if left.isEmpty():
+        volume = left.agg(F.sum(F.octet_length("content") + ENTRY)).first()[0]
+        if volume is None:
             return found
 
 
