@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -112,18 +113,54 @@ def test_language_on_held_out_texts(spark):
     odd = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, "doc_id").collect()
     assert odd[0]["score"] < 0.999 and [r["lang_pred"] for r in odd[1:]] == ["und", "und", "und", "en", "en"]
     assert [r["score"] for r in odd[1:4]] == [0, 0, 0] and all(0 <= r["score"] <= 1 for r in odd)
+    rows = [(None, "½ ² Ⅷ 7_"), (None, "ab ½"), (1, " ".join(one[x] for x in sorted(one)) * 200)]
+    names = "score long, text string"
+    got = language_id.predict(spark.createDataFrame(rows, names), model, "text").collect()
+    assert got[0]["lang_pred"] == "und" and got[1]["lang_pred"] != "und" and got[2]["lang_pred"] in one
     none = language_id.fit(docs.limit(0))
     assert none is None and language_id.predict(docs.limit(2), none, "doc_id").collect()[0]["lang_pred"] == "und"
 
 
 def test_equal_margins_are_ambiguous():
     model = language_id.Model(["a", "b"], np.eye(2, language_id.DIM, dtype=np.float32), np.array([0, 1]), gap=1.0)
-    best, score, unsure = model.decode(np.zeros((1, language_id.DIM), np.float32))
+    best, score, unsure, _ = model.decode(np.zeros((1, language_id.DIM), np.float32))
     assert unsure[0] and 0.4 < score[0] < 0.8
-    best, score, unsure = model.decode(np.eye(2, language_id.DIM, dtype=np.float32))
+    best, score, unsure, _ = model.decode(np.eye(2, language_id.DIM, dtype=np.float32))
     assert list(best) == [0, 1] and not unsure.any()
 
 
+def test_decoding_against_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.random((40, language_id.DIM)).astype(np.float32)
+    model = language_id.Model([*"abcde"], x, np.arange(40) % 5, gap=2.0, steps=20)
+    for row, best, score, unsure, loss in zip(x, *model.decode(x), strict=True):
+        margins = [max(-20.0, min(20.0, float(row @ model.w[:, j] + model.b[j]))) for j in range(model.code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(word, margins, strict=True)) for word in model.code.tolist()]
+        ranked = sorted(losses)
+        assert losses[best] == pytest.approx(ranked[0], abs=1e-3) and loss == pytest.approx(ranked[0] / len(margins), abs=1e-4)
+        assert score == pytest.approx(1 / sum(math.exp(ranked[0] - v) for v in losses), abs=1e-3)
+        assert unsure == (ranked[1] - ranked[0] < 2.0) or abs(ranked[1] - ranked[0] - 2.0) < 1e-3
+
+
+def test_copies_are_drawn_once_and_rows_are_bounded(spark):
+    rows = [(f"the same text {i // 2000}", "en") for i in range(6000)] + [(f"ein text {i}", "de") for i in range(3000)] + [(None, "de"), ("x", None)]
+    got = language_id.drawn(spark.createDataFrame(rows, "text string, lang string").repartition(4), 50).collect()
+    n = Counter(r["lang"] for r in got)
+    assert n == {"en": 3, "de": 50}
+
+
+def test_what_is_in_no_learnt_language_is_far(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    odd = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400)) for _ in range(12)]
+    odd += ["Это русский текст про данные, модели и таблицы. " * 3, "中文文本测试数据" * 5, None, "12 345", ""]
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], docs.schema)
+    two = {r["lang"]: r["text"] for r in docs.filter("length(text) > 800").collect()}
+    mixed = spark.createDataFrame([(10**9, two["en"][:400] + " " + two["de"][:400], "en")], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(planted).unionByName(mixed), "").collect()}
+    assert min(kept) >= 0 and 10**9 in kept and len(kept) >= 0.995 * docs.count()
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

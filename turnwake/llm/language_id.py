@@ -4,30 +4,37 @@ Every language gets a codeword of bits. One linear classifier per bit, on hashed
 n-grams of the lower-cased letters, predicts a margin; decoding sums the logistic loss of
 the margins against each codeword and takes the codeword of least loss. The score is the
 share of the best codeword under exp(-loss), and a text is flagged ambiguous when the second
-codeword comes within ``gap`` of the best.
-
-Classifiers are fitted on the driver to at most ``per_label`` labelled rows a language
-(documented bound, 400); only their count vectors travel. Prediction reads whole texts where
-they lie, without a shuffle; what is sent along is one matrix of fixed size.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and not
-ambiguous; with no labelled row every text is ``und``; repeated rows are predicted each for
-itself; an empty table gives an empty result; other columns are ignored by the prediction.
+codeword comes within ``gap`` of the best. A text is flagged ``far`` when even the best codeword
+costs more than ``far`` a bit: a coin flip costs log 2 = 0.69, gibberish and languages that were
+not learnt cost 0.48 and more, texts of the learnt ones 0.05. A text in two languages is ambiguous,
+not far; one of fewer than ENOUGH letters says too little to be far.
+
+Classifiers are fitted on the driver to at most ``per_label`` different labelled texts a language
+(documented bound, 400): those of the smallest hashes, chosen in Spark, so that copies count once
+and only bounded count vectors travel. Prediction reads whole texts where they lie, without a
+shuffle; what is sent along is one matrix of fixed size.
+
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score
+0, neither ambiguous nor far; with no labelled row every text is ``und``; of codewords of equal
+loss the language first in order is told; of one text under two labels each label counts; repeated
+rows are predicted each for itself; an empty table gives an empty result; other columns are ignored
+by the prediction and never clash with its own, which come last.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sealed
+
 DIM = 1 << 12
-LETTER = re.compile(r"[^\W\d_]")
+ENOUGH = 20  # letters from which on a text can be far from every language
 _KEEP = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
 
@@ -77,61 +84,86 @@ class Model:
             vw, vb = 0.9 * vw - 8.0 * (x.T @ g + 2e-3 * self.w), 0.9 * vb - 8.0 * g.sum(0)
             self.w, self.b = self.w + vw, self.b + vb
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(best label, score, ambiguous) of each row."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(best label, score, ambiguous, loss a bit of the best codeword) of each row."""
         margin = np.clip(x @ self.w + self.b, -20, 20)
         loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2)
         order = np.argsort(loss, 1, kind="stable")
         share = np.exp(loss.min(1, keepdims=True) - loss)
         near = np.take_along_axis(loss, order, 1)
         ambiguous = near[:, 1] - near[:, 0] < self.gap if loss.shape[1] > 1 else np.zeros(len(x), bool)
-        return order[:, 0], 1 / share.sum(1), ambiguous
+        return order[:, 0], 1 / share.sum(1), ambiguous, near[:, 0] / self.code.shape[1]
 
 
-def fit(labelled: DataFrame, per_label: int = 400, gap: float = 1.0) -> Model | None:
-    """``labelled``: (text, lang) rows. At most ``per_label`` of each language are used, drawn by a hash of the text."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * per_label / n + 20 / n))))
-    draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
+def letters(text: str | None) -> int:
+    """How many letters a text has, ENOUGH at most."""
+    return sum(1 for _ in islice(filter(str.isalpha, text or ""), ENOUGH))
+
+
+def drawn(labelled: DataFrame, per_label: int) -> DataFrame:
+    """(lang, draw, x): the features of at most ``per_label`` different texts of each language."""
+    draw = F.xxhash64("text", F.lit(1)).alias("draw")
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string"), draw)
+    # Languages are few; so many different texts each has, within a few percent.
+    kinds = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
+    share = F.create_map(*(F.lit(v) for k, n in kinds.items() for v in (k, min(1.0, 1.4 * per_label / n + 20 / n)))) if kinds else F.create_map(F.lit(""), F.lit(0.0))
+    below = F.shiftrightunsigned("draw", 11) / float(1 << 53) < F.element_at(share, F.col("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
-            x = [features(t.as_py()).astype(np.float16).tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1), b.column(2)], ["x", "lang", "draw"])
-
-    drawn = rows.select(F.col("text").cast("string"), "lang", draw.alias("draw")).filter(F.col("draw") < F.element_at(share, F.col("lang")))
-    got = drawn.mapInArrow(run, "x binary, lang string, draw double").collect()
-    labels, taken, x, y = sorted(counts), dict.fromkeys(counts, 0), [], []
-    for r in sorted(got, key=lambda r: (r["lang"], r["draw"], bytes(r["x"]))):
-        if taken[r["lang"]] < per_label:
-            taken[r["lang"]] += 1
-            x.append(np.frombuffer(bytes(r["x"]), np.float16).astype(np.float32))
-            y.append(labels.index(r["lang"]))
-    return Model(labels, np.array(x), np.array(y), gap)
-
-
-def predict(docs: DataFrame, model: Model | None, *keep: str | Column) -> DataFrame:
-    """The kept columns and lang_pred, score, ambiguous of each row's text."""
+            new = []
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            x = [features(b.column(1)[i].as_py()).astype(np.float16).tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new, pa.int64())), b.column(2).take(pa.array(new, pa.int64())), pa.array(x, pa.binary())], ["lang", "draw", "x"])
+
+    some = rows.filter(below).mapInArrow(run, "lang string, draw bigint, x binary").dropDuplicates(["lang", "draw"])
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 11), "draw")
+    return some.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= per_label).drop("i")
+
+
+def fit(labelled: DataFrame, per_label: int = 400, gap: float = 1.0) -> Model | None:
+    """``labelled``: (text, lang) rows. At most ``per_label`` different texts of each language are used."""
+    got = sorted(drawn(labelled, per_label).collect(), key=lambda r: (r["lang"], r["draw"]))
+    if not got:
+        return None
+    labels = sorted({r["lang"] for r in got})
+    x = [np.frombuffer(bytes(r["x"]), np.float16).astype(np.float32) for r in got]
+    return Model(labels, np.array(x), np.array([labels.index(r["lang"]) for r in got]), gap)
+
+
+def predict(docs: DataFrame, model: Model | None, *keep: str | Column, far: float = 0.46) -> DataFrame:
+    """The kept columns and lang_pred, score, ambiguous, far of each row's text."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text_to_tell"))
     schema = rows.drop("__text_to_tell").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            lang, score, unsure = ["und"] * n, np.zeros(n), np.zeros(n, bool)
+            lang, score, unsure, away = ["und"] * n, np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
             for lo in range(0, n, 256):
                 texts = [(lo + i, t.as_py()) for i, t in enumerate(b.column(b.num_columns - 1)[lo : lo + 256])]
-                texts = [(i, t) for i, t in texts if model is not None and t and LETTER.search(t)]
+                texts = [(i, t, k) for i, t in texts if model is not None and (k := letters(t))]
                 if texts:
-                    best, s, u = model.decode(np.array([features(t) for _, t in texts]))
-                    for (i, _), k, p, q in zip(texts, best, s, u, strict=True):
-                        lang[i], score[i], unsure[i] = model.labels[k], p, q
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(score), pa.array(unsure)], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+                    for (i, _, k), best, s, u, loss in zip(texts, *model.decode(np.array([features(t) for _, t, _ in texts])), strict=True):
+                        lang[i], score[i], unsure[i], away[i] = model.labels[best], s, u, loss > far and k >= ENOUGH
+            cols = [*b.columns[:-1], pa.array(lang), pa.array(score), pa.array(unsure), pa.array(away)]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "lang_pred", "score", "ambiguous", "far"])
+
+    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean").add("far", "boolean"))
+
+
+def keep_told(docs: DataFrame, model: Model | None, far: float = 0.46) -> DataFrame:
+    """The documents in a learnt language, or in several, with all their columns.
 
-    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean"))
+    Documents that are ``und`` or far from every codeword go.
+    """
+    own, at, names = sealed(docs)
+    told = predict(own.withColumn("text", at("text")), model, *own.columns, far=far)
+    return told.filter("lang_pred <> 'und' AND NOT far").select(*own.columns).toDF(*names)
 
 
 def held_out(doc_id: Column) -> Column:
