@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on every document that the stage before kept,
 and returns all columns of documents; the last one returns packed sequences.
 
-1. language: documents without a language go (null, or no letter); ambiguous ones hold two
+1. language: documents that the classifier rejects go: null or without a letter, or far from the
+   codeword of every language learnt (gibberish, other languages). Ambiguous ones hold two
    languages, are clean, and stay.
 2. exact: of texts equal after lower-casing A-Z, the row with the largest doc_id stays.
 3. near: of documents linked by word shingles, the one with the smallest doc_id stays.
@@ -14,16 +15,12 @@ and returns all columns of documents; the last one returns packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from turnwake.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs.select("text", "lang"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    told = language_id.predict(docs, model, *(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)))
-    return told.filter("lang_pred <> 'und'").select(*names).toDF(*docs.columns)
+    return language_id.keep_told(docs, language_id.fit(docs.select("text", "lang")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
