@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Narrow rows in a partition of ``cut_small``.
+#: Narrow rows in a task of an iterative step.
 SMALL = 50_000
 
 
 def cut_small(df: DataFrame) -> DataFrame:
-    """``cut`` for narrow rows, which then stand in as many partitions as they fill.
+    """``cut`` for narrow rows: a table written in the shared checkpoint folder and read back.
 
-    A table of a few rows in hundreds of partitions costs two files a partition in every
-    shuffle that follows.
+    A checkpoint hands on the planner's estimate of a plan's size, which every join multiplies; in
+    a loop its digits double at each step. A table has its real size, so joins with it are planned by
+    that, and its files fill as many tasks as they need.
     """
-    out = cut(df)
-    return out.coalesce(max(1, out.count() // SMALL))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sealed(docs: DataFrame):

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is an aggregate and a join on the node, so a hub with any number of neighbours is
-pre-aggregated before the shuffle and split by the skew join after it. The edges are cut
+pre-aggregated before the shuffle and split by the skew join after it. The edges are written
 after each pair of steps, in as many tasks as they fill; nothing is collected but two
 counters.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut
+from .common import SMALL, cut_small
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,10 +29,10 @@ def _small(edges: DataFrame, tasks: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of its component, for every node that is not that itself."""
-    now, mark = cut(edges.select("a", "b").filter("a <> b")), None
+    now, mark = cut_small(edges.select("a", "b").filter("a <> b")), None
     tasks = max(1, now.count() // SMALL)
     while True:
-        now = cut(_small(_large(now.coalesce(tasks)).coalesce(tasks), tasks).coalesce(tasks))
+        now = cut_small(_small(_large(now.coalesce(tasks)).coalesce(tasks), tasks).coalesce(tasks))
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == mark or seen[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
