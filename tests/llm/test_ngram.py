@@ -44,6 +44,29 @@ def test_against_brute_force_with_hot_groups(spark, monkeypatch):
     check(spark, near_copies(160, 7) + EDGE)
 
 
+def template_pages(n, seed=9):
+    """Pages that share a frame of 160 words and differ in 8 to 30 words at its places."""
+    rng = random.Random(seed)
+    frame = [f"f{i}" for i in range(160)]
+    out = []
+    for i in range(n):
+        w = list(frame)
+        for _ in range(rng.randrange(8, 31)):
+            w[rng.randrange(len(w))] = f"own{rng.randrange(10**6)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    """Similarities of 30 to 85 percent: nearly all pairs meet on hot shingles, few may be looked at."""
+    monkeypatch.setattr(N, "CHUNK", 60)
+    looked = []
+    one = N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *a: looked.append(pairs.count()) or one(pairs, *a))
+    check(spark, template_pages(300) + [(1000 + i, t) for i, t in near_copies(20, 3)], k=5, percent=80)
+    assert sum(looked) < 300 * 30
+
+
 def test_small_groups_and_other_parameters(spark):
     rows = [(100 * g + i, t) for g in range(6) for i, t in near_copies(6, 5, g, 40)] + EDGE
     check(spark, rows, k=5, percent=80)

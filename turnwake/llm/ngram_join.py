@@ -12,10 +12,12 @@ leave here: their prefix is their own.
    or block.
 2. Equal sets are one node from here on, under a 128-bit signature.
 3. Nodes meet on prefix shingles. For a shingle held by many nodes, each node is first paired
-   with the most central one, and verified pairs are contracted. Then every pair left between different components is settled: by a join
-   on shingles with few holders, and block against block, inside tasks, on those with many.
-   So no group's pairs are ever written out, and none between components is left out; pairs inside
-   a known component are not verified, and there is no list or number of links.
+   with the most central one, and verified pairs are contracted. Then every pair left between
+   different components is settled: by a join on shingles with few holders, and block against
+   block, inside tasks, on those with many. Blocks are dealt by size and compare 256 bytes a node;
+   sets travel for the pairs that pass. So no group's pairs are ever written out, and none between
+   components is left out; pairs inside a known component are not verified, and there is no list
+   or number of links.
 4. Pairs pass a length filter, a positional filter (the places of a shared prefix shingle bound
    the overlap) and a suffix filter (the sets dealt by hash into 256 parts: differences of
    the parts' sizes bound the symmetric difference); what is left is verified once, by
@@ -39,13 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, byte_table, cut, cut_small, sealed, shingles, utf8_buffer, word_hashes
+from .common import LOW, WHITE, byte_table, cut, cut_small, row_of, sealed, shingles, utf8_buffer, word_hashes
 from .components import components
 
 _TABLE = byte_table(WHITE)
 BLOCK = 4 << 20  # bytes of text in a block, or one longer text
 HOT = 64  # shingles with more holders are settled block against block
-CHUNK = 512  # nodes on each side of such a block
+CHUNK = 2048  # nodes on each side of such a block
+PARTNERS = 512  # partners to which the set of a node is sent at once
 U64 = (1 << 64) - 1
 
 
@@ -211,9 +214,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that are links. The set of ``a`` is sent once to every CHUNK of its partners."""
+    """The (a, b) pairs that are links. The set of ``a`` is sent once to every PARTNERS of its partners."""
     count = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    count = count.select("a", F.ceil(F.col("n") / CHUNK).cast("int").alias("salts"))
+    count = cut_small(count.select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("salts")))
     sets = nodes.select("uid", "members")
     left = count.join(sets, F.col("a") == F.col("uid")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "members")
     right = pairs.join(count, "a").join(sets, F.col("b") == F.col("uid")).select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b", "members")
@@ -239,79 +242,57 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return dealt.select("a", "b", "members").mapInArrow(run, "a bigint, b bigint")
 
 
-class Union:
-    def __init__(self, keys: list) -> None:
-        self.root: dict = {}
-        for k in keys:
-            self.root[k] = k
-
-    def find(self, x):
-        while self.root[x] != x:
-            self.root[x] = x = self.root[self.root[x]]
-        return x
-
-    def join(self, x, y) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.root[max(x, y)] = min(x, y)
-        return x != y
+def clustered(live: DataFrame) -> DataFrame:
+    """(uid, cluster): nodes of ``live`` (token, uid) that share a token, over any number of steps."""
+    rows = live.select("token", "uid").join(cut_small(live.groupBy("token").agg(F.min("uid").alias("first"))), "token")
+    cluster = components(rows.filter("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
+    own = live.select("uid").distinct().join(cluster.select(F.col("node").alias("uid"), F.col("comp").alias("cluster")), "uid", "left")
+    return own.withColumn("cluster", F.coalesce("cluster", "uid"))
 
 
-def settled_in_blocks(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links between the components of ``live`` (token, uid, comp) rows, enough to join all that are linked.
+def met_in_blocks(live: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of ``live`` (token, uid, comp) rows that pass the length and suffix filters.
 
-    Nodes that share a token, over any number of steps, are one cluster. In a cluster every
-    node outside its largest component is compared with all nodes, a chunk against a chunk;
-    inside a task pairs of one component, met or found, are passed over.
+    A cluster's nodes stand by size in chunks of about CHUNK; two chunks meet in a task if their
+    sizes fit and one of them has a node outside the cluster's largest component. A node brings 256
+    bytes there, not its set, and pairs of one component are passed over. With ``nearest`` a node
+    gives only the partner least apart of each block.
     """
-    rows = live.select("token", "uid").join(live.groupBy("token").agg(F.min("uid").alias("first")), "token")
-    cluster = components(rows.filter("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
-    own = live.select("uid", "comp").distinct().join(cluster.select(F.col("node").alias("uid"), F.col("comp").alias("cluster")), "uid", "left")
-    own = own.withColumn("cluster", F.coalesce("cluster", "uid"))
+    own = clustered(live).join(live.select("uid", "comp", "n_shingles").distinct(), "uid")
     sizes = own.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
-    own = cut_small(own.join(main, "cluster").withColumn("probe", F.col("comp") != F.col("main")))
-    probes = own.groupBy("cluster").agg(F.sum(F.col("probe").cast("int")).alias("n_probe"), F.max("n").alias("n_all"))
-    chunks = probes.select("cluster", F.ceil(F.col("n_probe") / CHUNK).cast("int").alias("left"), F.ceil(F.col("n_all") / CHUNK).cast("int").alias("right"))
-    own = own.select("cluster", "uid", "comp", "probe").join(chunks, "cluster")
-    seat = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = own.filter("probe").withColumn("i", seat("left")).withColumn("j", to("right")).withColumn("role", F.lit(0))
-    all_ = own.withColumn("j", seat("right")).withColumn("i", to("left")).withColumn("role", F.lit(1))
-    keys = ["cluster", "i", "j", "role", "uid", "comp"]
-    dealt = mine.select(*keys).unionByName(all_.select(*keys)).join(nodes.select("uid", "prefix", "members", "parts"), "uid")
+    main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("cluster", "main")
+    own = cut_small(own.join(cut_small(main), "cluster").withColumn("probe", (F.col("comp") != F.col("main")).cast("int")))
+    by_size = own.groupBy("cluster", "n_shingles").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_size = cut_small(by_size.withColumn("before", before))
+    seat = F.floor((F.col("before") + F.pmod(F.xxhash64("uid"), F.col("n"))) / CHUNK).cast("int")
+    own = cut_small(own.join(by_size, ["cluster", "n_shingles"]).select("cluster", "uid", "comp", "n_shingles", "probe", seat.alias("chunk")))
+    chunks = own.groupBy("cluster", "chunk").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.max("probe").alias("probe"))
+    one = chunks.select("cluster", F.col("chunk").alias("i"), F.col("hi").alias("hi1"), F.col("probe").alias("p1"))
+    two = chunks.select("cluster", F.col("chunk").alias("j"), F.col("lo").alias("lo2"), F.col("probe").alias("p2"))
+    # Numbers of chunks, a row for thousands of nodes.
+    met = cut_small(one.join(two, "cluster").filter(f"i <= j AND 100 * hi1 >= {percent} * lo2 AND p1 + p2 > 0").select("cluster", "i", "j"))
+    sides = met.select("cluster", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("role")).unionByName(met.filter("i < j").select("cluster", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("role")))
+    seated = own.join(nodes.select("uid", "parts"), "uid")
+    dealt = seated.join(cut_small(sides), ["cluster", "chunk"]).select("cluster", "i", "j", "role", "uid", "comp", "n_shingles", "parts")
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("role", "uid", "comp")}
-        left = [i for i, r in enumerate(cols["role"]) if r == 0]
-        right = [i for i, r in enumerate(cols["role"]) if r == 1]
-        uid, groups = cols["uid"], Union(sorted(set(cols["comp"])))
-        sets = [np.frombuffer(m.as_py(), np.uint64) for m in table.column("members")]
+        role, uid, comp, size = (table.column(c).to_numpy() for c in ("role", "uid", "comp", "n_shingles"))
         parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
-        size = np.array([len(s) for s in sets])
-        prefix = [np.array([t["token"] for t in p.as_py()], np.int64) for p in table.column("prefix")]
-        if not left or not right:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        order = np.array(right)
-        tokens, owner = np.concatenate([prefix[i] for i in right]), np.repeat(np.arange(len(right)), [len(prefix[i]) for i in right])
-        by = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[by], owner[by]
-        out = []
-        for i in left:
-            lo, hi = np.searchsorted(tokens, prefix[i], "left"), np.searchsorted(tokens, prefix[i], "right")
-            met = np.unique(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)])) if len(lo) else np.zeros(0, np.int64)
-            at = order[met]
+        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        within = not len(right)
+        a, b = [], []
+        for k, i in enumerate(left.tolist()):
+            at = left[k + 1 :] if within else right
+            at = at[(comp[at] != comp[i]) & (100 * np.minimum(size[i], size[at]) >= percent * np.maximum(size[i], size[at]))]
             total = size[i] + size[at]
-            ok = (100 * np.minimum(size[i], size[at]) >= percent * np.maximum(size[i], size[at])) & (np.abs(parts[at] - parts[i]).sum(1) <= total - 2 * overlap(total, percent))
-            for j in at[ok].tolist():
-                x, y = groups.find(cols["comp"][i]), groups.find(cols["comp"][j])
-                if x == y:
-                    continue
-                small, large = (sets[i], sets[j]) if size[i] < size[j] else (sets[j], sets[i])
-                common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if 100 * common >= percent * (size[i] + size[j] - common):
-                    groups.join(x, y)
-                    out.append((uid[i], uid[j]))
-        a, b = zip(*out, strict=True) if out else ((), ())
+            apart = np.abs(parts[at] - parts[i]).sum(1)
+            room = total - 2 * overlap(total, percent) - apart
+            ok = room >= 0
+            if nearest and ok.any():
+                ok = np.arange(len(at)) == np.argmax(np.where(ok, room / total, -1.0))
+            a += [int(uid[i])] * int(ok.sum())
+            b += uid[at[ok]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
@@ -331,7 +312,7 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 1) -> DataFram
         if labels is not None:
             own = rows.join(labels, rows["uid"] == labels["node"], "left").withColumn("comp", F.coalesce("comp", "uid")).drop("node")
         many = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("token", "n")
-        return cut_small(own.join(many, "token"))
+        return cut_small(own.join(cut_small(many), "token"))
 
     def add(new: DataFrame) -> None:
         nonlocal labels
@@ -349,7 +330,7 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 1) -> DataFram
         # The same order for all tokens of a round, so that a node meets few different pivots.
         rank = F.struct((F.col("rare") / F.col("n_shingles")).alias("x"), F.col("uid")) if r == 0 else F.struct(F.xxhash64("uid", F.lit(r)).alias("x"), F.col("uid"))
         pivot = hot.groupBy("token").agg(F.min_by(F.struct("uid", "comp"), rank).alias("p")).select("token", F.col("p.uid").alias("a"), F.col("p.comp").alias("pc"))
-        pairs = hot.join(pivot, "token").filter("comp <> pc").select("a", F.col("uid").alias("b")).distinct()
+        pairs = hot.join(cut_small(pivot), "token").filter("comp <> pc").select("a", F.col("uid").alias("b")).distinct()
         add(verified(cut_small(plausible(pairs, nodes, percent)), nodes, percent))
     live = contracted()
     x = live.filter(F.col("n") <= HOT).select("token", F.col("uid").alias("a"), F.col("comp").alias("ca"), F.col("pos").alias("i"), F.col("n_shingles").alias("na"))
@@ -361,9 +342,12 @@ def node_components(nodes: DataFrame, percent: int, rounds: int = 1) -> DataFram
     once = met.groupBy("a", "b").agg(F.min(most).alias("most"), F.first(total).alias("total"))
     fits = once.filter(F.col("most") * (100 + percent) >= F.col("total") * percent).select("a", "b")
     add(verified(cut_small(plausible(fits, nodes, percent)), nodes, percent))
-    hot = contracted().filter(F.col("n") > HOT)
-    if not hot.isEmpty():
-        add(settled_in_blocks(hot, nodes, percent))
+    # Nearest partners first: what they join need not be looked at again, pair by pair.
+    for nearest in (True, False):
+        hot = contracted().filter(F.col("n") > HOT)
+        if hot.isEmpty():
+            break
+        add(verified(cut_small(met_in_blocks(hot, nodes, percent, nearest).distinct()), nodes, percent))
     return labels
 
 
@@ -380,21 +364,23 @@ def linked_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     rows = cut(with_prefixes(parts, frequencies(parts, k, bits, range_bits), k, bits, percent))
     slim = rows.select("uid", "doc_id", "row_key", "n_shingles", "sig1", "sig2")
     reps = slim.filter("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("uid").alias("rep"))
+    reps = cut_small(reps)
     nodes = cut(rows.filter("members IS NOT NULL").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n_shingles", "rare", "prefix", "members", "parts"))
     labels = node_components(nodes, percent)
     own = slim.join(reps, ["n_shingles", "sig1", "sig2"], "left").select("uid", "doc_id", "row_key", "n_shingles", F.coalesce("rep", "uid").alias("rep"))
     own = own.join(labels, own["rep"] == labels["node"], "left").select("uid", "doc_id", "row_key", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     own = cut_small(own)
     least = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("m"))
-    out = own.join(least.select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.uid").alias("kept")), "comp")
+    # Cut, as all the aggregates that meet their own rows here, so that a key many rows have is split.
+    out = own.join(cut_small(least.select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.uid").alias("kept"))), "comp")
     return out.select("doc_id", "row_key", "n_shingles", "component_id", (F.col("uid") == F.col("kept")).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One document of each component, with all its columns; of rows repeated whole one stays."""
     own, at, names = sealed(docs)
-    keep = linked_documents(docs, k, percent).filter("first").select(F.col("row_key").alias("keep")).distinct()
-    own = own.withColumn("key", F.xxhash64(at("doc_id"), at("text")))
-    held = own.join(keep, own["key"] == keep["keep"], "left_semi")
-    one = Window.partitionBy("key").orderBy(F.lit(1))
-    return held.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("key", "n").toDF(*names)
+    keep = linked_documents(docs, k, percent).filter("first").select(F.coalesce("doc_id", F.lit(LOW)).alias("id"), F.col("row_key").alias("key")).distinct()
+    own = own.select("*", *row_of(at("doc_id"), at("text"), ["id", "key"]))
+    held = own.join(keep, ["id", "key"], "left_semi")
+    one = Window.partitionBy("id", "key").orderBy(F.lit(1))
+    return held.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("id", "key", "n").toDF(*names)
