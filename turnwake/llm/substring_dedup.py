@@ -4,8 +4,9 @@ A text is cut into sentences at ``.``, ``!``, ``?`` and line ends; so that a pas
 them is cut alike wherever it stands, a word whose hash is a multiple of 16 also ends one, and
 of LONG words in a row that end none the one with the least hash does, so that a sentence of more
 words is always several. From every sentence on, the shortest run of at least ``min_sentences``
-sentences with at least ``min_words`` words is a span; with ``tails``, so is the shortest one up
-to every sentence's end. Together they cover each sentence of every longer run that is repeated.
+sentences with at least ``min_words`` words is a span, and with ``tails`` so is the shortest one up
+to every sentence's end. Together they cover each sentence of every longer run that is repeated, so
+the result is that of hashing all runs; without ``tails`` a passage's last sentences can stay.
 Spans meet by their hash over all documents; of equal spans the first by (doc_id, place) stays,
 and every sentence covered by another is removed. A span up to an end can only be repeated where
 the shorter one from its start is, so it travels with that one and is looked at only then.
@@ -107,7 +108,8 @@ def spans(raw: np.ndarray, off: np.ndarray, min_sentences: int, min_words: int)
 def later_places(spans: DataFrame) -> DataFrame:
     """The spans (h, doc_id, row_key, start, n) that stand at an earlier place too."""
     first = spans.filter("doc_id = first_doc").groupBy("h").agg(F.min(F.struct("row_key", "start")).alias("f")).select("h", F.col("f.row_key").alias("fk"), F.col("f.start").alias("fs"))
-    return spans.join(first, "h").filter("NOT (doc_id = first_doc AND row_key = fk AND start = fs)").select("doc_id", "row_key", "start", "n")
+    # Cut as in ``repeats``.
+    return spans.join(cut_small(first), "h").filter("NOT (doc_id = first_doc AND row_key = fk AND start = fs)").select("doc_id", "row_key", "start", "n")
 
 
 def repeats(spans: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def removed_runs(docs: DataFrame, min_sentences: int, min_words: int, tails: boo
     return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
-def clean(docs: DataFrame, min_sentences: int = 2, min_words: int = 30, tails: bool = False) -> DataFrame:
+def clean(docs: DataFrame, min_sentences: int = 2, min_words: int = 30, tails: bool = True) -> DataFrame:
     """All columns of ``docs``, the text without what other documents or places had before, and
     __sentences, __removed (numbers of sentences) and __removed_words."""
     low = F.lit(-(1 << 63)).cast("long")
