@@ -1,11 +1,11 @@
 """Steps of a run: load, build, analyse, report, sample.
 
     python -m turnwake.cli load --folder data --months 12
-    python -m turnwake.cli build --flights data/flights --tables data/tables
-    python -m turnwake.cli analyse --flights data/flights --results results
+    python -m turnwake.cli build --flights data/flights --airports airports.csv --tables data/tables
+    python -m turnwake.cli analyse --flights data/flights --airports airports.csv --results results
     python -m turnwake.cli report --results results --template page.html --out site/index.html
     python -m turnwake.cli sample --flights data/flights --days 2026-03-07 2026-03-08 --out fixture
-    python -m turnwake.cli lineage --flights data/flights
+    python -m turnwake.cli lineage --flights data/flights --airports airports.csv
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pathlib import Path
 from .config import Config
 from .plans import analysis, publish, quality, warehouse
 from .session import session
-from .sources import flights, sample
-from .sources.airports import airports
+from .sources import airports, flights, sample
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,11 +30,12 @@ def parser() -> argparse.ArgumentParser:
 
     path = {"required": True}
     step("load", folder=path, months={"type": int, "default": 12})
-    step("build", flights=path, tables=path)
-    step("analyse", flights=path, results=path)
+    capped = {"memory": {}, "cores": {"type": int}}
+    step("build", flights=path, airports=path, tables=path, **capped)
+    step("analyse", flights=path, airports=path, results=path, **capped)
     step("report", results=path, template=path, out=path)
     step("sample", flights=path, days={"nargs": "+", "required": True}, out=path)
-    step("lineage", flights=path)
+    step("lineage", flights=path, airports=path)
     return top
 
 
@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
         tables, summary = publish.read(a.results)
         Path(a.out).write_text(publish.page(Path(a.template).read_text(), tables, summary))
         return
-    spark = session()
+    spark = session(memory=getattr(a, "memory", None), cores=getattr(a, "cores", None))
     if a.step == "load":
         flights.load(spark, Path(a.folder), a.months)
         return
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.step == "sample":
         sample.write_csv(sample.whole_tails(raw, a.days), a.out)
         return
-    built = warehouse.build(raw, airports(spark))
+    built = warehouse.build(raw, airports.load(spark, a.airports))
     if a.step == "build":
         for name in quality.check(spark, built.tables):
             print(f"warning: {name}")

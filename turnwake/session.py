@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 #: Clock arithmetic is done in UTC; joins and shuffles are re-planned at run time.
 SETTINGS = {
@@ -12,14 +12,24 @@ SETTINGS = {
 }
 
 
-def session(app: str = "turnwake", **conf: str) -> SparkSession:
+def session(app: str = "turnwake", memory: str | None = None, cores: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings above; ``memory`` and ``cores`` cap each executor, and the driver on a local master."""
+    caps = {"spark.executor.memory": memory, "spark.driver.memory": memory, "spark.executor.cores": cores, "spark.cores.max": cores}
     builder = SparkSession.builder.appName(app)
-    for k, v in (SETTINGS | conf).items():
+    for k, v in (SETTINGS | {k: str(v) for k, v in caps.items() if v is not None} | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """An existing session with the clock in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """A session given by others with the clock in UTC, which stays so: the plans it returns run later."""
+    spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
     return spark
+
+
+def only_row(df: DataFrame) -> Row:
+    """The row of a result that must have one and no more."""
+    got = df.take(2)
+    if len(got) != 1:
+        raise ValueError(f"one row was expected, there are {'none' if not got else 'several'}")
+    return got[0]

@@ -1,8 +1,14 @@
-"""Airports with their time zones: a small fixed table."""
+"""Airports with their time zones: a table given by the caller, and a small fixed one for tests.
+
+Clock times are local, so every station of the flights needs its zone. ``load`` reads a CSV or
+Parquet table with a row per airport; a file of all the world's airports has some ten thousand
+rows, and what is kept of it some hundred, so the planner broadcasts it by its size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Iata, name, city, state, zone, latitude, longitude.
 AIRPORTS = (
@@ -29,6 +35,32 @@ AIRPORTS = (
 )
 
 
+#: The countries and territories whose carriers report.
+COUNTRIES = ("US", "PR", "VI", "GU", "MP", "AS")
+FIELDS = ("iata", "name", "city", "state", "tz", "lat", "lon")
+
+
+def seeded(table: DataFrame, countries: tuple[str, ...] = COUNTRIES) -> DataFrame:
+    """(iata, name, city, state, tz, lat, lon) of the airports with code and zone in ``countries``, by iata.
+
+    The state may be called ``subd``; a table without ``country`` is taken whole. Of rows with one
+    code the first by name stays, so that no flight is doubled.
+    """
+    state = "state" if "state" in table.columns else "subd"
+    own = table.filter(F.col("country").isin(*countries)) if "country" in table.columns else table
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    place = lambda c: F.round(F.col(c).cast("double"), 5)
+    own = own.select(text("iata").alias("iata"), *(text(c).alias(n) for c, n in (("name", "name"), ("city", "city"), (state, "state"), ("tz", "tz"))), place("lat").alias("lat"), place("lon").alias("lon"))
+    rest = FIELDS[1:]
+    one = own.filter("iata IS NOT NULL AND tz IS NOT NULL").groupBy("iata").agg(F.min_by(F.struct(*rest), F.struct(*rest)).alias("x"))
+    return one.select("iata", *(F.col(f"x.{c}").alias(c) for c in rest)).orderBy("iata")
+
+
+def load(spark: SparkSession, path: str, countries: tuple[str, ...] = COUNTRIES) -> DataFrame:
+    """``seeded`` from a CSV file with a header or a Parquet table."""
+    return seeded(spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path), countries)
+
+
 def airports(spark: SparkSession, rows: tuple = AIRPORTS) -> DataFrame:
     """(iata, name, city, state, tz, lat, lon), by iata; rows without code or zone are left out."""
     kept = sorted((*r[:5], round(r[5], 5), round(r[6], 5)) for r in rows if r[0] and r[4])
