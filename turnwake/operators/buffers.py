@@ -1,13 +1,13 @@
 """Where to put buffer: scores of cells (station, local hour) and policies under a budget.
 
-Cell tables are some thousand rows (stations x 24); policies that are a formula stay columns,
-the one that draws at random is made on the driver.
+Cell tables are some thousand rows (stations x 24) whatever the number of flights, so a policy
+that orders all cells does so in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chains import CELL, decomposed, folded, runs
@@ -74,13 +74,27 @@ def rounded(buffers: DataFrame, step: float = 5.0) -> DataFrame:
     return buffers.select(*CELL, (F.bround(F.col("buffer") / step) * step).alias("buffer"))
 
 
+def steps_in_order(placed: DataFrame, budget: float, step: float = 5.0) -> DataFrame:
+    """One ``step`` on each cell of (origin, dep_hour_local, nbar, place) that the rest of the budget holds,
+    by place; a cell that would exceed it is passed over, and later ones may still fit.
+
+    What is left depends on every cell before, so the cells, some thousand, are one ordered array
+    and the rest a fold over it.
+    """
+    line = placed.agg(F.sort_array(F.collect_list(F.struct("place", *CELL, (F.lit(float(step)) * F.col("nbar")).alias("cost")))).alias("line"))
+    start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast("array<boolean>").alias("given"))
+
+    def take(acc: Column, cell: Column) -> Column:
+        fits = (cell["cost"] > 0) & (cell["cost"] <= acc["left"])
+        return F.struct((acc["left"] - F.when(fits, cell["cost"]).otherwise(F.lit(0.0))).alias("left"), F.array_append(acc["given"], fits).alias("given"))
+
+    each = line.select("line", F.aggregate("line", start, take)["given"].alias("given")).select(F.explode(F.arrays_zip("line", "given")).alias("x"))
+    return each.select(*(F.col(f"x.line.{c}").alias(c) for c in CELL), F.when(F.col("x.given"), F.lit(float(step))).otherwise(F.lit(0.0)).alias("buffer"))
+
+
 def uniform_steps(known: DataFrame, budget: float, step: float = 5.0, seed: int = 0) -> DataFrame:
-    """One step on cells in random order as long as the budget holds; a cell that would exceed it is passed over."""
-    rows = known.orderBy(*CELL).collect()
-    buffer, left = [0.0] * len(rows), float(budget)
-    for i in np.random.default_rng(seed).permutation(len(rows)):
-        cost = step * rows[i]["nbar"]
-        if 0 < cost <= left:
-            buffer[i], left = step, left - cost
-    out = [(r["origin"], r["dep_hour_local"], b) for r, b in zip(rows, buffer, strict=True)]
-    return known.sparkSession.createDataFrame(out, "origin string, dep_hour_local int, buffer double")
+    """``steps_in_order`` with the cells in random order: NumPy's permutation of them by their key."""
+    number = known.withColumn("i", F.row_number().over(Window.orderBy(*CELL)) - 1)
+    order = np.random.default_rng(seed).permutation(known.count())
+    places = known.sparkSession.createDataFrame([(int(i), place) for place, i in enumerate(order)], "i int, place int")
+    return steps_in_order(number.join(places, "i").drop("i"), budget, step)

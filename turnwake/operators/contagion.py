@@ -43,8 +43,8 @@ def events(legs: DataFrame, match: tuple[str, ...] = MATCH, rem_cap: int | None
     return matched(clean_starts(legs, rem_cap, drop_coded), match)
 
 
-def _point(df: DataFrame, key: Column, name: str) -> DataFrame:
-    t = df.groupBy(key.alias(name)).agg(F.count("*").alias("n_events"), F.sum("x").alias("primary_min"), F.sum("excess").alias("excess_min"))
+def _point(df: DataFrame, key: Column, name: str, *more: Column) -> DataFrame:
+    t = df.groupBy(key.alias(name)).agg(F.count("*").alias("n_events"), F.sum("x").alias("primary_min"), F.sum("excess").alias("excess_min"), *more)
     return t.withColumn("multiplier", F.try_divide("excess_min", "primary_min"))
 
 
@@ -55,8 +55,8 @@ def _daily(df: DataFrame, key: Column, name: str) -> DataFrame:
 def curve(ev: DataFrame) -> DataFrame:
     """Multiplier and means by bin of the primary delay."""
     late = ev.filter(F.col("x") >= DELAY_EDGES[0])
-    means = late.groupBy(delay_bin(F.col("x")).alias("x_bin")).agg(*(F.avg(c).alias(n) for c, n in (("x", "mean_x"), ("excess", "mean_excess"), ("s", "mean_downstream"), ("baseline", "mean_baseline"))))
-    return _point(late, delay_bin(F.col("x")), "x_bin").join(means, "x_bin")
+    means = (F.avg(c).alias(n) for c, n in (("x", "mean_x"), ("excess", "mean_excess"), ("s", "mean_downstream"), ("baseline", "mean_baseline")))
+    return _point(late, delay_bin(F.col("x")), "x_bin", *means)
 
 
 def curve_intervals(ev: DataFrame, seed: int = 0) -> pd.DataFrame:
@@ -99,10 +99,22 @@ def over_carrier_mix_intervals(ev: DataFrame, key: str, multipliers: DataFrame,
 
 
 def superspreaders(ev: DataFrame, airports: DataFrame, least: int = 0) -> DataFrame:
-    """Multipliers by airport with what is over the carrier mix, and where it lies; the worst first."""
-    raw, adjusted = by(ev, "origin", least), over_carrier_mix(ev, "origin", by(ev, "carrier")).select("origin", "carrier_mix", "excess_over_mix")
+    """Multipliers by airport with what is over the carrier mix, and where it lies; the worst first.
+
+    Events are summed by airport and carrier once; both multipliers come from those sums.
+    """
+    pair = ev.filter(F.col("x") >= LATE_MIN).groupBy("origin", "carrier").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("excess").alias("excess"))
+    own = F.try_divide("excess_min", "primary_min").alias("m")
+    carriers = pair.groupBy("carrier").agg(F.sum("x").alias("primary_min"), F.sum("excess").alias("excess_min")).select("carrier", own)
+    mixed = pair.join(carriers, "carrier").groupBy("origin").agg(
+        F.sum("n").alias("n_events"), F.sum("x").alias("primary_min"), F.sum("excess").alias("excess_min"), F.sum(F.col("m") * F.col("x")).alias("mix")
+    )
     place = airports.select(F.col("iata").alias("origin"), "name", "city", "state", "lat", "lon")
-    return raw.join(adjusted, "origin", "left").join(place, "origin", "left").orderBy(F.col("excess_over_mix").desc_nulls_last(), "origin")
+    share = lambda c, n: F.try_divide(c, F.col("primary_min")).alias(n)
+    out = mixed.filter(F.col("n_events") >= least).select(
+        "origin", "n_events", "primary_min", "excess_min", share(F.col("excess_min"), "multiplier"), share(F.col("mix"), "carrier_mix"), share(F.col("excess_min") - F.col("mix"), "excess_over_mix")
+    )
+    return out.join(place, "origin", "left").orderBy(F.col("excess_over_mix").desc_nulls_last(), "origin")
 
 
 def coded_late(ev: DataFrame) -> DataFrame:
