@@ -7,7 +7,10 @@ legs left, without the day.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from ..operators import contagion, descriptive, evaluate, hinge
 from ..operators.lp import Program
 from ..session import prepared
 from ..sources.adapter import RAW_SQL, ZONES, test_flights
-from ..sources.airports import AIRPORTS
+from ..sources.airports import AIRPORTS, seeded
 from ..sources.sample import whole_tails
 from . import quality
 from . import warehouse as W
@@ -98,6 +101,28 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(whole_tails(raw, ["2024-01-10", "2024-01-11"], 5))
 
 
+def _designs(w: W.Warehouse) -> DataFrame:
+    """The multiplier of late departures under every design, without intervals."""
+    parts = []
+    for name, how in contagion.DESIGNS:
+        options = dict(how)
+        ev = contagion.events(w.legs, (*MATCH, *options.pop("more", ())), **options).withColumn("variant", F.lit(name))
+        parts.append(contagion.by(ev, "variant"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _placed(w: W.Warehouse) -> DataFrame:
+    """Cells in an order that SQL can say too: by the digest of their key."""
+    return B.cells(_legs(w)).withColumn("place", F.md5(F.concat_ws("|", *C.CELL).cast("binary")))
+
+
+#: Airports of a wider table: some without code or zone, one abroad, one twice.
+WORLD = """VALUES ('US', 'ATL', 'Hartsfield', 'Atlanta', 'Georgia', 'America/New_York', 33.6366996D, -84.4278640D), ('GU', 'GUM', 'Guam', 'Hagatna', 'Guam', 'Pacific/Guam', 13.4834500D, 144.7959832D),
+    ('US', '', 'Private Field', 'Nowhere', 'Ohio', 'America/New_York', 40.0D, -82.0D), ('US', 'XXZ', 'No Zone', 'Nowhere', 'Ohio', '', 40.0D, -82.0D), ('DE', 'FRA', 'Frankfurt', 'Frankfurt', 'Hesse', 'Europe/Berlin', 50.0264D, 8.543D),
+    ('PR', 'SJU', 'San Juan', 'San Juan', NULL, 'America/Puerto_Rico', 18.4393997D, -66.0018005D), ('US', 'ATL', 'A second row', 'Atlanta', 'Georgia', 'America/New_York', 33.0D, -84.0D)
+    AS t(country, iata, name, city, subd, tz, lat, lon)"""
+GAINS = "VALUES (0, 10, 1.5D, 0.5D), (1, 10, 0.5D, 0.25D), (2, 10, 1.0D, 0.75D), (0, 22, 0.75D, 0.875D) AS t(replicate, scenario_days, gain_train, gain_test)"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_flights": lambda spark, d: plain(test_flights(prepared(spark), d)[0]),
     "stg_flights": _query(lambda w: w.stg_flights),
@@ -142,7 +167,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "turn_features": _query(lambda w: hinge.features(w.turns)),
     "superspreaders": _query(lambda w: contagion.superspreaders(_events(w), w.airports, 5)),
     "ranked_hubs": _query(lambda w: evaluate.ranked(descriptive.top_hubs(w.turns, 100), "turns")),
-    "stations_without_test": _query(lambda w: hinge.without_test(hinge.fit(hinge.day_sums(_early(w.turns), "station")), _late(w.turns).filter("dep_hour_local < 3 AND station <> 'ATL'").select(F.col("station").alias("g")).distinct())),
+    "stations_without_test": _query(lambda w: hinge.without_test(hinge.fit(hinge.day_sums(_early(w.turns), "station")), hinge.usable(_late(w.turns)).select(F.col("station").alias("g")).distinct())),
+    "airports": lambda spark, d: plain(seeded(spark.sql(f"SELECT * FROM {WORLD}"))),
+    "contagion_events_by_day": _query(lambda w: contagion.events(w.legs)),
+    "robustness_points": _query(_designs),
+    "scenario_legs_of_month": _query(lambda w: C.scenario_legs(w.legs, CARRIER, C.scenario_days(w.legs, CARRIER, [HINGE_MONTHS[1]]))),
+    "steps_in_order": _query(lambda w: B.steps_in_order(_placed(w), BUDGET)),
+    "mean_gain_by_size": lambda spark, d: plain(evaluate.mean_gain_by_size(spark.sql(f"SELECT * FROM {GAINS}"))),
     "fixture_sample": _sample,
     "dq_report": _query(lambda w: quality.report(w.tables)),
 }
@@ -175,13 +206,39 @@ def _optimal(w: W.Warehouse) -> DataFrame:
     return program.table(buffers).withColumns({"objective": F.lit(value), "gap": F.lit(gap)})
 
 
-def _frontier(w: W.Warehouse):
-    cfg = Config(tolerance=1e-6)
-    program = _program(w)
-    train, test = program.legs, _test_legs(w).persist()
-    scores = [s.persist() for s in (B.propagated_score(train, TAU, BETA), B.marginal_score(train, program.known, TAU, BETA, B_MAX))]
-    named = {(p, b): df for b in (0.0, BUDGET) for p, df in evaluate.policies(program, b, cfg, *scores).items()}
-    return evaluate.frontier(train, test, named, TAU, BETA, cfg)
+#: The program is solved to the same gap in every query; the rest are the run's own values.
+CONFIG = Config(tolerance=1e-6, budgets=tuple(BUDGET * x for x in (0, 0.25, 0.5, 1, 1.5, 2, 3, 4)), reference_budget=BUDGET)
+
+
+@dataclass
+class Solved:
+    """The program on the training days, the held-out days, and both scores of cells."""
+
+    w: W.Warehouse
+
+    def __post_init__(self) -> None:
+        self.program, self.test = _program(self.w), _test_legs(self.w).persist()
+        train = self.program.legs
+        self.scores = [s.persist() for s in (B.propagated_score(train, TAU, BETA), B.marginal_score(train, self.program.known, TAU, BETA, B_MAX))]
+
+    def policies(self, budget: float = BUDGET) -> dict[str, DataFrame]:
+        return evaluate.policies(self.program, budget, CONFIG, *self.scores)
+
+    def frontier(self):
+        named = {(p, b): df for b in CONFIG.budgets for p, df in self.policies(b).items()}
+        return evaluate.frontier(self.program.legs, self.test, named, TAU, BETA, CONFIG)
+
+    def allocation(self) -> DataFrame:
+        return evaluate.allocation(self.program, self.policies()[evaluate.LP], *self.scores)
+
+    def sensitivity(self):
+        return evaluate.sensitivity(self.test, self.policies(), TAU, BETA, CONFIG)
+
+    def schedule(self):
+        return evaluate.schedule(self.test, self.policies(), TAU, BETA)
+
+    def sizes(self):
+        return evaluate.size_study(self.program.legs, self.test, TAU, BETA, CONFIG)
 
 
 UNCHECKED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -192,7 +249,11 @@ UNCHECKED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbm_scores": _query(_boosted),
     "uniform_steps_policy": _query(lambda w: B.uniform_steps(B.cells(_legs(w)), BUDGET)),
     "lp_allocation": _query(_optimal),
-    "buffer_frontier": _frame(_frontier),
+    "buffer_frontier": _frame(lambda w: Solved(w).frontier()),
+    "buffer_allocation": _query(lambda w: Solved(w).allocation()),
+    "buffer_sensitivity": _frame(lambda w: Solved(w).sensitivity()),
+    "buffer_schedule": _frame(lambda w: Solved(w).schedule()),
+    "buffer_scenario_sizes": _frame(lambda w: Solved(w).sizes()),
 }
 
 
@@ -306,6 +367,29 @@ _MARGINAL = f"""{_CELLS},
       UNION ALL SELECT n.chain_id, n.leg_seq, n.co, n.ch, CAST(n.p + {BETA} * greatest(0, r.arrival - n.sched_turn_min - n.pad + {TAU}) + n.e AS DOUBLE) FROM rec r JOIN te n ON n.chain_id = r.chain_id AND n.leg_seq = r.leg_seq + 1 AND NOT n.st AND n.co = r.co AND n.ch = r.ch),
     ga AS (SELECT co AS origin, ch AS dep_hour_local, sum(greatest(te.arr_delay, 0) - greatest(arrival, 0)) AS gain FROM rec JOIN te USING (chain_id, leg_seq, co, ch) GROUP BY ALL)"""
 
+
+
+def _events_sql(match: tuple[str, ...], rem: str = "least(legs_remaining, 4)", where: str = "true") -> str:
+    """``_EVENTS`` under another design."""
+    return f"""dn AS (SELECT *, sum(greatest(coalesce(arr_delay, 0), 0)) OVER (PARTITION BY chain_id ORDER BY leg_seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS s FROM legs),
+    ss AS (SELECT flight_id, carrier, origin, flight_date, dep_hour_local, dep_period, {rem} AS rem, dep_delay AS x, s, late_aircraft_delay FROM dn WHERE legs_remaining >= 1 AND (leg_seq = 1 OR inbound_arr_delay <= 0) AND dep_delay BETWEEN -60 AND 600 AND {where}),
+    ct AS (SELECT {", ".join(match)}, avg(s) AS baseline, count(*) AS n_ctrl FROM ss WHERE x <= 0 GROUP BY ALL),
+    ce AS (SELECT ss.*, baseline, n_ctrl, s - baseline AS excess FROM ss JOIN ct USING ({", ".join(match)}) WHERE n_ctrl >= 5)"""
+
+
+def _designs_sql() -> str:
+    ways = ((MATCH, {}), ((*MATCH, "origin"), {}), (MATCH, {"rem": "legs_remaining"}), (MATCH, {"where": "coalesce(late_aircraft_delay, 0) = 0"}))
+    # The parts are chained under one WITH, each with names of its own.
+    chained, picks = [], []
+    for i, ((name, _), (match, how)) in enumerate(zip(contagion.DESIGNS, ways, strict=True)):
+        sql = _events_sql(match, **how)
+        for t in ("dn", "ss", "ct", "ce"):
+            sql = re.sub(rf"\b{t}\b", f"{t}{i}", sql)
+        chained.append(sql)
+        picks.append(_ratio(f"'{name}'", "variant", "x >= 15").replace("FROM ce", f"FROM ce{i}").replace(f"GROUP BY '{name}'", "HAVING count(*) > 0"))
+    return ", ".join(chained) + " " + " UNION ALL ".join(picks)
+
+
 _SQL: dict[str, str] = {
     "stg_flights": f"SELECT * REPLACE ({_T('crs_dep_local', 'crs_arr_local', 'crs_dep_utc', 'crs_arr_utc', 'act_dep_utc', 'act_arr_utc')}, {_D('flight_date')}) FROM stg",
     "leg_sequence": f"SELECT flight_id, carrier, tail_number, chain_id, leg_seq, chain_legs, {_D('chain_date')}, is_linked, prev_flight_id, sched_turn_min, actual_turn_min, inbound_arr_delay, {_T('inbound_crs_arr_utc')} FROM wide",
@@ -349,7 +433,14 @@ _SQL: dict[str, str] = {
         (SELECT origin, count(*) AS n_events, round(sum(x), 6) AS primary_min, round(sum(excess), 6) AS excess_min, round(sum(excess) / sum(x), 6) AS multiplier, round(sum(m * x) / sum(x), 6) AS carrier_mix, round(sum(excess - m * x) / sum(x), 6) AS excess_over_mix
          FROM ce JOIN m USING (carrier) WHERE x >= 15 GROUP BY origin HAVING count(*) >= 5) LEFT JOIN ap USING (origin)""",
     "ranked_hubs": "SELECT station, count(*) AS turns, CAST(rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS rank FROM turns GROUP BY station",
-    "stations_without_test": f"SELECT DISTINCT station AS g FROM turns WHERE {_USE} AND flight_date <= DATE '{SPLIT}' AND station NOT IN (SELECT station FROM turns WHERE flight_date > DATE '{SPLIT}' AND dep_hour_local < 3 AND station <> 'ATL')",
+    "stations_without_test": f"SELECT DISTINCT station AS g FROM turns WHERE {_USE} AND flight_date <= DATE '{SPLIT}' AND station NOT IN (SELECT station FROM turns WHERE {_USE} AND flight_date > DATE '{SPLIT}')",
+    "contagion_events_by_day": f"{_events_sql(contagion.MATCH)} SELECT * REPLACE ({_D('flight_date')}, round(baseline, 6) AS baseline, round(excess, 6) AS excess) FROM ce",
+    "robustness_points": _designs_sql(),
+    "scenario_legs_of_month": f"SELECT chain_id, leg_seq, CAST(chain_date AS VARCHAR) AS day, origin, dep_hour_local, sched_turn_min, dep_delay, arr_delay FROM legs WHERE carrier = '{CARRIER}' AND NOT is_diverted AND arr_delay IS NOT NULL AND chain_date IN (SELECT chain_date FROM legs WHERE carrier = '{CARRIER}' AND strftime(chain_date, '%Y-%m') = '{HINGE_MONTHS[1]}')",
+    "steps_in_order": f"""{_CELLS}, pl AS (SELECT origin, dep_hour_local, 5.0 * nbar AS cost, row_number() OVER (ORDER BY md5(origin || '|' || dep_hour_local)) AS i FROM cl),
+        kn AS (SELECT 0::BIGINT AS i, {BUDGET}::DOUBLE AS rest, 0.0::DOUBLE AS buffer, ''::VARCHAR AS origin, 0 AS dep_hour_local
+          UNION ALL SELECT p.i, CASE WHEN p.cost > 0 AND p.cost <= k.rest THEN k.rest - p.cost ELSE k.rest END, CASE WHEN p.cost > 0 AND p.cost <= k.rest THEN 5.0 ELSE 0.0 END, p.origin, p.dep_hour_local FROM kn k JOIN pl p ON p.i = k.i + 1)
+        SELECT origin, dep_hour_local, buffer FROM kn WHERE i > 0""",
     "cell_turns": f"{_CELLS} SELECT origin, dep_hour_local, round(nbar, 6) AS nbar FROM cl",
     "propagated_score": f"{_CELLS} SELECT origin, dep_hour_local, round(score, 6) AS score FROM ps",
     "marginal_score": f"{_MARGINAL} SELECT origin, dep_hour_local, round(gain / (SELECT days FROM nd) / ({B_MAX} * nbar), 6) + 0.0 AS score FROM ga JOIN cl USING (origin, dep_hour_local)",
@@ -400,6 +491,9 @@ def _quality_sql() -> str:
     return f"SELECT expectation, broken, CASE WHEN broken > e THEN 'error' WHEN broken > w THEN 'warn' ELSE 'pass' END AS status FROM ({' UNION ALL '.join(parts)})"
 
 
+ORACLE_SQL["airports"] = f"""SELECT iata, arg_min(name, name) AS name, arg_min(city, name) AS city, min_by(subd, name) AS state, arg_min(tz, name) AS tz, arg_min(round(lat, 5), name) AS lat, arg_min(round(lon, 5), name) AS lon
+    FROM (SELECT * FROM ({WORLD.replace("D,", "::DOUBLE,").replace("D)", "::DOUBLE)")})) WHERE country IN ('US', 'PR', 'VI', 'GU', 'MP', 'AS') AND iata <> '' AND tz <> '' GROUP BY iata"""
+ORACLE_SQL["mean_gain_by_size"] = f"SELECT scenario_days, avg(gain_train) AS gain_train, avg(gain_test) AS gain_test FROM ({GAINS.replace('D,', '::DOUBLE,').replace('D)', '::DOUBLE)')}) GROUP BY scenario_days"
 ORACLE_SQL["dq_report"] = _BASE.rstrip().removesuffix(",") + " " + _quality_sql()
 ORACLE_SQL["raw_flights"] = f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM {_RAW_TIMES}"
 ORACLE_SQL["fixture_sample"] = f"""WITH {RAW_SQL}, picked AS (SELECT * FROM {_RAW_TIMES} WHERE day IN (DATE '2024-01-10', DATE '2024-01-11')),
