@@ -10,10 +10,11 @@ import pandas as pd
 import pytest
 
 from turnwake import cli
-from turnwake.plans import publish
-from turnwake.sources import adapter, flights, sample
+from turnwake.plans import publish, warehouse
+from turnwake.session import only_row
+from turnwake.sources import adapter, airports, flights, sample
 
-from .toy import ROTATION, raw
+from .toy import ROTATION, flight, raw
 
 
 def test_month_before():
@@ -118,6 +119,44 @@ def test_results_come_back_and_make_a_page(tmp_path):
     assert (tmp_path / "o.html").read_text() == "<p>10</p>"
 
 
+def test_headlines_of_a_whole_run():
+    tables, summary = results()
+    # A night hour with few flights is no peak.
+    tables["reactionary_by_hour"] = pd.DataFrame({"dep_hour_local": [2, 6, 18, 19], "primary_per_flight": 3.0, "reactionary_per_flight": [40.0, 1.0, 9.0, 9.0]})
+    tables["carrier_rotations"] = pd.DataFrame({"carrier": ["WN", "DL"], "legs_per_aircraft_day": [5.5, 4.0], "median_sched_turn_min": [45.0, 60.0]})
+    tables["contagion_robustness"] = pd.DataFrame([{"variant": n, "n_events": 10, "multiplier": 0.9, "multiplier_lo": 0.8, "multiplier_hi": 1.0, "small_slip_multiplier": 1.5} for n in "abcd"])
+    tables["superspreaders"] = pd.DataFrame({"origin": ["A", "B"], "city": ["X", "Y"], "multiplier": [1.0, 1.2], "carrier_mix": 0.9, "excess_over_mix": [0.3, 0.1], "excess_over_mix_lo": [0.2, 0.0], "excess_over_mix_hi": [0.4, 0.15]})
+    row = {"avoided_test": 1000.0, "avoided_test_lo": 900.0, "avoided_test_hi": 1100.0, "gain_vs_uniform": 400.0, "gain_vs_uniform_lo": 300.0, "gain_vs_uniform_hi": 500.0, "buffer_test": 700.0, "avoided_per_buffer_min": 1.5, "cells_padded": 12}
+    tables["buffer_frontier"] = pd.DataFrame([row | {"policy": p, "budget": 600.0} for p in publish.QUOTED.values()])
+    tables["buffer_sensitivity"] = pd.DataFrame([{"tau_eval": 30.0, "beta_eval": 0.9, "policy": "LP-optimised", "avoided_test": 10.0, "per_min_vs_uniform": v} for v in (1.5, 1.9)])
+    summary["contagion"] = {"overall": {"multiplier": 0.98, "multiplier_lo": 0.96, "multiplier_hi": 1.0, "n_events": 7}, "matched_events": 9, "late_aircraft_coded": {"share_events": 0.1, "share_primary_min": 0.2}}
+    summary["buffer"] = {"carrier": "WN", "reference_budget": 600.0, "turns_per_day_train": 3000.0, "uniform_at_lp_spend": 650.0, "baseline_delay_per_day_test": 20000.0, "reference": {p: row for p in publish.QUOTED.values()}}
+    h = publish.headlines(tables, summary)
+    assert h["peak_hour"] == "18:00" and h["carrier_legs_rank"] == "1" and h["shortest_median_turn"] == "45 min (Southwest)"
+    assert h["worst_airports"] == "A (X) and B (Y)" and h["worst_airport_stands_out"] == "yes" and h["multiplier_with_origin"] == "0.90"
+    assert h["lp_avoided"] == "1,000 [900, 1,100]" and h["uniform_seconds"] == "12" and h["lp_share_of_delay"] == "5.0%" and h["lp_times_uniform_range"] == "1.5 to 1.9"
+    assert len(h) > 60
+
+
+def test_airports_from_a_table(spark, tmp_path):
+    rows = [f"S{i:02d},Field {i},City {i},State,{zone},{30 + i / 7},{-90 - i / 7},US" for i, zone in enumerate(["America/Chicago", "America/Denver", "America/New_York"] * 10)]
+    (tmp_path / "a.csv").write_text("\n".join(["iata,name,city,subd,tz,lat,lon,country", *rows, "FRA,F,F,H,Europe/Berlin,50,8,DE", ",x,x,x,America/Denver,1,2,US"]))
+    got = airports.load(spark, str(tmp_path / "a.csv"))
+    assert got.columns == list(airports.FIELDS) and [r["iata"] for r in got.collect()] == [f"S{i:02d}" for i in range(30)]
+    assert got.first()["lat"] == 30.0 and got.collect()[1]["lon"] == -90.14286
+    flown = [flight(i, "2026-07-01", "WN", f"N{i}", f"S{i:02d}", f"S{(i + 1) % 30:02d}", "0800", "0930", 90.0) for i in range(30)]
+    raw(spark, flown).write.parquet(str(tmp_path / "flights" / "m.parquet"))
+    built = warehouse.build(flights.read(spark, str(tmp_path / "flights" / "*")), got)
+    assert built.stg_flights.filter("crs_dep_utc IS NOT NULL AND crs_arr_utc IS NOT NULL").count() == 30
+
+
+def test_one_row_or_an_error(spark):
+    assert only_row(spark.range(1))["id"] == 0
+    for n in (0, 2):
+        with pytest.raises(ValueError):
+            only_row(spark.range(n))
+
+
 def test_tables_of_policies():
     f = pd.DataFrame([{"policy": "Uniform", "budget": 40.0, "avoided_test": 30.0, "avoided_test_lo": 20.0, "avoided_test_hi": 41.0, "buffer_test": 39.0, "avoided_per_buffer_min": 0.77}])
     assert "| Uniform | 30 [20, 41] | 39 | 0.77 |" in publish.policy_table(f, 40.0)

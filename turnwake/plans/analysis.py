@@ -12,6 +12,7 @@ from ..operators import chains as C
 from ..operators import contagion, descriptive, evaluate, hinge
 from ..operators.bootstrap import week_blocks
 from ..operators.lp import Program
+from ..session import only_row
 from .warehouse import Warehouse
 
 Results = dict[str, pd.DataFrame]
@@ -29,7 +30,7 @@ def describe(w: Warehouse) -> tuple[Results, dict]:
         "reactionary_by_hour": descriptive.by_hour(t["agg_delay_causes"]).toPandas(),
         "carrier_rotations": descriptive.rotations_by_carrier(w.legs, w.turns).toPandas(),
     }
-    return tables, {"network": descriptive.network(t["agg_carrier_month"], w.legs, w.turns).first().asDict()}
+    return tables, {"network": only_row(descriptive.network(t["agg_carrier_month"], w.legs, w.turns)).asDict()}
 
 
 def propagate(turns: DataFrame, train: list[str], test: list[str], cfg: Config, trees: bool = True) -> tuple[Results, dict, pd.DataFrame]:
@@ -48,12 +49,12 @@ def propagate(turns: DataFrame, train: list[str], test: list[str], cfg: Config,
     tables = {f"hinge_{name}": fits[g].merge(s.toPandas().rename(columns={"g": "group"}), on="group") for g, name, s in (("carrier", "carriers", by_carrier), ("station", "airports", scores["station"]))}
     tables["hinge_binned_test"] = hinge.shape(unseen).orderBy("carrier", "ground_left").toPandas()
     c = tables["hinge_carriers"]
-    total = hinge.pooled(by_carrier).first().asDict()
+    total = only_row(hinge.pooled(by_carrier)).asDict()
     beats = lambda m: int((c["mae_hinge"] < c[f"mae_{m}"]).sum())
     models = [k.removeprefix("mae_") for k in total if k.startswith("mae_")]
     summary = {
         "train_months": train, "test_months": test, "turns_train": int(c["n_turns"].sum()), "turns_test": int(total["n_test"] or 0),
-        "test_filter_excluded_share": hinge.excluded_share(unseen).first()[0],
+        "test_filter_excluded_share": only_row(hinge.excluded_share(unseen))[0],
         "mae": {m: total[f"mae_{m}"] for m in models}, "rmse": {m: total[f"rmse_{m}"] for m in models},
         **{f"carriers_hinge_beats_{m}_mae": beats(m) for m in models if m in ("linear", "linear_slack", "gbm")},
         "n_carriers": len(c), "carriers_without_test": sorted(set(fits["carrier"]["group"]) - set(c["group"])), "hubs": hubs,
@@ -79,7 +80,7 @@ def spread(w: Warehouse, months: list[str], cfg: Config, match: tuple[str, ...]
         "superspreaders": worst,
         "contagion_robustness": contagion.robustness(legs, match, cfg.seed),
     }
-    summary = {"matched_events": ev.count(), "overall": contagion.overall(ev, cfg.seed).drop(columns="k").iloc[0].to_dict(), "late_aircraft_coded": contagion.coded_late(ev).first().asDict(), "n_airports_ranked": len(worst)}
+    summary = {"matched_events": ev.count(), "overall": contagion.overall(ev, cfg.seed).drop(columns="k").iloc[0].to_dict(), "late_aircraft_coded": only_row(contagion.coded_late(ev)).asDict(), "n_airports_ranked": len(worst)}
     ev.unpersist()
     return tables, {"contagion": summary}
 
