@@ -80,7 +80,43 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
 _CONFLICT = " OR ".join(f"contains(text, '{s}')" for s in chat_format.CONTROL)
 
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    # Two lines are within one edit when they are alike without the character at one place (equal
+    # lengths), or when the longer one is the shorter without some character.
+    "op1_line_dedup": """
+        WITH l AS (SELECT doc_id, i - 1 AS line_no, lower(trim(parts[i], ' ')) AS s
+                   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), range(1, len(parts) + 1) r(i)),
+             c AS (SELECT s, min((doc_id, line_no)) AS first FROM l WHERE s <> '' GROUP BY s),
+             k AS (SELECT s, first, length(s) AS n FROM c WHERE length(s) >= 10),
+             v AS (SELECT s, first, n, i, s[1:i - 1] || s[i + 1:] AS rest FROM k, range(1, n + 1) r(i)),
+             p AS (SELECT a.s, b.first AS near FROM v a JOIN v b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest WHERE b.first < a.first
+                   UNION ALL SELECT a.s, b.first FROM k a JOIN v b ON b.n = a.n + 1 AND b.rest = a.s WHERE b.first < a.first
+                   UNION ALL SELECT a.s, b.first FROM v a JOIN k b ON a.n = b.n + 1 AND a.rest = b.s WHERE b.first < a.first),
+             m AS (SELECT s, min(near) AS near FROM p GROUP BY s),
+             e AS (SELECT doc_id, line_no, first, near, CASE WHEN s = '' THEN NULL WHEN first < (doc_id, line_no) THEN 0 WHEN near IS NOT NULL THEN 1 END AS edits FROM l LEFT JOIN c USING (s) LEFT JOIN m USING (s))
+        SELECT doc_id, line_no, edits IS NULL AS kept, edits, CASE edits WHEN 0 THEN first[1] WHEN 1 THEN near[1] END AS first_doc_id, CASE edits WHEN 0 THEN first[2] WHEN 1 THEN near[2] END AS first_line_no FROM e""",
+    "op5_decontaminate": f"""
+        WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+             w AS (SELECT kind, id, text, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+') AS ws FROM t),
+             g AS (SELECT DISTINCT kind, id, text, ws[i:i + 4] AS g FROM w, range(1, len(ws) - 3) r(i)),
+             n AS (SELECT id, text, count(*) AS size FROM g WHERE kind = 1 GROUP BY ALL),
+             h AS (SELECT d.id AS doc_id, d.text AS doc, i.id AS item_id, i.text AS item, count(*) AS shared FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
+        SELECT doc_id, item_id, shared, size AS item_shingles, round(shared / size, 6) AS containment
+        FROM h JOIN n ON h.item_id = n.id AND h.item = n.text WHERE 10 * shared >= 8 * size""",
+    "op9_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0d]+') AS ws FROM documents),
+             g AS (SELECT DISTINCT doc_id, ws[i:i + 2] AS g FROM w, range(1, greatest(len(ws) - 1, 2)) r(i) WHERE len(ws) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             f AS (SELECT g, count(*) AS f FROM g GROUP BY g),
+             -- Of two similar sets one of the rarest n - ceil(0.9 n) + 1 shingles of each is common.
+             x AS (SELECT doc_id, g, n FROM (SELECT g.*, n, row_number() OVER (PARTITION BY g.doc_id ORDER BY f, g.g) AS i FROM g JOIN f USING (g) JOIN n USING (doc_id)) WHERE i <= n - (90 * n + 99) // 100 + 1),
+             c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+             l AS (SELECT a, b FROM c JOIN g p ON p.doc_id = a JOIN g q ON q.doc_id = b AND q.g = p.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 90 * (na + nb - count(*))),
+             e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+             r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, c.least AS component_id FROM documents JOIN (SELECT x, min(y) AS least FROM r GROUP BY x) c ON c.x = doc_id LEFT JOIN n USING (doc_id)""",
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
              d AS (SELECT doc_id, sha256(s) AS text_sha256, s FROM t)
