@@ -7,11 +7,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -244,6 +247,78 @@ def test_terms_are_sought_in_whole_documents(spark):
     assert not any(found.values())
 
 
+def plain_terms(rows, window=5, sure=0.8, generalise=0.8):
+    """The words that reveal an entity, by counting everything."""
+    word = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    docs_of, of_entity, seen = defaultdict(set), defaultdict(set), defaultdict(set)
+    free_of = {}
+    for i, (_, t) in enumerate(rows):
+        t = t or ""
+        spans = plain_spans(t)
+        found = [(m.start(), m.end(), fold(m[0])) for m in word.finditer(t)]
+        for _, _, w in found:
+            docs_of[w].add(i)
+        free = [x for x in found if not any(a < x[1] and x[0] < e for a, _, e in spans)]
+        free_of[i] = {w for *_, w in free}
+        for a, k, e in spans:
+            around = (tuple(w for _, end, w in free if end <= a)[-window:], tuple(w for start, _, w in free if start >= e)[:window])
+            of_entity[k, t[a:e].lower()].add(i)
+            seen[k, t[a:e].lower(), i].add(around)
+    total, out = len(rows), set()
+    z = NormalDist().inv_cdf(sure)
+    for e, where in of_entity.items():
+        if len(where) == total:
+            continue
+        for w in set().union(*(free_of[i] for i in where)):
+            both = [i for i in where if w in free_of[i]]
+            n = len(set().union(*(seen[(*e, i)] for i in both)))
+            certain = 3 * math.log2(max(1e-300, 1 - 1 / (9 * n) - z / (3 * math.sqrt(n))))
+            share = (math.log2(total * len(both) / (len(where) * len(docs_of[w]))) + certain) / math.log2(total / len(where))
+            if share >= generalise:
+                out.add(w)
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"t{i}" for i in range(60)]
+    mails = [f"u{i}@x.example" for i in range(12)]
+    rows = []
+    for i in range(220):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(2, 25))]
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 3])):
+            k = rng.randrange(12)
+            words.insert(rng.randrange(len(words) + 1), rng.choice([mails[k], mails[k].upper()]))
+            words.insert(rng.randrange(len(words) + 1), f"Only{k % 7}" if rng.random() < 0.8 else "other")
+        rows.append((i, " ".join(words)))
+    rows += [(None, rows[3][1]), (None, None), (500, ""), (501, "Solo9 " * 3 + "10.1.2.3 " + " ".join(vocabulary) * 40)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, actions string, near int").repartition(3)
+    want = plain_terms(rows)
+    assert want
+    texts = dict(rows)
+    for r in pii.find(df).collect():
+        text = texts[r["doc_id"]] if r["doc_id"] is not None else None
+        if text:
+            said = [fold(text[s["start"] : s["end"]]) for s in r["actions"] if s["kind"] == 4]
+            free = [w for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", fold(re.sub(EMAIL, " ", re.sub(IP, " ", text)))) if w in want]
+            assert sorted(said) == sorted(free)
+    clean = pii.sanitised(df).collect()
+    assert len(clean) == len(rows) and not any(re.search(EMAIL, r["text"] or "") for r in clean)
+    assert sorted(r["text"] is None for r in clean) == [False] * (len(rows) - 1) + [True]
+
+
+def test_mentions_cost_linear_time():
+    def seconds(n):
+        text = " ".join(f"word{i} user{i}@corp.example" for i in range(n))
+        t = time.perf_counter()
+        spans = pii.base_spans(text)
+        list(pii.free_words(pa.array([text]), [spans]))
+        return time.perf_counter() - t
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.01)
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{TEST}/benchmark.parquet").collect()]

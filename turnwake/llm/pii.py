@@ -17,9 +17,11 @@ N ** (1 - g) * n(e) ** g documents cannot reveal the share g of e; only rarer on
 the entities of their documents. A last pass finds where the flagged terms stand: a bitmap of fixed
 size over their hashes keeps most other words out, and a join on the hash decides.
 
-Defined results: null text counts as empty and has no spans; repeated rows are treated each
-for itself and count as documents; a corpus whose every document holds an entity has nothing
-to reveal about it (IC = 0); an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty and has no spans, and stays null when sanitised; a null
+doc_id is carried along; repeated rows are treated each for itself and count as documents; of spans
+that overlap the first by (start, kind) is acted on; a corpus whose every document holds an entity has
+nothing to reveal about it (IC = 0); an empty table gives an empty result; other columns are ignored.
+Texts of any length are read whole, spans in time linear in their number.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "uid bigint, mentions array<struct<entity:bigint,window:bigint>>, terms array<bigint>")
 
 
-def locate(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+def locate(docs: DataFrame, flagged: DataFrame, with_text: bool) -> DataFrame:
     """A row per document: base spans and the words that may be flagged terms, keyed by a row number of the task."""
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -153,10 +155,12 @@ def locate(docs: DataFrame, flagged: DataFrame) -> DataFrame:
                 near.append([{"term": t, "start": s, "end": e} for t, s, e in zip(w[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)])
             n = b.num_rows
             ids, uid = pa.array(range(uid, uid + n), pa.int64()), uid + n
-            cols = [ids, b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(base, base_type), pa.array(near, near_type)]
-            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            text = b.column(1) if with_text else pa.nulls(n, pa.string())
+            cols = [ids, b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(base, base_type), pa.array(near, near_type), text]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"uid bigint, doc_id bigint, {COUNTS}, {BASE}, near array<struct<term:bigint,start:int,end:int>>")
+    schema = f"uid bigint, doc_id bigint, {COUNTS}, {BASE}, near array<struct<term:bigint,start:int,end:int>>, text string"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def document_frequencies(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
@@ -238,8 +242,25 @@ def find(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float
 
     actions: array<struct<start, kind, end, action>>, what sanitising does with each span.
     """
+    return _found(docs, window, sure, generalise, remove, False).drop("text")
+
+
+def sanitised(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+    """(doc_id, text, n_spans): each document with its spans written as their kinds, or taken out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in bounded(whole, 1)):
+            actions = b.column(2).to_pylist()
+            text = [sanitise(t.as_py(), a) for t, a in zip(b.column(1), actions, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array([len(a) for a in actions], pa.int64())], ["doc_id", "text", "n_spans"])
+
+    found = _found(docs, window, sure, generalise, remove, True).select("doc_id", "text", "actions")
+    return found.mapInArrow(run, "doc_id bigint, text string, n_spans bigint")
+
+
+def _found(docs: DataFrame, window: int, sure: float, generalise: float, remove: float, with_text: bool) -> DataFrame:
     flagged = cut_small(disclosing(docs, window, sure, generalise))
-    scanned = cut(locate(docs, flagged))
+    scanned = cut(locate(docs, flagged, with_text))
     hits = scanned.select("uid", F.explode("near").alias("x")).select("uid", "x.term", "x.start", "x.end").join(flagged, "term")
     one = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
     terms = hits.groupBy("uid").agg(F.collect_list(one).alias("terms"))
@@ -248,7 +269,7 @@ def find(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_join(F.transform("actions", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     n_term = F.coalesce(F.size("terms"), F.lit(0)).cast("long")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.greatest(n_term, F.lit(0).cast("long")).alias("n_term"), "actions")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.greatest(n_term, F.lit(0).cast("long")).alias("n_term"), "actions", "text")
 
 
 def sanitise(text: str | None, actions: list) -> str | None:
