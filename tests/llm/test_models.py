@@ -105,6 +105,41 @@ def test_best_two_fit_uses_every_piece_once(histogram):
     assert len(fills) < 2 or fills[0] + fills[1] > 64
 
 
+def piece_by_piece(lengths, capacity):
+    """Best-two-fit on single pieces: (bins, each its lengths)."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], capacity
+        while fits := [x for x in left if x <= gap]:
+            left.remove(fits[-1])
+            own.append(fits[-1])
+            gap -= fits[-1]
+        while gap and len(own) > 1:
+            small = min(own)
+            two = [(a + b, -a) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= small + gap]
+            if not two:
+                break
+            total, a = max(two)
+            own.remove(small)
+            # What is taken out can be packed again, but not into this bin.
+            for x in (-a, total + a):
+                left.remove(x)
+                own.append(x)
+            left = sorted([*left, small])
+            gap = capacity - sum(own)
+        bins.append(tuple(sorted(own, reverse=True)))
+    return bins
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40))
+def test_best_two_fit_against_single_pieces(lengths):
+    got = packing.best_two_fit(Counter(lengths), 40)
+    want = piece_by_piece(lengths, 40)
+    assert sum(n for _, n in got) == len(want)
+    assert Counter({}) + sum((Counter({b: n}) for b, n in got), Counter()) == Counter(want)
+
+
 def test_language_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.held_out(docs["doc_id"])

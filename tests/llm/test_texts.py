@@ -369,3 +369,32 @@ def test_parser_refuses_what_is_not_of_the_grammar(spark):
     bad = ["", "<s>user[INST]a", "x<s>user[INST]a[/INST]</s>", "<s>user[INST]a<s>[/INST]</s>", "<s>user[INST]a[/INST]</s>tail"]
     df = spark.createDataFrame([(x,) for x in bad], "f string").select(chat_format.parse(F.col("f")).alias("t"))
     assert [r["t"] for r in df.collect()] == [[], None, None, None, None]
+
+
+def test_sums_before(spark):
+    rows = [([],), ([5],), (list(range(700)),), ([1] * 256,), ([2] * 257,)]
+    for xs, got in spark.createDataFrame(rows, "x array<bigint>").select("x", chat_format.sums_before(F.col("x"))).collect():
+        assert got == [sum(xs[:i]) for i in range(len(xs))]
+
+
+def test_long_conversations_and_clashing_names(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>" if i % 97 == 0 else f"turn {i}", "x") for i in range(1500)] + [(None, 0, None, "a", "y"), (None, 1, "assistant", None, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, all string").repartition(3)
+    got = {r["conv_id"]: r for r in chat_format.format_conversations(df).collect()}
+    one = got[1]
+    assert [t["text"] for t in one["turns"]] == [r[3] for r in rows[:1500]]
+    for s, r in zip(one["loss_spans"], rows[1:1500:2], strict=True):
+        assert chat_format and one["formatted"][s["start"] : s["start"] + s["chars"]].replace("&lt;", "<") == r[3]
+    assert [(t["role"], t["text"]) for t in got[None]["turns"]] == [("", "a"), ("assistant", "")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(-400, 400) / 100, rng.choice([0, 0, 1, 3]), rng.choice([0, 1, 2])) for _ in range(80)]
+    got = url_filter.threshold(spark.createDataFrame(rows, "score double, acc long, rej long"))
+    acc, rej = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    steps = sorted({math.floor(s * 256) for s, a, r in rows if a + r})
+    error = lambda k: sum(a for s, a, _ in rows if math.floor(s * 256) < k) / acc + sum(r for s, _, r in rows if math.floor(s * 256) >= k) / rej
+    best = min([*steps], key=lambda k: (error(k), k))
+    assert error(math.floor(got * 256)) == pytest.approx(error(best)) and got * 256 == best

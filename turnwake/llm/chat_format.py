@@ -62,6 +62,19 @@ def render(turns: Column) -> Column:
     )
 
 
+def sums_before(lengths: Column, chunk: int = 256) -> Column:
+    """The sum of all elements before each one. Arrays grow in chunks, so the work is linear for any length."""
+
+    def running(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")))["all"]
+
+    whole = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int"))
+    chunks = F.when(F.size(lengths) > 0, F.transform(starts, lambda i: F.slice(lengths, i * chunk + 1, F.lit(chunk)))).otherwise(F.array().cast("array<array<bigint>>"))
+    return F.flatten(F.zip_with(chunks, running(F.transform(chunks, whole)), lambda xs, at: F.transform(running(xs), lambda x: x + at)))
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a rendered string: array<struct<role, text, start, chars>>; start and chars give the
     place of the body in code points. Null where the string is not of the grammar."""
@@ -85,15 +98,8 @@ def parse(formatted: Column) -> Column:
         ),
     )
     good = F.forall(bodies, lambda t: (t["head"] > 0) & ~conflicts(t["body"])) & (F.element_at(parts, -1) == "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        bodies,
-        start,
-        lambda acc, t: F.struct(
-            (acc["at"] + t["head"] + F.length(t["body"]) + F.lit(len(CLOSE))).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + t["head"])).alias("starts"),
-        ),
-    )["starts"]
+    before = sums_before(F.transform(bodies, lambda t: (t["head"] + F.length(t["body"]) + F.lit(len(CLOSE))).cast("long")))
+    starts = F.zip_with(bodies, before, lambda t, at: (t["head"] + at).cast("int"))
     out = F.zip_with(
         bodies,
         starts,
