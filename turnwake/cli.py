@@ -55,9 +55,8 @@ def main(argv: list[str] | None = None) -> None:
         return
     built = warehouse.build(raw, airports.load(spark, a.airports))
     if a.step == "build":
-        for name in quality.check(spark, built.tables):
+        for name in quality.check(spark, warehouse.write(built, a.tables).tables):
             print(f"warning: {name}")
-        warehouse.write(built, a.tables)
     elif a.step == "lineage":
         for name, df in built.tables.items():
             print(f"== {name}")

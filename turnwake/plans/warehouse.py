@@ -209,6 +209,7 @@ class Warehouse:
     airports: DataFrame
     stg_flights: DataFrame
     wide: DataFrame
+    max_turn_min: int = MAX_TURN_MIN
 
     @property
     def tables(self) -> dict[str, DataFrame]:
@@ -235,14 +236,29 @@ class Warehouse:
 
 def build(raw: DataFrame, airports: DataFrame, max_turn_min: int = MAX_TURN_MIN) -> Warehouse:
     staging = staged(raw, airports)
-    return Warehouse(airports, staging, sequenced(staging, max_turn_min))
+    return Warehouse(airports, staging, sequenced(staging, max_turn_min), max_turn_min)
 
 
-def write(warehouse: Warehouse, folder: str) -> None:
-    """All tables as Parquet; facts by month, so that a plan over some months reads only those."""
-    for name, df in warehouse.tables.items():
+def write(warehouse: Warehouse, folder: str) -> Warehouse:
+    """All tables as Parquet, and the warehouse that reads them; facts by month, so that a plan over some
+    months reads only those.
+
+    Staging and chains are written first and read by what follows: each shuffle runs once.
+    """
+    spark = warehouse.stg_flights.sparkSession
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("flight_month") if name.startswith("fct_") else writer).parquet(f"{folder}/{name}")
+        return read_table(spark, folder, name)
+
+    staging = stored("stg_flights", warehouse.stg_flights)
+    wide = stored("int_chains", sequenced(staging, warehouse.max_turn_min))
+    done = Warehouse(stored("airports", warehouse.airports), staging, wide, warehouse.max_turn_min)
+    for name, df in done.tables.items():
+        if name not in ("airports", "stg_flights"):
+            stored(name, df)
+    return done
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
