@@ -81,6 +81,21 @@ def test_dropping_keeps_one_of_each(spark):
     assert N.drop_near_duplicates(df).columns == df.columns
 
 
+def test_a_text_of_several_blocks_and_clashing_names(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(700_000)]  # over 5 MB
+    near = list(words)
+    for _ in range(3000):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(words), "x", 1), (2, " ".join(near), "y", 2), (3, "some other words here", "z", 3), (4, None, "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid string, n_shingles int")
+    got = {r["doc_id"]: r for r in N.linked_documents(df).collect()}
+    assert {d: r["component_id"] for d, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert [got[d]["n_shingles"] for d in (1, 3, 4)] == [len({tuple(words[i : i + 3]) for i in range(len(words) - 2)}), 2, 0]
+    kept = N.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r["n_shingles"] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_empty_and_null_ids(spark):
     assert N.linked_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     got = N.linked_documents(spark.createDataFrame([(None, "a b c d"), (None, "A B C D"), (3, "a b c d"), (None, "")], SCHEMA)).collect()

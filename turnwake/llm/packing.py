@@ -14,7 +14,9 @@ its rank among the pieces of its length: a running number inside its task, and a
 from the counts of the tasks before.
 
 Defined results: null text counts as empty, an empty text is its end id alone; repeated rows
-are packed each for itself; an empty table gives an empty result; other columns are ignored.
+are packed each for itself; of two pieces that fill a gap alike the pair with the shorter one is
+taken, and pieces of one length fill its slots by the number of their task and row; a null doc_id
+is carried along; an empty table gives an empty result; other columns are ignored.
 A text holding the vocabulary's special string is encoded by the tokenizer as it stands.
 """
 
