@@ -117,6 +117,8 @@ def test_results_come_back_and_make_a_page(tmp_path):
     (tmp_path / "t.html").write_text("<p>$turns</p>")
     cli.main(["report", "--results", str(tmp_path), "--template", str(tmp_path / "t.html"), "--out", str(tmp_path / "o.html")])
     assert (tmp_path / "o.html").read_text() == "<p>10</p>"
+    cli.main(["report", "--results", str(tmp_path), "--out", str(tmp_path / "p.html")])
+    assert "1,234,567 flights from Aug 2025 - Jul 2026" in (tmp_path / "p.html").read_text()
 
 
 def test_headlines_of_a_whole_run():

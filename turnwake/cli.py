@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     capped = {"memory": {}, "cores": {"type": int}}
     step("build", flights=path, airports=path, tables=path, **capped)
     step("analyse", flights=path, airports=path, results=path, **capped)
-    step("report", results=path, template=path, out=path)
+    step("report", results=path, template={"default": str(publish.PAGE)}, out=path)
     step("sample", flights=path, days={"nargs": "+", "required": True}, out=path)
     step("lineage", flights=path, airports=path)
     return top

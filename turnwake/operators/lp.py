@@ -30,9 +30,9 @@ def simplex(spark, cost: np.ndarray, rows: list[tuple[dict[int, float], str, flo
     relation = {"<=": linear.Relationship.LEQ, ">=": linear.Relationship.GEQ}
 
     def doubles(values: np.ndarray):
+        # One call for all numbers, as bytes, and not one for each.
         out = gateway.new_array(jvm.double, len(values))
-        for i in np.flatnonzero(values):
-            out[int(i)] = float(values[i])
+        jvm.java.nio.ByteBuffer.wrap(bytearray(np.asarray(values, ">f8").tobytes())).asDoubleBuffer().get(out)
         return out
 
     constraints = jvm.java.util.ArrayList()

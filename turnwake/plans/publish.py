@@ -257,6 +257,10 @@ def html_table(df: pd.DataFrame, decimals: int = 2) -> str:
     return df.round(decimals).to_html(index=False, border=0, na_rep="")
 
 
+#: The template of a page on the descriptive results; others are given by the caller.
+PAGE = Path(__file__).with_name("page.html")
+
+
 def page(template: str, tables: dict[str, pd.DataFrame], summary: dict) -> str:
     """A page from a ``$name`` template; a name that nothing fills is an error."""
     filled = headlines(tables, summary) | {f"chart_{k}": v for k, v in chart_data(tables).items()} | {f"table_{k}": html_table(v) for k, v in tables.items()}
