@@ -119,6 +119,14 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in root)
 
 
+def test_components_of_a_long_path(spark):
+    """Many steps, each planned by the real size of what the one before wrote."""
+    ids = list(range(500))
+    random.Random(3).shuffle(ids)
+    got = components.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert len(got) == 499 and {r["comp"] for r in got} == {0}
+
+
 def test_shingles_of_bytes():
     texts = ["Aa bb CC dd", None, "x", "", "é ü\tö", " aa  BB cc dd ", "a b a b a b"]
     raw, off = common.utf8_buffer(pa.array(texts))
