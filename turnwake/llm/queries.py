@@ -82,7 +82,46 @@ _CONFLICT = " OR ".join(f"contains(text, '{s}')" for s in chat_format.CONTROL)
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _url_sql() -> str:
+    """The rules, then back-off over the trigrams that occur, and the threshold of least error."""
+    n = len(url_filter.ALPHABET)
+    ordered = sorted(RULES, key=lambda r: (-len(r.text), r.text))
+    fits = lambda r: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}')"
+    pick = lambda field: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, field)}'" for r in ordered) + " END"
+    both = ("acc", "rej")
+    sums = ", ".join(f"sum({k}) AS {k}" for k in both)
+    kinds = lambda level: ", ".join(f"sum({k}) AS n{level}_{k}, count(*) FILTER ({k} > 0) AS t{level}_{k}" for k in both)
+
+    def log_p(k: str) -> str:
+        p = f"(1.0::DOUBLE / {n})"
+        for level in (0, 1, 2):
+            got, total, different = (f"coalesce({x}, 0)" for x in (f"g{level + 1}.{k}", f"n{level}_{k}", f"t{level}_{k}"))
+            p = f"(CASE WHEN {total} > 0 THEN ({got} + {different} * {p}) / ({total} + {different}) ELSE {p} END)"
+        return f"ln({p})"
+
+    return f"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             h AS (SELECT page_id, {_FOLD.format("regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                   '^^' || regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0./\\-_%?=&#~+:,]', '*', 'g') || '$' AS s FROM u),
+             b AS (SELECT *, {pick("text")} AS rule, {pick("verdict")} AS decided FROM h),
+             t AS (SELECT s, count(*) FILTER (decided = 'allow') AS acc, count(*) FILTER (decided = 'block') AS rej FROM b GROUP BY s),
+             g AS (SELECT s, acc, rej, s[i] AS a, s[i + 1] AS b, s[i + 2] AS c FROM t, range(1, length(s) - 1) r(i)),
+             g3 AS (SELECT a, b, c, {sums} FROM g GROUP BY a, b, c HAVING sum(acc + rej) > 0), g2 AS (SELECT b, c, {sums} FROM g3 GROUP BY b, c), g1 AS (SELECT c, {sums} FROM g2 GROUP BY c),
+             k0 AS (SELECT {kinds(0)} FROM g1), k1 AS (SELECT b, {kinds(1)} FROM g2 GROUP BY b), k2 AS (SELECT a, b, {kinds(2)} FROM g3 GROUP BY a, b),
+             l AS (SELECT d.a, d.b, d.c, {log_p("acc")} - {log_p("rej")} AS llr FROM (SELECT DISTINCT a, b, c FROM g) d CROSS JOIN k0 LEFT JOIN g1 ON g1.c = d.c
+                   LEFT JOIN k1 ON k1.b = d.b LEFT JOIN g2 ON g2.b = d.b AND g2.c = d.c LEFT JOIN k2 ON k2.a = d.a AND k2.b = d.b LEFT JOIN g3 ON g3.a = d.a AND g3.b = d.b AND g3.c = d.c),
+             sc AS (SELECT s, any_value(acc) AS acc, any_value(rej) AS rej, round(avg(llr), 9) AS score FROM g JOIN l USING (a, b, c) GROUP BY s),
+             st AS (SELECT floor(score * 256) AS step, sum(acc) AS acc, sum(rej) AS rej FROM sc WHERE acc + rej > 0 GROUP BY 1),
+             er AS (SELECT step, coalesce(sum(acc) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(acc) OVER () + sum(rej) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(rej) OVER () AS error,
+                    sum(acc) OVER () > 0 AND sum(rej) OVER () > 0 AS told FROM st),
+             th AS (SELECT coalesce(min_by(step / 256, (error, step)) FILTER (told AND error < 2), '-infinity'::DOUBLE) AS least FROM er)
+        SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score >= (SELECT least FROM th) THEN 'allow' ELSE 'block' END) AS verdict, score FROM b JOIN sc USING (s)"""
+
+
 ORACLE_SQL = {
+    "op6_url_filter": _url_sql(),
     # Two lines are within one edit when they are alike without the character at one place (equal
     # lengths), or when the longer one is the shorter without some character.
     "op1_line_dedup": """
