@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter, whitening
 
 #: The rules of the URL query.
 RULES = [
@@ -74,7 +74,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries become whole numbers near a million; ``deviation`` is n times a vector's distance from the mean, squared."""
+    grid = F.transform("embedding", lambda c: F.floor(64 * c.cast("double")) + F.lit(1_000_000).cast("long"))
+    # Not a filter: the planner may put the cast to whole numbers before it, where an infinite entry overflows.
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(whitening.finite(F.col("embedding")), grid).alias("x"))
+    model = whitening.fit(rows, "x")
+    k = 0 if model is None else min(32, len(model.values))
+    if not k:
+        return spark.createDataFrame([], "vec_id bigint, n bigint, deviation bigint, component int, whitened double, explained double, identity_error double")
+    n, sums = F.lit(model.n).cast("long"), F.array(*(F.lit(s).cast("long") for s in model.sums()))
+    apart = F.when(F.size("x") == len(model.origin), F.aggregate(F.zip_with("x", sums, lambda x, s: n * x - s), F.lit(0).cast("long"), lambda acc, d: acc + d * d))
+    keep = ["vec_id", "n", "deviation"]
+    rows = rows.select("vec_id", n.alias("n"), apart.alias("deviation"), "x")
+    return whitening.long_rows(whitening.whiten(rows, model, k, "x", keep), model, k, keep)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op13_whitening)}
 
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
