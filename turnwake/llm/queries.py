@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, substring_dedup, url_filter, whitening
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, periodic_runs, pii, substring_dedup, url_filter, whitening
 
 #: The rules of the URL query.
 RULES = [
@@ -74,6 +74,29 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, told by a checksum of the id, repeat a stretch of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.select("doc_id", "text", h.alias("h"), words.alias("words"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = g % n
+    rows = rows.select("doc_id", "text", "words", F.when(n > 0, F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p"))).alias("at"))
+    word = lambda i: F.get("words", F.when(i < F.col("at.a"), i).otherwise(F.col("at.a") + (i - F.col("at.a")) % F.col("at.p")).cast("int"))
+    again = F.array_join(F.transform(F.sequence(F.lit(0), F.size("words") - 1), word), " ")
+    return rows.select("doc_id", F.when(F.col("at").isNull(), F.col("text")).otherwise(again).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    own = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    best = ((-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"))
+    milli = F.expr("1000 * best.length div -best.period").alias("exponent_milli")
+    return own.select("doc_id", "n_runs", *best, milli, "runs_sha256", "collapsed_sha256")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries become whole numbers near a million; ``deviation`` is n times a vector's distance from the mean, squared."""
     grid = F.transform("embedding", lambda c: F.floor(64 * c.cast("double")) + F.lit(1_000_000).cast("long"))
@@ -90,7 +113,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.long_rows(whitening.whiten(rows, model, k, "x", keep), model, k, keep)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op11_periodic_runs, op13_whitening)}
 
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
