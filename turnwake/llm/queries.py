@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, periodic_runs, pii, substring_dedup, url_filter, whitening
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, periodic_runs, pii, setsketch, substring_dedup, url_filter, whitening
 
 #: The rules of the URL query.
 RULES = [
@@ -97,6 +97,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "n_runs", *best, milli, "runs_sha256", "collapsed_sha256")
 
 
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setsketch.linked_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries become whole numbers near a million; ``deviation`` is n times a vector's distance from the mean, squared."""
     grid = F.transform("embedding", lambda c: F.floor(64 * c.cast("double")) + F.lit(1_000_000).cast("long"))
@@ -113,7 +118,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.long_rows(whitening.whiten(rows, model, k, "x", keep), model, k, keep)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op11_periodic_runs, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_decontaminate, op6_url_filter, op7_pii, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op11_periodic_runs, op12_setsketch, op13_whitening)}
 
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
@@ -159,6 +164,21 @@ def _url_sql() -> str:
         SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score >= (SELECT least FROM th) THEN 'allow' ELSE 'block' END) AS verdict, score FROM b JOIN sc USING (s)"""
 
 
+def _near_sql(k: int, percent: int, more: str) -> str:
+    """Components of sets linked by their overlap; of two similar sets one of the rarest shingles of each is common."""
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0d]+') AS ws FROM documents),
+             g AS (SELECT DISTINCT doc_id, ws[i:i + {k - 1}] AS g FROM w, range(1, greatest(len(ws) - {k - 2}, 2)) r(i) WHERE len(ws) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             f AS (SELECT g, count(*) AS f FROM g GROUP BY g),
+             x AS (SELECT doc_id, g, n FROM (SELECT g.*, n, row_number() OVER (PARTITION BY g.doc_id ORDER BY f, g.g) AS i FROM g JOIN f USING (g) JOIN n USING (doc_id)) WHERE i <= n - ({percent} * n + 99) // 100 + 1),
+             c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)),
+             l AS (SELECT a, b FROM c JOIN g p ON p.doc_id = a JOIN g q ON q.doc_id = b AND q.g = p.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= {percent} * (na + nb - count(*))),
+             e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+             r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, c.least AS component_id{more} FROM documents JOIN (SELECT x, min(y) AS least FROM r GROUP BY x) c ON c.x = doc_id LEFT JOIN n USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op6_url_filter": _url_sql(),
     # Two lines are within one edit when they are alike without the character at one place (equal
@@ -183,18 +203,8 @@ ORACLE_SQL = {
              h AS (SELECT d.id AS doc_id, d.text AS doc, i.id AS item_id, i.text AS item, count(*) AS shared FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
         SELECT doc_id, item_id, shared, size AS item_shingles, round(shared / size, 6) AS containment
         FROM h JOIN n ON h.item_id = n.id AND h.item = n.text WHERE 10 * shared >= 8 * size""",
-    "op9_ngram_join": f"""
-        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0d]+') AS ws FROM documents),
-             g AS (SELECT DISTINCT doc_id, ws[i:i + 2] AS g FROM w, range(1, greatest(len(ws) - 1, 2)) r(i) WHERE len(ws) > 0),
-             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-             f AS (SELECT g, count(*) AS f FROM g GROUP BY g),
-             -- Of two similar sets one of the rarest n - ceil(0.9 n) + 1 shingles of each is common.
-             x AS (SELECT doc_id, g, n FROM (SELECT g.*, n, row_number() OVER (PARTITION BY g.doc_id ORDER BY f, g.g) AS i FROM g JOIN f USING (g) JOIN n USING (doc_id)) WHERE i <= n - (90 * n + 99) // 100 + 1),
-             c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
-             l AS (SELECT a, b FROM c JOIN g p ON p.doc_id = a JOIN g q ON q.doc_id = b AND q.g = p.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 90 * (na + nb - count(*))),
-             e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
-             r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-        SELECT doc_id, coalesce(n, 0) AS n_shingles, c.least AS component_id FROM documents JOIN (SELECT x, min(y) AS least FROM r GROUP BY x) c ON c.x = doc_id LEFT JOIN n USING (doc_id)""",
+    "op9_ngram_join": _near_sql(3, 90, ""),
+    "op12_setsketch": _near_sql(2, 80, ", doc_id = c.least AS kept"),
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
              d AS (SELECT doc_id, sha256(s) AS text_sha256, s FROM t)
