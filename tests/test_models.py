@@ -70,7 +70,7 @@ def test_plane_without_spread_takes_the_smallest_coefficients(spark):
 def test_boosted_trees_beat_a_line(spark):
     i, s, y = synthetic(1500, seed=4)
     rows = hinge.features(turns(spark, i, s, y))
-    p = hinge.boosted(rows, rows, rounds=8, depth=4, least=10).select("y", "p_gbm").toPandas()
+    p = hinge.boosted(rows, rows, rounds=25, leaves=15, least=10).select("y", "p_gbm").toPandas()
     slope = np.polyfit(i, y, 1)
     assert (p["y"] - p["p_gbm"]).abs().mean() < np.abs(y - np.polyval(slope, i)).mean()
 

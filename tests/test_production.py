@@ -20,7 +20,7 @@ class Seen(Exception):
     [
         ("lp_allocation", Program, "solve", {"tolerance": 1e-6}),
         ("buffer_frontier", Program, "solve", {"tolerance": 1e-6}),
-        ("gbm_scores", hinge, "boosted", {"rounds": 60, "depth": 6}),
+        ("gbm_scores", hinge, "boosted", {"rounds": 300, "leaves": 63, "least": 200}),
         ("hinge_intervals", hinge, "intervals", {"n_boot": 300}),
     ],
 )

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..operators import buffers as B
 from ..operators import chains as C
-from ..operators import contagion, descriptive, evaluate, hinge
+from ..operators import contagion, descriptive, evaluate, hinge, trees
 from ..operators.lp import Program
 from ..session import prepared
 from ..sources.adapter import RAW_SQL, ZONES, test_flights
@@ -144,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hinge_binned": _query(lambda w: hinge.shape(_late(w.turns), least=3)),
     "holdout_scores": _query(_scores),
     "holdout_pooled": _query(lambda w: hinge.pooled(_scores(w))),
+    "gbm_root_gains": _query(lambda w: trees.root_gains(hinge.features(_early(w.turns)))),
     "filter_excluded_share": _query(lambda w: hinge.excluded_share(_late(w.turns))),
     "contagion_events": _query(_events),
     "multiplier_curve": _query(lambda w: contagion.curve(_events(w))),
@@ -191,7 +192,7 @@ def _frame(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 def _boosted(w: W.Warehouse) -> DataFrame:
     train, test = hinge.features(_early(w.turns)), hinge.features(_late(w.turns))
-    held = hinge.boosted(train, test, least=20)
+    held = hinge.boosted(train, test)
     return hinge.score(train, held, _fit(w), "carrier", {"gbm": "p_gbm"})
 
 
@@ -413,6 +414,13 @@ _SQL: dict[str, str] = {
     "hinge_binned": f"SELECT carrier, least(greatest(round((sched_turn_min - inbound_arr_delay) / 5) * 5, -120), 180) AS ground_left, count(*) AS n, round(avg(outbound_dep_delay), 6) AS mean_out FROM turns WHERE {_USE} AND flight_date > DATE '{SPLIT}' GROUP BY ALL HAVING count(*) >= 3",
     "holdout_scores": f"{_SCORES} SELECT g, n_test, {', '.join(f'round(mae_{m}, 6) AS mae_{m}, round(rmse_{m}, 6) AS rmse_{m}' for m in _MODELS)} FROM sc",
     "holdout_pooled": f"{_SCORES} SELECT sum(n_test)::BIGINT AS n_test, {', '.join(f'round(sum(mae_{m} * n_test) / sum(n_test), 6) AS mae_{m}, round(sqrt(sum(rmse_{m} * rmse_{m} * n_test) / sum(n_test)), 6) AS rmse_{m}' for m in _MODELS)} FROM sc",
+    "gbm_root_gains": f"""tr AS (SELECT floor(inbound_arr_delay) AS i, floor(sched_turn_min) AS s, dep_hour_local AS hour, carrier, outbound_dep_delay AS y FROM turns WHERE {_USE} AND flight_date <= DATE '{SPLIT}'),
+        v AS (SELECT 'i' AS feature, CAST(i AS BIGINT) AS value, CAST(NULL AS VARCHAR) AS name, count(*) AS n, sum(y) AS sy FROM tr GROUP BY i UNION ALL SELECT 's', CAST(s AS BIGINT), NULL, count(*), sum(y) FROM tr GROUP BY s
+              UNION ALL SELECT 'hour', CAST(hour AS BIGINT), NULL, count(*), sum(y) FROM tr GROUP BY hour UNION ALL SELECT 'carrier', NULL, carrier, count(*), sum(y) FROM tr GROUP BY carrier),
+        c AS (SELECT feature, value, row_number() OVER w AS place, sum(n) OVER w AS nl, sum(sy) OVER w AS yl, sum(n) OVER (PARTITION BY feature) AS n, sum(sy) OVER (PARTITION BY feature) AS y
+              FROM v WINDOW w AS (PARTITION BY feature ORDER BY coalesce(value, -sy / n), name ROWS UNBOUNDED PRECEDING)),
+        d AS (SELECT feature, coalesce(value, place)::BIGINT AS upto, nl::BIGINT AS n_low, nl, n - nl AS nr, n, nl * (y / n) - yl AS gl, (n - nl) * (y / n) - (y - yl) AS gr, n * (y / n) - y AS g FROM c WHERE nl < n)
+        SELECT feature, upto, n_low, round(gl * gl / nl + gr * gr / nr - g * g / n, 6) AS gain FROM d""",
     "filter_excluded_share": f"SELECT round(1 - count(*) FILTER ({_USE}) / count(*), 6) AS excluded_share FROM turns WHERE flight_date > DATE '{SPLIT}' AND inbound_arr_delay IS NOT NULL AND outbound_dep_delay IS NOT NULL",
     "contagion_events": f"{_EVENTS} SELECT * REPLACE ({_D('flight_date')}, round(baseline, 6) AS baseline, round(excess, 6) AS excess) FROM ce",
     "multiplier_curve": f"{_EVENTS} {_ratio(_BIN, 'x_bin', 'x >= 1', ', ' + ', '.join(f'round(avg({c}), 6) AS {n}' for c, n in (('x', 'mean_x'), ('excess', 'mean_excess'), ('s', 'mean_downstream'), ('baseline', 'mean_baseline'))))}",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Row, SparkSession
 
 #: Clock arithmetic is done in UTC; joins and shuffles are re-planned at run time.
@@ -33,3 +36,24 @@ def only_row(df: DataFrame) -> Row:
     if len(got) != 1:
         raise ValueError(f"one row was expected, there are {'none' if not got else 'several'}")
     return got[0]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which executors share; one is made only on a local master."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="turnwake-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that a lost executor costs no more than its tasks."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
