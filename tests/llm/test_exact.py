@@ -69,3 +69,22 @@ def test_table_refuses_contents_not_records():
     many = E.ContentTable(1 << 20)
     assert all(many.add(hashlib.sha256(bytes([i % 256, i // 256])).digest(), bytes([i % 256, i // 256]), i, 1, 1) for i in range(3000))
     assert len(many.rows) == 3000
+
+
+@pytest.mark.parametrize("fan_out", [2, 5])
+def test_levels_of_bounded_fan_out(spark, monkeypatch, fan_out):
+    """More buckets than one shuffle may have: groups are written and dealt out by themselves, two levels and more."""
+    levels, widths = [], []
+    real, width = E.cut_by, type(spark.range(1)).repartition
+
+    def counted(df, n, *by):
+        widths.append(n)
+        return width(df, n, *by)
+
+    monkeypatch.setattr(E, "cut_by", lambda df, c: levels.append(df) or real(df, c))
+    monkeypatch.setattr(type(spark.range(1)), "repartition", counted)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    rows = [(i, f"text {i % 90} " * 8) for i in range(200)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(df, table_bytes=2000, fan_out=fan_out) == expected(rows)
+    assert len(levels) > 2 and max(widths) <= fan_out

@@ -48,6 +48,15 @@ def cut_small(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, column: str) -> DataFrame:
+    """``cut`` for rows that are read again by the values of a column: a table in the shared checkpoint folder, a folder a value."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sealed(docs: DataFrame):
     """(docs with columns c0, c1, ..., a function from an old name to its column, the old names).
 

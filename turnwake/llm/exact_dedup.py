@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sealed
+from .common import cut, cut_by, sealed
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PARTIAL = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("top", pa.int64()), ("n", pa.int64()), ("n_top", pa.int64()), ("done", pa.bool_())])
@@ -35,6 +36,7 @@ PARTIAL_DDL = "digest binary, content binary, top bigint, n bigint, n_top bigint
 
 
 ENTRY = 200  # bytes of an entry beside its content
+FAN_OUT = 4096  # buckets of one shuffle: 100 GB of new contents to a level
 
 
 class ContentTable:
@@ -111,10 +113,11 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, digest binary")
 
 
-def classes(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
+def classes(docs: DataFrame, table_bytes: int = 48 << 20, fan_out: int = FAN_OUT) -> DataFrame:
     """(digest, keep_id, group_size, n_top): one row per distinct content.
 
-    ``table_bytes`` bounds each table, in the tasks before and after the shuffle alike.
+    ``table_bytes`` bounds each table, in the tasks before and after the shuffle alike; ``fan_out`` the
+    buckets of one shuffle.
     """
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,30 +144,45 @@ def classes(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
             seen[r[0]] = 1
         yield from _rows(table.rows, True, False)
 
+    def rounds(left: DataFrame, volume: int, level: int) -> Iterator[DataFrame]:
+        """Fitting entries of ``left``; what a bucket's table refuses is dealt out again."""
+        while True:
+            buckets = max(left.sparkSession.sparkContext.defaultParallelism, -(-2 * volume // table_bytes))
+            if buckets > fan_out > 1:
+                yield from deeper(left, -(-buckets // fan_out), level)
+                return
+            dealt = left.repartition(buckets, F.xxhash64("digest", F.lit(level)))
+            out = cut(dealt.mapInArrow(after, PARTIAL_DDL))
+            yield out.filter("done").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "n_top")
+            left, level = out.filter("NOT done"), level + 1
+            volume = left.agg(F.sum(F.octet_length("content") + ENTRY)).first()[0]
+            if volume is None:
+                return
+
+    def deeper(left: DataFrame, groups: int, level: int) -> Iterator[DataFrame]:
+        """The spill files of a level: records by group, each group then dealt into buckets of its own."""
+        groups = min(groups, fan_out)
+        own = F.pmod(F.xxhash64("digest", F.lit(level)), F.lit(groups)).cast("int")
+        spilled = cut_by(left.withColumn("group", own).repartition(groups, "group"), "group")
+        sizes = spilled.groupBy("group").agg(F.sum(F.octet_length("content") + ENTRY).alias("bytes")).collect()  # fan_out rows at most
+        for g in sizes:
+            yield from rounds(spilled.filter(F.col("group") == g["group"]).drop("group"), g["bytes"], level + 1)
+
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    left, size = texts.mapInArrow(before, PARTIAL_DDL), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
     volume = docs.agg(F.sum(size + ENTRY)).first()[0] or 0
-    level, found = 0, None
-    while True:
-        buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * volume // table_bytes))
-        dealt = left.repartition(buckets, F.xxhash64("digest", F.lit(level)))
-        out = cut(dealt.mapInArrow(after, PARTIAL_DDL))
-        fits = out.filter("done").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "n_top")
-        found = fits if found is None else found.unionByName(fits)
-        left, level = out.filter("NOT done"), level + 1
-        volume = left.agg(F.sum(F.octet_length("content") + ENTRY)).first()[0]
-        if volume is None:
-            return found
-
-
-def exact_duplicates(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
+    found = list(rounds(texts.mapInArrow(before, PARTIAL_DDL), volume, 0))
+    return reduce(DataFrame.unionByName, found)
+
+
+def exact_duplicates(docs: DataFrame, table_bytes: int = 48 << 20, fan_out: int = FAN_OUT) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): one row per document.
 
     Equal rows of the output come from rows repeated whole; they are counted before the
     join, so a row repeated any number of times is one row there.
     """
     ids = digests(docs).groupBy("doc_id", "digest").agg(F.count("*").alias("times"))
-    out = ids.join(classes(docs, table_bytes), "digest").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    out = ids.join(classes(docs, table_bytes, fan_out), "digest").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
