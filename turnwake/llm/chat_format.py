@@ -31,6 +31,7 @@ CONTROL = ("<s>", "</s>", "[INST]", "[INST:e]", "[/INST]", "<<SYS>>", "<</SYS>>"
 #: What escaping writes, in the order of writing.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
 CLOSE = "[/INST]</s>"
+CLOSE_PATTERN = r"\[/INST\]</s>"
 
 
 def escape(c: Column) -> Column:
@@ -78,7 +79,7 @@ def sums_before(lengths: Column, chunk: int = 256) -> Column:
 def parse(formatted: Column) -> Column:
     """The turns of a rendered string: array<struct<role, text, start, chars>>; start and chars give the
     place of the body in code points. Null where the string is not of the grammar."""
-    parts = F.split(formatted, r"\[/INST\]</s>", -1)
+    parts = F.split(formatted, CLOSE_PATTERN, -1)
     turns = F.transform(
         F.slice(parts, 1, F.size(parts) - 1),
         lambda p: F.struct(
@@ -151,21 +152,25 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
 def digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Counts and hashes of what was read back from ``format_conversations``."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    # The loss text is cut out of the formatted string by its spans; a body that was escaped is written back.
-    bodies = F.filter("turns", lambda t: t["role"] == loss_role)
-    cut = F.zip_with(
-        bodies,
-        "loss_spans",
-        lambda t, s: F.when(F.length(t["text"]) == s["chars"], F.substring(F.col("formatted"), s["start"] + 1, s["chars"])).otherwise(
-            unescape(F.substring(F.col("formatted"), s["start"] + 1, s["chars"]))
-        ),
+    # The loss text is cut out of the formatted string, which is split once: a body ends its turn's part. Where the
+    # parts lie is held against the spans; a body that was escaped is written back.
+    parts = F.split("formatted", CLOSE_PATTERN, -1)
+    begins = sums_before(F.transform(parts, lambda p: (F.length(p) + F.lit(len(CLOSE))).cast("long")))
+    said_by = F.filter(
+        F.zip_with(F.col("turns"), F.arrays_zip(F.slice(parts, 1, F.size("turns")).alias("part"), F.slice(begins, 1, F.size("turns")).alias("at")), lambda t, p: F.struct(t["role"].alias("role"), t["text"].alias("text"), p["part"].alias("part"), p["at"].alias("at"))),
+        lambda t: t["role"] == loss_role,
     )
+    lost = F.raise_error(F.lit("a loss span is not where its turn ends")).cast("string")
+
+    def body(t: Column, s: Column) -> Column:
+        there = t["at"] + F.length(t["part"]) == s["start"] + s["chars"]
+        own = F.substring(t["part"], F.length(t["part"]) - s["chars"] + 1, s["chars"])
+        return F.when(~there, lost).when(F.length(t["text"]) == s["chars"], own).otherwise(unescape(own))
+
+    cut = F.zip_with(said_by, "loss_spans", body)
     loss = F.array_join(cut, "")
-    return formatted.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+    read = formatted.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        *("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256")),
+        *(F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"),
     )
