@@ -25,13 +25,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOW, NOT_ALNUM, bit_array, bounded, byte_table, cut, in_bits, row_of, sealed, shingles, utf8_buffer, word_hashes
+from .common import LOW, NOT_ALNUM, bit_array, bounded, byte_table, cut, cut_small, in_bits, row_of, sealed, shingles, utf8_buffer, word_hashes
 
 _TABLE = byte_table(NOT_ALNUM)
 PAIR = "doc_id bigint, row_key bigint, item_id bigint, item_key bigint, shared bigint, item_shingles bigint"
@@ -44,9 +45,14 @@ def sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(words, rows, len(off) - 1, k, False)
 
 
-def needed(size: int, containment: float) -> int:
-    """How many of ``size`` shingles must be shared; exact for decimal thresholds."""
-    return max(1, math.ceil(size * round(containment * 1000) / 1000 - 1e-9))
+def fraction(containment: float | str | Fraction) -> Fraction:
+    """A threshold as the simplest fraction that it can mean: 0.8 is 4/5, 2 / 3 is 2/3."""
+    return Fraction(containment).limit_denominator(1_000_000)
+
+
+def needed(size: int, containment: float | str | Fraction) -> int:
+    """How many of ``size`` shingles must be shared, exactly."""
+    return max(1, math.ceil(size * fraction(containment)))
 
 
 def exploded(rows: DataFrame, k: int, names: list[str], bits: np.ndarray | None = None) -> DataFrame:
@@ -73,8 +79,10 @@ def item_shingles(items: DataFrame, k: int, containment: float) -> DataFrame:
     own = cut(exploded(keyed, k, ITEM))
     often = own.groupBy("shingle").agg(F.count("*").alias("items"))
     order = Window.partitionBy(*ITEM).orderBy("items", "shingle")
-    need = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(round(containment * 1000) / 1000) - F.lit(1e-9))).cast("long")
-    ranked = own.join(often, "shingle").withColumn("need", need).withColumn("rank", F.row_number().over(order))
+    part = fraction(containment)
+    least = F.expr(f"(size * {part.numerator}L + {part.denominator - 1}L) div {part.denominator}L")
+    need = F.greatest(F.lit(1).cast("long"), least)
+    ranked = own.join(cut_small(often), "shingle").withColumn("need", need).withColumn("rank", F.row_number().over(order))
     return ranked.select(*ITEM, "size", "shingle", "need", (F.col("rank") <= F.col("size") - F.col("need") + 1).alias("sketch"))
 
 
