@@ -6,12 +6,13 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from turnwake.llm import chat_format, decontaminate, line_dedup, substring_dedup, url_filter
+from turnwake.llm import chat_format, decontaminate, language_id, line_dedup, substring_dedup, url_filter
 
 from .brute import contained
 
@@ -398,3 +399,35 @@ def test_threshold_against_brute_force(spark, seed):
     error = lambda k: sum(a for s, a, _ in rows if math.floor(s * 256) < k) / acc + sum(r for s, _, r in rows if math.floor(s * 256) >= k) / rej
     best = min([*steps], key=lambda k: (error(k), k))
     assert error(math.floor(got * 256)) == pytest.approx(error(best)) and got * 256 == best
+
+
+def test_a_second_pass_writes_its_columns_over(spark):
+    rows = [(1, "a b c d e f g. " * 6 + "x y z."), (2, "a b c d e f g. " * 6)]
+    once = substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), min_words=10)
+    twice = substring_dedup.clean(once, min_words=10)
+    assert twice.columns == once.columns and twice.select("__removed").count() == 2
+    model = language_id.fit(spark.createDataFrame([("the cat sat on the mat", "en"), ("el gato duerme en la casa", "es")], "text string, lang string"))
+    told = language_id.predict(spark.createDataFrame([(1, "the cat", "old", 0.5)], "doc_id long, text string, lang_pred string, score double"), model, "doc_id", "lang_pred", "score")
+    assert told.columns == ["doc_id", "lang_pred", "score", "ambiguous", "far"] and told.first()["lang_pred"] != "old"
+
+
+def test_thresholds_are_fractions(spark):
+    item = "a b c d e f g"  # three shingles of five words
+    docs = spark.createDataFrame([(1, "a b c d e f x"), (2, item), (3, "a b c d e y")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    for broadcast in (8 << 20, 0):
+        for third in (2 / 3, "2/3"):
+            assert sorted(r["doc_id"] for r in decontaminate.leaks(docs, items, containment=third, broadcast_bytes=broadcast).collect()) == [1, 2]
+        assert [r["doc_id"] for r in decontaminate.leaks(docs, items, containment=0.67, broadcast_bytes=broadcast).collect()] == [2]
+    assert [decontaminate.needed(n, 0.8) for n in (1, 5, 6, 1000)] == [1, 4, 5, 800]
+
+
+def test_digest_takes_time_linear_in_the_turns(spark):
+    def took(n: int) -> float:
+        rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat(repeat('word ', 18), id, if(id % 7 = 0, '</s>', '')) text")
+        begun = time.time()
+        assert chat_format.digest(chat_format.format_conversations(rows)).first()["n_turns"] == n
+        return time.time() - begun
+
+    took(100)
+    assert took(16_000) < 5 * max(took(4_000), 0.5)

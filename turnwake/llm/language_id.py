@@ -136,8 +136,8 @@ def fit(labelled: DataFrame, per_label: int = 400, gap: float = 1.0) -> Model |
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str | Column, far: float = 0.46) -> DataFrame:
-    """The kept columns and lang_pred, score, ambiguous, far of each row's text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text_to_tell"))
+    """The kept columns and lang_pred, score, ambiguous, far of each row's text; kept columns of these names are written over."""
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__text_to_tell")).drop("lang_pred", "score", "ambiguous", "far")
     schema = rows.drop("__text_to_tell").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

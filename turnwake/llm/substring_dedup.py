@@ -148,7 +148,9 @@ def removed_runs(docs: DataFrame, min_sentences: int, min_words: int, tails: boo
 
 def clean(docs: DataFrame, min_sentences: int = 2, min_words: int = 30, tails: bool = True) -> DataFrame:
     """All columns of ``docs``, the text without what other documents or places had before, and
-    __sentences, __removed (numbers of sentences) and __removed_words."""
+    __sentences, __removed (numbers of sentences) and __removed_words. Columns of ``docs`` with these
+    names, as of an earlier pass, are written over."""
+    docs = docs.drop("__sentences", "__removed", "__removed_words")
     low = F.lit(-(1 << 63)).cast("long")
     runs = removed_runs(docs, min_sentences, min_words, tails)
     own, at, names = sealed(docs.withColumn("text", F.col("text").cast("string")))
