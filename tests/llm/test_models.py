@@ -377,3 +377,18 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         else:
             assert kept == {d for d, _ in before}
         assert name == "packing" or docs.columns == columns
+
+
+def test_mirrored_directories_are_counted_once(spark, monkeypatch):
+    """Two mirrored documents of many addresses and words: the pairs that are counted do not grow with either."""
+    sizes = []
+    real = pii.entity_classes
+    monkeypatch.setattr(pii, "entity_classes", lambda m, t: sizes.append(["entities", (e := real(m, t)).count()]) or e)
+    terms = pii.term_classes
+    monkeypatch.setattr(pii, "term_classes", lambda t: sizes.append(["terms", (x := terms(t)).select("like").distinct().count()]) or x)
+    for n in (50, 1000):
+        page = " ".join(f"name{i} a{i}@example.org " + " ".join(f"w{i}x{j}" for j in range(10)) for i in range(n))
+        rows = [(1, page), (2, page)] + [(10 + i, f"filler{i} text of no one") for i in range(300)]
+        flagged = pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8, 0.8)
+        sizes.append(["flagged", flagged.count() > 0])
+    assert sizes[:3] == sizes[3:] and sizes[0][1] <= 4 and sizes[1][1] <= 4

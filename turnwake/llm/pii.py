@@ -14,7 +14,8 @@ also inside one document. Copies of one passage are so one piece of evidence, an
 One pass finds mentions and terms of documents with entities, one counts the terms of all
 documents (pre-aggregated in each task). As n(e, t) <= n(e), a term in more than
 N ** (1 - g) * n(e) ** g documents cannot reveal the share g of e; only rarer ones are paired with
-the entities of their documents. A last pass finds where the flagged terms stand: a bitmap of fixed
+the entities of their documents. Entities that stand in the same documents alike are paired once, and so are terms of
+the same documents, so that a page of many names and its mirror do not make a pair of each name and word. A last pass finds where the flagged terms stand: a bitmap of fixed
 size over their hashes keeps most other words out, and a join on the hash decides.
 
 Defined results: null text counts as empty and has no spans, and stays null when sanitised; a null
@@ -210,31 +211,68 @@ def certain(n: Column, sure: float) -> Column:
     return 3 * F.log2(1 - 1 / (9 * n) - NormalDist().inv_cdf(sure) / (3 * F.sqrt(n)))
 
 
+def set_hash(of: Column) -> list[Column]:
+    """Sums that tell a set, or a multiset, by the hashes of its members; they cannot overflow."""
+    h = F.xxhash64(of)
+    return [F.count("*").alias("h0"), F.sum(h.bitwiseAND((1 << 32) - 1)).alias("h1"), F.sum(F.shiftrightunsigned(h, 32)).alias("h2")]
+
+
+HASHED = ("h0", "h1", "h2")
+
+
+def entity_classes(mentions: DataFrame, total: float) -> DataFrame:
+    """(uid, n_entity, entity, windows: array<struct<docs, n>>): one entity for all that cannot be told apart, by document.
+
+    Of an entity's windows counts only in which documents each stands; those of equal documents are one entry, ``n``
+    of them. Entities whose windows stand in equal documents alike have equal counts with every term. Of entities that no
+    other document has, the one with most windows has the largest share of every term.
+    """
+    places = mentions.groupBy("entity", "window").agg(*set_hash(F.col("uid")))
+    places = cut_small(places.select("entity", "window", F.xxhash64(*HASHED).alias("docs")))
+    kinds = cut_small(places.groupBy("entity", "docs").agg(F.count("*").alias("n")))
+    signs = kinds.groupBy("entity").agg(*set_hash(F.struct("docs", "n")))
+    seen = cut_small(mentions.select("uid", "entity").distinct())
+    known = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < total)
+    known = cut_small(known.join(signs, "entity"))
+    several = known.filter("n_entity > 1").groupBy("n_entity", *HASHED).agg(F.min("entity").alias("entity")).select("entity", "n_entity")
+    single = known.filter("n_entity = 1").join(kinds, "entity").join(seen, "entity")
+    single = single.groupBy("uid").agg(F.max_by("entity", F.struct("n", "entity")).alias("entity")).select("entity", F.lit(1).cast("long").alias("n_entity"))
+    chosen = cut_small(several.unionByName(single))
+    own = mentions.join(chosen, "entity").join(places, ["entity", "window"]).select("uid", "entity", "n_entity", "docs").distinct()
+    own = own.join(kinds, ["entity", "docs"])
+    return cut_small(own.groupBy("uid", "n_entity", "entity").agg(F.collect_list(F.struct("docs", "n")).alias("windows")))
+
+
+def term_classes(terms: DataFrame) -> DataFrame:
+    """(term, like): terms of equally many documents in all, and of the same documents with entities, have one ``like``."""
+    own = cut_small(terms.groupBy("term", "n_term").agg(*set_hash(F.col("uid"))))
+    least = cut_small(own.groupBy("n_term", *HASHED).agg(F.min("term").alias("like")))
+    return cut_small(own.join(least, ["n_term", *HASHED]).select("term", "like"))
+
+
 def disclosing(docs: DataFrame, window: int, sure: float, generalise: float) -> DataFrame:
     """(term, share): the terms that reveal at least ``generalise`` of some entity's information."""
     total = float(docs.count())
     scanned = cut(scan(docs, window))
-    mentions = scanned.select("uid", F.explode("mentions").alias("x")).groupBy("uid", "x.entity").agg(F.collect_set("x.window").alias("windows"))
-    known = cut_small(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < total))
-    most = known.agg(F.max("n_entity")).first()[0] or 0
+    spoken = entity_classes(scanned.select("uid", F.explode("mentions").alias("x")).select("uid", "x.entity", "x.window"), total)
+    most = spoken.agg(F.max("n_entity")).first()[0] or 0
     cap = lambda n: F.pow(F.lit(total), 1 - generalise) * F.pow(n, generalise) * (1 + 1e-6)
     rare = cut_small(document_frequencies(docs).filter(F.col("n_term") <= cap(F.lit(float(most)))))
-    mentions = mentions.join(known, "entity").select("uid", "n_entity", F.struct("entity", "windows").alias("m"))
-    # Of entities that no other document has, the one with most windows has the largest share of every term.
-    alone = mentions.filter("n_entity = 1").groupBy("uid", "n_entity").agg(F.max_by("m", F.size("m.windows")).alias("m"))
-    spoken = cut_small(alone.unionByName(mentions.filter("n_entity > 1")).select("uid", "n_entity", "m.entity", "m.windows"))
     bounds = spoken.groupBy("uid").agg(cap(F.max("n_entity")).alias("cap"))
     terms = scanned.select("uid", "terms").join(bounds, "uid").select("uid", "cap", F.explode("terms").alias("term"))
-    terms = terms.join(rare, "term").filter("n_term <= cap").select("uid", "term", "n_term")
-    pairs = terms.join(spoken, "uid").filter(F.col("n_term") <= cap(F.col("n_entity")))
-    pairs = pairs.select("entity", "term", "n_entity", "n_term", F.posexplode("windows").alias("i", "window"))
+    terms = cut_small(terms.join(rare, "term").filter("n_term <= cap").select("uid", "term", "n_term"))
+    alike = term_classes(terms)
+    one = terms.join(alike.select(F.col("like").alias("term")).distinct(), "term", "left_semi")
+    pairs = one.join(spoken, "uid").filter(F.col("n_term") <= cap(F.col("n_entity")))
+    pairs = pairs.select("entity", "term", "n_entity", "n_term", F.posexplode("windows").alias("i", "w"))
     # Distinct documents and windows are counted in two steps, so that no group of copies meets in one task.
-    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term", "window").agg(F.sum((F.col("i") == 0).cast("long")).alias("n"))
-    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("windows"))
+    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term", "w").agg(F.sum((F.col("i") == 0).cast("long")).alias("n"))
+    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_pair"), F.sum("w.n").alias("windows"))
     info = F.log2(F.lit(total) / F.col("n_entity"))
     pmi = F.log2(F.lit(total) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
     share = F.round((pmi + certain(F.col("windows"), sure)) / info, 9)
-    return pairs.select("term", share.alias("share")).filter(F.col("share") >= generalise).groupBy("term").agg(F.max("share").alias("share"))
+    told = pairs.select("term", share.alias("share")).filter(F.col("share") >= generalise).groupBy("term").agg(F.max("share").alias("share"))
+    return told.withColumnRenamed("term", "like").join(alike, "like").select("term", "share")
 
 
 def find(docs: DataFrame, window: int = 5, sure: float = 0.8, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
