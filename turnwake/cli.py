@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.step == "load":
         flights.load(spark, Path(a.folder), a.months)
         return
-    raw = flights.read(spark, a.flights if a.flights.endswith(".csv") else f"{a.flights}/*")
+    raw = flights.read(spark, a.flights if a.flights.endswith((".csv", ".zip")) else f"{a.flights}/*")
     if a.step == "sample":
         sample.write_csv(sample.whole_tails(raw, a.days), a.out)
         return
