@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwake.functions.columns import delay_bin, ground_left, unabsorbed
 from turnwake.operators import bootstrap, contagion, hinge
+from turnwake.operators.ids import dense_ids
 
 
 def turns(spark, inbound, slack, out, days=10, group="G"):
@@ -129,8 +130,61 @@ def test_too_few_controls_match_nothing(spark):
     assert contagion.events(legs(spark, n_days=2, craft=8)).count() == 0
 
 
-def test_week_blocks():
-    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(17)]
-    assert list(bootstrap.week_blocks(days)) == [0] * 7 + [1] * 7 + [2] * 3
-    w = bootstrap.week_weights(days, 50, 1)
-    assert w.shape == (50, 17) and (w[:, :7] == w[:, :1]).all() and (w[:, 0] + w[:, 7] + w[:, 14] == 3).all()
+def test_blocks_of_days(spark):
+    days = spark.createDataFrame([(dt.date(2026, 1, 1) + dt.timedelta(days=i),) for i in range(17)], "day date")
+    first = F.lit(dt.date(2026, 1, 1))
+    assert [r[0] for r in days.orderBy("day").select(bootstrap.block_of(F.col("day"), first)).collect()] == [0] * 7 + [1] * 7 + [2] * 3
+
+
+def test_ratio_intervals():
+    """Means over days with whole blocks drawn, against weights spread over the days."""
+    rng = np.random.default_rng(5)
+    value, block = rng.normal(10, 3, 17), np.repeat([0, 1, 2], [7, 7, 3])
+    w = bootstrap.draws(3, 400, 1)
+    spread = w[:, block]
+    want = np.quantile(spread @ value / spread.sum(1), [0.025, 0.975])
+    assert bootstrap.ratio_interval(w, np.bincount(block, value), np.bincount(block).astype(float)) == pytest.approx(tuple(want))
+
+
+def test_intervals_by_key_equal_one_table_of_all(spark):
+    rng, days = np.random.default_rng(2), [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(9)]
+    rows = [(f"k{k}", d, float(rng.normal()), float(rng.integers(1, 9)), int(rng.integers(1, 5))) for k in range(4) for d in days if rng.random() < 0.8 for _ in range(2)]
+    df = spark.createDataFrame(rows, "k string, flight_date date, excess double, x double, n long")
+    got = bootstrap.ratio_by_day(df, "k", n_boot=200, seed=3)
+    frame, used = df.toPandas(), sorted({r[1] for r in rows})
+    cell = lambda c: frame.pivot_table(index="flight_date", columns="k", values=c, aggfunc="sum").reindex(used).fillna(0).to_numpy()
+    w = np.random.default_rng(3).multinomial(len(used), np.full(len(used), 1 / len(used)), size=200)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        lo, hi = np.nanquantile((w @ cell("excess")) / (w @ cell("x")), [0.025, 0.975], axis=0)
+    assert np.allclose(got["multiplier_lo"], lo) and np.allclose(got["multiplier_hi"], hi) and list(got["k"]) == [f"k{k}" for k in range(4)]
+    assert np.allclose(got["multiplier"], cell("excess").sum(0) / cell("x").sum(0)) and got["n_events"].sum() == frame["n"].sum()
+    assert len(bootstrap.ratio_by_day(df.limit(0), "k")) == 0
+
+
+def test_many_groups_draw_as_they_would_alone(spark):
+    """Each group's interval from its own seed and the days of all groups."""
+    i, s, y = synthetic(3000, seed=8)
+    t = turns(spark, i, s, y, days=12).withColumn("station", F.concat(F.lit("S"), F.pmod(F.xxhash64("inbound_arr_delay", "sched_turn_min"), F.lit(25)).cast("string")))
+    got = hinge.fit_groups(t, "station", n_boot=40, seed=7)
+    sums = hinge.day_sums(t, "station").toPandas().sort_values(["g", "d", "tau"])
+    days, groups = sorted(sums["d"].unique()), sorted(sums["g"].unique())
+    assert list(got["group"]) == groups and len(groups) == 25
+    for k in (0, 11, 24):
+        own = sums[sums["g"] == groups[k]]
+        table = np.zeros((len(days), hinge.TAUS, 6))
+        for d, part in own.groupby("d"):
+            table[days.index(d)] = part[list(hinge.SUMS)].to_numpy(float)
+        w = np.random.default_rng(7 + k).multinomial(len(days), np.full(len(days), 1 / len(days)), size=40)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lo, hi = np.nanquantile(hinge.best_lines(np.tensordot(w, table, axes=1)), [0.025, 0.975], axis=0)
+        r = got.iloc[k]
+        assert np.allclose([r["a_lo"], r["beta_lo"], r["tau_lo"]], lo) and np.allclose([r["a_hi"], r["beta_hi"], r["tau_hi"]], hi)
+
+
+def test_dense_ids(spark):
+    rows = spark.range(0, 300_000).selectExpr("concat('k', pmod(xxhash64(id), 200000)) k", "if(id % 1000 = 0, null, pmod(id, 3)) j").repartition(9)
+    got = dense_ids(rows, "k", "j").toPandas()
+    want = rows.distinct().toPandas().sort_values(["k", "j"], na_position="first", ignore_index=True)
+    got = got.sort_values("id", ignore_index=True)
+    assert list(got["id"]) == list(range(len(want))) and got[["k", "j"]].equals(want[["k", "j"]])
+    assert dense_ids(rows.limit(0), "k").count() == 0

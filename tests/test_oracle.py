@@ -15,7 +15,7 @@ from turnwake.plans import queries as core  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("raw_flights", "stg_flights", "fct_legs", "fct_turns", "agg_airport_hour", "carrier_rotations", "network_summary", "hinge_fit", "holdout_scores", "contagion_events", "carrier_adjusted", "chain_replay", "marginal_score", "greedy_policy", "rounded_policy", "fixture_sample", "dq_report", "airports", "contagion_events_by_day", "robustness_points", "scenario_legs_of_month", "steps_in_order", "mean_gain_by_size", "stations_without_test", "superspreaders", "multiplier_curve", "gbm_root_gains")
+SOME = ("raw_flights", "stg_flights", "fct_legs", "fct_turns", "agg_airport_hour", "carrier_rotations", "network_summary", "hinge_fit", "holdout_scores", "contagion_events", "carrier_adjusted", "chain_replay", "marginal_score", "greedy_policy", "rounded_policy", "fixture_sample", "dq_report", "airports", "contagion_events_by_day", "robustness_points", "scenario_legs_of_month", "steps_in_order", "mean_gain_by_size", "stations_without_test", "superspreaders", "multiplier_curve", "gbm_root_gains", "dense_flight_ids")
 
 
 @pytest.fixture(scope="module")

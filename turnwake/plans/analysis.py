@@ -10,7 +10,7 @@ from ..config import Config
 from ..operators import buffers as B
 from ..operators import chains as C
 from ..operators import contagion, descriptive, evaluate, hinge
-from ..operators.bootstrap import week_blocks
+from ..operators.bootstrap import BLOCK_DAYS
 from ..operators.lp import Program
 from ..session import only_row
 from .warehouse import Warehouse
@@ -111,7 +111,7 @@ def place_buffers(train: DataFrame, test: DataFrame, tau: float, beta: float, cf
     at = rows[rows["budget"] == cfg.reference_budget].set_index("policy")
     base = C.delay_by_day(C.replay(test, None, tau, beta)).toPandas()
     summary = {
-        "carrier": cfg.carrier, "tau": tau, "beta": beta, "b_max": cfg.b_max, "scenario_days": program.days, "test_days": len(base), "test_weeks": int(week_blocks(sorted(base["day"])).max()) + 1,
+        "carrier": cfg.carrier, "tau": tau, "beta": beta, "b_max": cfg.b_max, "scenario_days": program.days, "test_days": len(base), "test_weeks": (base["day"].max() - base["day"].min()).days // BLOCK_DAYS + 1,
         "cells": len(program.keys), "turns_per_day_train": float(program.nbar.sum()), "baseline_delay_per_day_test": float(base["delay"].mean()), "reference_budget": cfg.reference_budget,
         "uniform_at_lp_spend": evaluate.at_spend(rows, at.loc[evaluate.LP, "buffer_test"]), "reference": at.drop(columns="budget").to_dict("index"),
     }

@@ -20,6 +20,7 @@ from ..config import Config
 from ..operators import buffers as B
 from ..operators import chains as C
 from ..operators import contagion, descriptive, evaluate, hinge, trees
+from ..operators.ids import dense_ids
 from ..operators.lp import Program
 from ..session import prepared
 from ..sources.adapter import RAW_SQL, ZONES, test_flights
@@ -175,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scenario_legs_of_month": _query(lambda w: C.scenario_legs(w.legs, CARRIER, C.scenario_days(w.legs, CARRIER, [HINGE_MONTHS[1]]))),
     "steps_in_order": _query(lambda w: B.steps_in_order(_placed(w), BUDGET)),
     "mean_gain_by_size": lambda spark, d: plain(evaluate.mean_gain_by_size(spark.sql(f"SELECT * FROM {GAINS}"))),
+    "dense_flight_ids": _query(lambda w: dense_ids(w.stg_flights, "carrier", "flight_id")),
     "fixture_sample": _sample,
     "dq_report": _query(lambda w: quality.report(w.tables)),
 }
@@ -421,6 +423,7 @@ _SQL: dict[str, str] = {
               FROM v WINDOW w AS (PARTITION BY feature ORDER BY coalesce(value, -sy / n), name ROWS UNBOUNDED PRECEDING)),
         d AS (SELECT feature, coalesce(value, place)::BIGINT AS upto, nl::BIGINT AS n_low, nl, n - nl AS nr, n, nl * (y / n) - yl AS gl, (n - nl) * (y / n) - (y - yl) AS gr, n * (y / n) - y AS g FROM c WHERE nl < n)
         SELECT feature, upto, n_low, round(gl * gl / nl + gr * gr / nr - g * g / n, 6) AS gain FROM d""",
+    "dense_flight_ids": "SELECT carrier, flight_id, row_number() OVER (ORDER BY carrier, flight_id) - 1 AS id FROM stg",
     "filter_excluded_share": f"SELECT round(1 - count(*) FILTER ({_USE}) / count(*), 6) AS excluded_share FROM turns WHERE flight_date > DATE '{SPLIT}' AND inbound_arr_delay IS NOT NULL AND outbound_dep_delay IS NOT NULL",
     "contagion_events": f"{_EVENTS} SELECT * REPLACE ({_D('flight_date')}, round(baseline, 6) AS baseline, round(excess, 6) AS excess) FROM ce",
     "multiplier_curve": f"{_EVENTS} {_ratio(_BIN, 'x_bin', 'x >= 1', ', ' + ', '.join(f'round(avg({c}), 6) AS {n}' for c, n in (('x', 'mean_x'), ('excess', 'mean_excess'), ('s', 'mean_downstream'), ('baseline', 'mean_baseline'))))}",
