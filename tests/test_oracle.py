@@ -15,7 +15,7 @@ from turnwake.plans import queries as core  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("raw_flights", "stg_flights", "fct_legs", "fct_turns", "agg_airport_hour", "carrier_rotations", "network_summary", "hinge_fit", "holdout_scores", "contagion_events", "carrier_adjusted", "chain_replay", "marginal_score", "greedy_policy", "rounded_policy", "fixture_sample", "dq_report", "airports", "contagion_events_by_day", "robustness_points", "scenario_legs_of_month", "steps_in_order", "mean_gain_by_size", "stations_without_test", "superspreaders", "multiplier_curve", "gbm_root_gains", "dense_flight_ids")
+SOME = ("raw_flights", "stg_flights", "fct_legs", "fct_turns", "agg_airport_hour", "carrier_rotations", "network_summary", "hinge_fit", "holdout_scores", "contagion_events", "carrier_adjusted", "chain_replay", "marginal_score", "greedy_policy", "rounded_policy", "fixture_sample", "dq_report", "airports", "contagion_events_by_day", "robustness_points", "scenario_legs_of_month", "steps_in_order", "mean_gain_by_size", "stations_without_test", "superspreaders", "multiplier_curve", "gbm_root_gains", "dense_flight_ids", "aircraft_without_test")
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +33,16 @@ def value(x):
     return f"{x:.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
+#: These find no row in the smallest tables, or in any.
+MAYBE_EMPTY = {"stations_without_test"}
+
+
 @pytest.mark.parametrize("name", SOME)
 def test_query_equals_its_sql(spark, db, name):
     df = core.QUERIES[name](spark, FOLDER)
     names = sorted(df.columns)
     got = sorted((tuple(value(r[c]) for c in names) for r in df.collect()), key=str)
+    assert got or name in MAYBE_EMPTY
     rel = db.sql(entry.oracle_sql()[name])
     assert sorted(rel.columns) == names
     place = [rel.columns.index(c) for c in names]

@@ -166,3 +166,14 @@ def test_tables_of_policies():
     assert "| 30 | 0.90 |" in publish.sensitivity_table(s)
     r = pd.DataFrame([{"variant": "Headline", "n_events": 1000, "multiplier": 0.98, "multiplier_lo": 0.96, "multiplier_hi": 1.0, "small_slip_multiplier": 1.2}])
     assert "| Headline | 1,000 | 0.98 [0.96, 1.00] | 1.20 |" in publish.robustness_table(r)
+
+
+def test_airports_of_a_wider_table(spark):
+    """Rows without code or zone and places abroad go; of two rows with one code the first by name stays."""
+    world = [
+        ("US", "ATL", "Hartsfield", "Atlanta", "Georgia", "America/New_York", 33.6366996, -84.4278640), ("US", "ATL", "A second row", "Atlanta", "Georgia", "America/New_York", 33.0, -84.0),
+        ("US", "", "Private", "Nowhere", "Ohio", "America/New_York", 40.0, -82.0), ("US", "XXZ", "No Zone", "Nowhere", "Ohio", "", 40.0, -82.0), ("DE", "FRA", "F", "F", "H", "Europe/Berlin", 50.0, 8.5),
+        ("PR", "SJU", "San Juan", "San Juan", None, "America/Puerto_Rico", 18.4393997, -66.0018005),
+    ]
+    got = airports.seeded(spark.createDataFrame(world, "country string, iata string, name string, city string, subd string, tz string, lat double, lon double")).collect()
+    assert [(r["iata"], r["name"], r["lat"]) for r in got] == [("ATL", "A second row", 33.0), ("SJU", "San Juan", 18.4394)]

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,12 +117,38 @@ def _placed(w: W.Warehouse) -> DataFrame:
     return B.cells(_legs(w)).withColumn("place", F.md5(F.concat_ws("|", *C.CELL).cast("binary")))
 
 
-#: Airports of a wider table: some without code or zone, one abroad, one twice.
-WORLD = """VALUES ('US', 'ATL', 'Hartsfield', 'Atlanta', 'Georgia', 'America/New_York', 33.6366996D, -84.4278640D), ('GU', 'GUM', 'Guam', 'Hagatna', 'Guam', 'Pacific/Guam', 13.4834500D, 144.7959832D),
-    ('US', '', 'Private Field', 'Nowhere', 'Ohio', 'America/New_York', 40.0D, -82.0D), ('US', 'XXZ', 'No Zone', 'Nowhere', 'Ohio', '', 40.0D, -82.0D), ('DE', 'FRA', 'Frankfurt', 'Frankfurt', 'Hesse', 'Europe/Berlin', 50.0264D, 8.543D),
-    ('PR', 'SJU', 'San Juan', 'San Juan', NULL, 'America/Puerto_Rico', 18.4393997D, -66.0018005D), ('US', 'ATL', 'A second row', 'Atlanta', 'Georgia', 'America/New_York', 33.0D, -84.0D)
-    AS t(country, iata, name, city, subd, tz, lat, lon)"""
-GAINS = "VALUES (0, 10, 1.5D, 0.5D), (1, 10, 0.5D, 0.25D), (2, 10, 1.0D, 0.75D), (0, 22, 0.75D, 0.875D) AS t(replicate, scenario_days, gain_train, gain_test)"
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of airports as carriers would send it in: a row each time a flight uses one, under several names, some without code or zone, some abroad."""
+    raw, known = test_flights(prepared(spark), sf_dir)
+    used = raw.select("Flight_Number_Reporting_Airline", F.explode(F.array("Origin", "Dest")).alias("iata")).withColumnRenamed("Flight_Number_Reporting_Airline", "n")
+    blank = lambda c, every: F.when(F.col("n") % every != 0, F.col(c)).otherwise(F.lit(""))
+    named = F.concat("name", F.lit(" "), (F.col("n") % 3).cast("string"))
+    return used.join(known, "iata").select(
+        F.when(F.col("n") % 7 != 0, F.lit("US")).otherwise(F.lit("DE")).alias("country"), blank("iata", 11).alias("iata"), named.alias("name"), "city", F.col("state").alias("subd"), blank("tz", 13).alias("tz"), "lat", "lon"
+    )
+
+
+SIZES = (5, 10, 15)
+
+
+def _gains(w: W.Warehouse) -> DataFrame:
+    """(replicate, scenario_days, gain_train, gain_test): minutes a day that buffers by hour avoid, on drawn days and on the others."""
+    draws = F.array(*(F.struct(F.lit(r).alias("replicate"), F.lit(n).alias("scenario_days")) for r in range(3) for n in SIZES))
+    days = C.avoided_by_day(_replay(w)).select("day", "avoided", F.explode(draws).alias("x")).select("day", "avoided", "x.*")
+    order = Window.partitionBy("replicate", "scenario_days").orderBy(F.md5(F.concat_ws("|", F.date_format("day", "yyyy-MM-dd"), "replicate").cast("binary")))
+    drawn = days.withColumn("drawn", F.row_number().over(order) <= F.col("scenario_days"))
+    mean = lambda c, name: F.avg(F.when(c, F.col("avoided"))).alias(name)
+    return drawn.groupBy("replicate", "scenario_days").agg(mean(F.col("drawn"), "gain_train"), mean(~F.col("drawn"), "gain_test"))
+
+
+#: Fixed value: the days on which an aircraft is held out.
+LAST_DAYS = "2024-01-28"
+
+
+def _aircraft_without_test(w: W.Warehouse) -> DataFrame:
+    own = lambda df: hinge.usable(df).select(F.col("tail_number").alias("g")).distinct()
+    return hinge.without_test(own(_early(w.turns)), own(w.turns.filter(F.col("flight_date") > F.lit(LAST_DAYS).cast("date"))))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_flights": lambda spark, d: plain(test_flights(prepared(spark), d)[0]),
@@ -170,12 +196,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "superspreaders": _query(lambda w: contagion.superspreaders(_events(w), w.airports, 5)),
     "ranked_hubs": _query(lambda w: evaluate.ranked(descriptive.top_hubs(w.turns, 100), "turns")),
     "stations_without_test": _query(lambda w: hinge.without_test(hinge.fit(hinge.day_sums(_early(w.turns), "station")), hinge.usable(_late(w.turns)).select(F.col("station").alias("g")).distinct())),
-    "airports": lambda spark, d: plain(seeded(spark.sql(f"SELECT * FROM {WORLD}"))),
+    "aircraft_without_test": _query(_aircraft_without_test),
+    "airports": lambda spark, d: plain(seeded(_places(spark, d))),
     "contagion_events_by_day": _query(lambda w: contagion.events(w.legs)),
     "robustness_points": _query(_designs),
     "scenario_legs_of_month": _query(lambda w: C.scenario_legs(w.legs, CARRIER, C.scenario_days(w.legs, CARRIER, [HINGE_MONTHS[1]]))),
     "steps_in_order": _query(lambda w: B.steps_in_order(_placed(w), BUDGET)),
-    "mean_gain_by_size": lambda spark, d: plain(evaluate.mean_gain_by_size(spark.sql(f"SELECT * FROM {GAINS}"))),
+    "mean_gain_by_size": _query(lambda w: evaluate.mean_gain_by_size(_gains(w))),
     "dense_flight_ids": _query(lambda w: dense_ids(w.stg_flights, "carrier", "flight_id")),
     "fixture_sample": _sample,
     "dq_report": _query(lambda w: quality.report(w.tables)),
@@ -300,6 +327,7 @@ legs AS (SELECT *, chain_legs - leg_seq AS legs_remaining, CASE WHEN dep_hour_lo
 turns AS (SELECT flight_id AS turn_id, prev_flight_id AS in_flight_id, flight_id AS out_flight_id, chain_id, carrier, tail_number, origin AS station, flight_date, flight_month, dep_hour_local, sched_turn_min, actual_turn_min,
   inbound_arr_delay, dep_delay AS outbound_dep_delay, arr_delay AS outbound_arr_delay, sched_turn_min - greatest(inbound_arr_delay, 0) AS available_turn_min, late_aircraft_delay AS outbound_late_aircraft_delay FROM wide WHERE is_linked),
 """
+_AIRPORT_ROWS = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in r) + ")" for r in AIRPORTS)
 _T = lambda *cols: ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in cols)
 _D = lambda *cols: ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
 _SUMS = ", ".join(f"sum(coalesce({d}, 0)) AS {n}" for d, n in zip(_DELAYS, descriptive.NAMES, strict=True))
@@ -444,6 +472,15 @@ _SQL: dict[str, str] = {
         (SELECT origin, count(*) AS n_events, round(sum(x), 6) AS primary_min, round(sum(excess), 6) AS excess_min, round(sum(excess) / sum(x), 6) AS multiplier, round(sum(m * x) / sum(x), 6) AS carrier_mix, round(sum(excess - m * x) / sum(x), 6) AS excess_over_mix
          FROM ce JOIN m USING (carrier) WHERE x >= 15 GROUP BY origin HAVING count(*) >= 5) LEFT JOIN ap USING (origin)""",
     "ranked_hubs": "SELECT station, count(*) AS turns, CAST(rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS rank FROM turns GROUP BY station",
+    "aircraft_without_test": f"SELECT DISTINCT tail_number AS g FROM turns WHERE {_USE} AND flight_date <= DATE '{SPLIT}' AND tail_number NOT IN (SELECT tail_number FROM turns WHERE {_USE} AND flight_date > DATE '{LAST_DAYS}')",
+    "airports": f"""ap AS (SELECT * FROM (VALUES {_AIRPORT_ROWS}) v(iata, name, city, state, tz, lat, lon)),
+        pl AS (SELECT ap.*, number % 3 AS i FROM raw JOIN ap ON ap.iata = raw.origin WHERE number % 11 <> 0 AND number % 13 <> 0 AND number % 7 <> 0
+               UNION ALL SELECT ap.*, number % 3 FROM raw JOIN ap ON ap.iata = raw.dest WHERE number % 11 <> 0 AND number % 13 <> 0 AND number % 7 <> 0)
+        SELECT iata, min(name || ' ' || i) AS name, min(city) AS city, min(state) AS state, min(tz) AS tz, min(lat)::DOUBLE AS lat, min(lon)::DOUBLE AS lon FROM pl GROUP BY iata""",
+    "mean_gain_by_size": f"""{_REPLAY}, ad AS (SELECT day, sum(greatest(arr_delay, 0)) - sum(greatest(arrival, 0)) AS avoided FROM rp GROUP BY day),
+        dr AS (SELECT r AS replicate, n AS scenario_days, avoided, row_number() OVER (PARTITION BY r, n ORDER BY md5(CAST(day AS DATE)::VARCHAR || '|' || r)) <= n AS drawn FROM ad, range(3) q(r), (VALUES {", ".join(f"({n})" for n in SIZES)}) z(n)),
+        gn AS (SELECT replicate, scenario_days, avg(avoided) FILTER (drawn) AS gain_train, avg(avoided) FILTER (NOT drawn) AS gain_test FROM dr GROUP BY ALL)
+        SELECT scenario_days, round(avg(gain_train), 6) AS gain_train, round(avg(gain_test), 6) AS gain_test FROM gn GROUP BY scenario_days""",
     "stations_without_test": f"SELECT DISTINCT station AS g FROM turns WHERE {_USE} AND flight_date <= DATE '{SPLIT}' AND station NOT IN (SELECT station FROM turns WHERE {_USE} AND flight_date > DATE '{SPLIT}')",
     "contagion_events_by_day": f"{_events_sql(contagion.MATCH)} SELECT * REPLACE ({_D('flight_date')}, round(baseline, 6) AS baseline, round(excess, 6) AS excess) FROM ce",
     "robustness_points": _designs_sql(),
@@ -502,9 +539,6 @@ def _quality_sql() -> str:
     return f"SELECT expectation, broken, CASE WHEN broken > e THEN 'error' WHEN broken > w THEN 'warn' ELSE 'pass' END AS status FROM ({' UNION ALL '.join(parts)})"
 
 
-ORACLE_SQL["airports"] = f"""SELECT iata, arg_min(name, name) AS name, arg_min(city, name) AS city, min_by(subd, name) AS state, arg_min(tz, name) AS tz, arg_min(round(lat, 5), name) AS lat, arg_min(round(lon, 5), name) AS lon
-    FROM (SELECT * FROM ({WORLD.replace("D,", "::DOUBLE,").replace("D)", "::DOUBLE)")})) WHERE country IN ('US', 'PR', 'VI', 'GU', 'MP', 'AS') AND iata <> '' AND tz <> '' GROUP BY iata"""
-ORACLE_SQL["mean_gain_by_size"] = f"SELECT scenario_days, avg(gain_train) AS gain_train, avg(gain_test) AS gain_test FROM ({GAINS.replace('D,', '::DOUBLE,').replace('D)', '::DOUBLE)')}) GROUP BY scenario_days"
 ORACLE_SQL["dq_report"] = _BASE.rstrip().removesuffix(",") + " " + _quality_sql()
 ORACLE_SQL["raw_flights"] = f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM {_RAW_TIMES}"
 ORACLE_SQL["fixture_sample"] = f"""WITH {RAW_SQL}, picked AS (SELECT * FROM {_RAW_TIMES} WHERE day IN (DATE '2024-01-10', DATE '2024-01-11')),
