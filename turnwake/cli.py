@@ -14,7 +14,7 @@ import argparse
 from pathlib import Path
 
 from .config import Config
-from .plans import analysis, publish, quality, warehouse
+from .plans import analysis, incremental, publish, quality, warehouse
 from .session import session
 from .sources import airports, flights, sample
 
@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     step("load", folder=path, months={"type": int, "default": 12})
     capped = {"memory": {}, "cores": {"type": int}}
     step("build", flights=path, airports=path, tables=path, **capped)
+    step("append", flights=path, tables=path, **capped)
     step("analyse", flights=path, airports=path, results=path, **capped)
     step("report", results=path, template={"default": str(publish.PAGE)}, out=path)
     step("sample", flights=path, days={"nargs": "+", "required": True}, out=path)
@@ -53,6 +54,10 @@ def main(argv: list[str] | None = None) -> None:
     if a.step == "sample":
         sample.write_csv(sample.whole_tails(raw, a.days), a.out)
         return
+    if a.step == "append":
+        for name in quality.check(spark, incremental.add_months(spark, raw, a.tables).tables):
+            print(f"warning: {name}")
+        return
     built = warehouse.build(raw, airports.load(spark, a.airports))
     if a.step == "build":
         for name in quality.check(spark, warehouse.write(built, a.tables).tables):

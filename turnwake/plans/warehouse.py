@@ -129,14 +129,14 @@ def sequenced(staging: DataFrame, max_turn_min: int = MAX_TURN_MIN) -> DataFrame
     )
 
 
-def leg_sequence(wide: DataFrame) -> DataFrame:
+def leg_sequence(wide: DataFrame, *more: str) -> DataFrame:
     return wide.select(
         *("flight_id", "carrier", "tail_number", "chain_id", "leg_seq", "chain_legs", "chain_date", "is_linked"),
-        *("prev_flight_id", "sched_turn_min", "actual_turn_min", "inbound_arr_delay", "inbound_crs_arr_utc"),
+        *("prev_flight_id", "sched_turn_min", "actual_turn_min", "inbound_arr_delay", "inbound_crs_arr_utc", *more),
     )
 
 
-def rotations(wide: DataFrame) -> DataFrame:
+def rotations(wide: DataFrame, *more: str) -> DataFrame:
     """One row per turn: an inbound leg and the leg that the aircraft flies next."""
     return wide.filter("is_linked").select(
         F.col("flight_id").alias("turn_id"),
@@ -150,6 +150,7 @@ def rotations(wide: DataFrame) -> DataFrame:
         F.col("crs_dep_utc").alias("out_crs_dep_utc"),
         *("sched_turn_min", "actual_turn_min", "inbound_arr_delay"),
         F.col("dep_delay").alias("outbound_dep_delay"),
+        *more,
     )
 
 
@@ -239,27 +240,52 @@ def build(raw: DataFrame, airports: DataFrame, max_turn_min: int = MAX_TURN_MIN)
     return Warehouse(airports, staging, sequenced(staging, max_turn_min), max_turn_min)
 
 
+#: Tables that are stored by month, and those of them whose rows do not have it themselves.
+MONTHLY = ("stg_flights", "int_chains", "int_leg_sequence", "int_rotations", "fct_legs", "fct_turns", "agg_carrier_month")
+WITHOUT_MONTH = ("int_leg_sequence", "int_rotations")
+
+
+def of_chains(wide: DataFrame) -> dict[str, DataFrame]:
+    """The tables that are projections of the chains, with the month under which they are stored."""
+    return {"int_leg_sequence": leg_sequence(wide, "flight_month"), "int_rotations": rotations(wide, "flight_month"), "fct_legs": legs(wide), "fct_turns": turns(wide)}
+
+
+def store(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A table as Parquet, and the plan that reads it. Of a table by month only the months of ``df`` are replaced."""
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    if name in MONTHLY:
+        writer = writer.partitionBy("flight_month").option("partitionOverwriteMode", "dynamic")
+    writer.parquet(f"{folder}/{name}")
+    stored = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")  # also of no rows
+    return stored.drop("flight_month") if name in WITHOUT_MONTH else stored
+
+
 def write(warehouse: Warehouse, folder: str) -> Warehouse:
-    """All tables as Parquet, and the warehouse that reads them; facts by month, so that a plan over some
+    """All tables as Parquet, and the warehouse that reads them; by month, so that a plan over some
     months reads only those.
 
-    Staging and chains are written first and read by what follows: each shuffle runs once.
+    Staging and chains are written first and read by what follows: each shuffle runs once. What another month
+    needs to go on from here is kept beside them (``incremental``). ``folder`` is new, or has the same months.
     """
-    spark = warehouse.stg_flights.sparkSession
-
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy("flight_month") if name.startswith("fct_") else writer).parquet(f"{folder}/{name}")
-        return read_table(spark, folder, name)
-
-    staging = stored("stg_flights", warehouse.stg_flights)
-    wide = stored("int_chains", sequenced(staging, warehouse.max_turn_min))
-    done = Warehouse(stored("airports", warehouse.airports), staging, wide, warehouse.max_turn_min)
-    for name, df in done.tables.items():
-        if name not in ("airports", "stg_flights"):
-            stored(name, df)
+    from . import incremental
+
+    staging = store(warehouse.stg_flights, folder, "stg_flights").select(*warehouse.stg_flights.columns)
+    wide = store(sequenced(staging, warehouse.max_turn_min), folder, "int_chains")
+    done = Warehouse(store(warehouse.airports, folder, "airports"), staging, wide, warehouse.max_turn_min)
+    for name, df in of_chains(wide).items():
+        store(df, folder, name)
+    store_marts(staging, staging, folder)
+    incremental.keep_state(wide, None, incremental.last_month(staging), warehouse.max_turn_min, folder)
     return done
 
 
+def store_marts(staging: DataFrame, months: DataFrame, folder: str) -> None:
+    """The marts: those by month of ``months``, the others of all of ``staging``."""
+    store(carrier_month(months), folder, "agg_carrier_month")
+    store(airport_hour(staging), folder, "agg_airport_hour")
+    store(delay_causes(staging), folder, "agg_delay_causes")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    stored = spark.read.parquet(f"{folder}/{name}")
+    return stored.drop("flight_month") if name in WITHOUT_MONTH else stored
