@@ -31,7 +31,7 @@ NUMBERS, CATEGORY = ("i", "s", "hour"), "carrier"
 FEATURES = (*NUMBERS, CATEGORY)
 SLICES, BINS = 16, 255
 CELLS = 200_000  # in a task
-BLOCK = 10  # trees after which the cells' predictions are written
+BLOCK = 10  # trees after which the cells' predictions are written; between, they are kept in memory
 
 
 @dataclass
@@ -46,15 +46,34 @@ class Node:
     value: float = 0.0
 
 
-def place(nodes: list[Node], codes: list[np.ndarray]) -> np.ndarray:
-    """The node in which each row ends."""
-    out = np.zeros(len(codes[0]), np.int32)
-    for at, n in enumerate(nodes):  # children come after their parent
-        if n.feature >= 0:
-            own = np.flatnonzero(out == at)
-            c = codes[n.feature][own]
-            low = np.isin(c, list(n.left)) if n.left else c <= n.at
-            out[own] = np.where(low, n.low, n.high)
+def place(nodes: list[Node], codes: list[np.ndarray], wanted: list[int] | None = None) -> np.ndarray:
+    """The node in which each row ends; -1 for rows that do not come to a ``wanted`` one."""
+    feature, low, high = (np.array([getattr(n, f) for n in nodes]) for f in ("feature", "low", "high"))
+    goes_low = np.zeros((len(nodes), max(1, *(int(c.max(initial=0)) + 1 for c in codes))), bool)
+    for at, n in enumerate(nodes):
+        if n.left:
+            goes_low[at, [c for c in n.left if c < goes_low.shape[1]]] = True
+        elif n.feature >= 0:
+            goes_low[at, : n.at + 1] = True
+    on_the_way = np.ones(len(nodes), bool)
+    if wanted is not None:
+        on_the_way[:] = False
+        on_the_way[wanted] = True
+        for at in range(len(nodes) - 1, -1, -1):  # children come after their parent
+            if feature[at] >= 0:
+                on_the_way[at] = on_the_way[low[at]] or on_the_way[high[at]]
+    out, rows = np.zeros(len(codes[0]), np.int32), np.arange(len(codes[0]))
+    if not on_the_way[0]:
+        return out - 1
+    each = np.stack(codes)
+    while len(rows):
+        now = out[rows]
+        inner = feature[now] >= 0
+        rows, now = rows[inner], now[inner]
+        after = np.where(goes_low[now, each[feature[now], rows]], low[now], high[now])
+        stays = on_the_way[after]
+        out[rows] = np.where(stays, after, -1)
+        rows = rows[stays]
     return out
 
 
@@ -88,9 +107,9 @@ class Boosted:
     rate: float
     trees: list[list[Node]] = field(default_factory=list)
 
-    def values(self, codes: list[np.ndarray], first: int = 0) -> np.ndarray:
+    def values(self, codes: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(codes[0]))
-        for t in self.trees[first:]:
+        for t in self.trees:
             out += self.rate * np.array([n.value for n in t])[place(t, codes)]
         return out
 
@@ -150,13 +169,13 @@ def _codes(b: pa.RecordBatch) -> list[np.ndarray]:
     return [b.column(k).to_numpy() for k in range(1, 1 + len(FEATURES))]
 
 
-def advanced(table: DataFrame, model: Boosted, first: int) -> DataFrame:
-    """The cells with the predictions of the trees from ``first`` on added."""
-    trees = Boosted(model.coding, 0.0, model.rate, model.trees[first:])
+def advanced(table: DataFrame, model: Boosted) -> DataFrame:
+    """The cells with the predictions of the last tree added."""
+    last = Boosted(model.coding, 0.0, model.rate, model.trees[-1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = b.column(7).to_numpy() + trees.values(_codes(b))
+            f = b.column(7).to_numpy() + last.values(_codes(b))
             yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(f)], b.schema.names)
 
     return table.mapInArrow(run, CODED)
@@ -165,25 +184,25 @@ def advanced(table: DataFrame, model: Boosted, first: int) -> DataFrame:
 # ---------------------------------------------------------------- growing
 
 
-def histograms(table: DataFrame, bag: list[int], recent: Boosted, nodes: list[Node], wanted: list[int], sizes: list[int], single: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def histograms(table: DataFrame, bag: list[int], nodes: list[Node], wanted: list[int], sizes: list[int], single: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """node: (counts, gradient sums) over the bins of all features laid end to end, of ``wanted`` nodes."""
     start = np.concatenate([[0], np.cumsum(sizes)])
     slot = np.full(len(nodes), -1)
     slot[wanted] = np.arange(len(wanted))
+    drawn = np.isin(np.arange(SLICES), bag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, g = np.zeros(len(wanted) * start[-1]), np.zeros(len(wanted) * start[-1])
         for b in batches:
-            b = b.filter(pa.array(np.isin(b.column(0).to_numpy(), bag)))
-            at = slot[place(nodes, _codes(b))]
-            b = b.filter(pa.array(at >= 0))
-            at = at[at >= 0]
-            codes, count = _codes(b), b.column(5).to_numpy()
-            gradient = count * (b.column(7).to_numpy() + recent.values(codes)) - b.column(6).to_numpy()
+            own = np.flatnonzero(drawn[b.column(0).to_numpy()])
+            codes = [c[own] for c in _codes(b)]
+            at = place(nodes, codes, wanted)
+            own, codes, at = own[at >= 0], [c[at >= 0] for c in codes], slot[at[at >= 0]]
+            count, sy, f = (b.column(k).to_numpy()[own] for k in (5, 6, 7))
             for k, c in enumerate(codes):
                 key = at * start[-1] + start[k] + c
                 n += np.bincount(key, count, len(n))
-                g += np.bincount(key, gradient, len(g))
+                g += np.bincount(key, count * f - sy, len(g))
         keys = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[keys]), pa.array(g[keys])], ["key", "n", "g"])
 
@@ -302,18 +321,21 @@ def fit(train: DataFrame, seed: int = 0, rounds: int = 300, leaves: int = 63, le
     if not top[0]:
         return model
     tasks = max(1, top[2] // CELLS)
-    table, done = coded(whole.coalesce(tasks), how, model.base).persist(), 0
+    table, olds = coded(whole.coalesce(tasks), how, model.base).persist(), []
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         bag = np.sort(rng.permutation(SLICES)[: max(1, round(share * SLICES))]).tolist()
-        recent = Boosted(how, 0.0, rate, model.trees[done:])
-        of = lambda nodes, wanted, bag=bag, recent=recent, table=table: histograms(table, bag, recent, nodes, wanted, how.sizes, tasks == 1)
+        of = lambda nodes, wanted, bag=bag, table=table: histograms(table, bag, nodes, wanted, how.sizes, tasks == 1)
         model.trees.append(grow(of, how.sizes, leaves, least))
-        if len(model.trees) - done == BLOCK:
-            old, table = table, settled(advanced(table, model, done)).coalesce(tasks).persist()
-            done = len(model.trees)
+        for old in olds:  # the present cells are there by now
             old.unpersist()
-    table.unpersist()
+        olds = [table]
+        table = advanced(table, model)
+        if len(model.trees) % BLOCK == 0:
+            table = settled(table).coalesce(tasks)
+        table = table.persist()
+    for old in (*olds, table):
+        old.unpersist()
     return model
 
 
