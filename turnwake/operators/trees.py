@@ -6,7 +6,7 @@ bin): of every leaf that may be split next, only the smaller child is summed, it
 that. The leaf whose split gains most is split first, until there are ``leaves``; children are summed ahead
 for all leaves that wait, so a tree takes about as many jobs as it is deep, not as many as it has leaves,
 and is the same as if each split had been asked for by itself. Only histograms and trees come to the driver,
-some 100 KB a step, whatever the number of turns.
+some 100 KB a step, whatever the number of turns. Cells that fill one task are worked on there without a job a step.
 
 Numbers are binned by whole values, those of more than BINS values with about equally many rows to a bin; categories are put in order of
 their mean gradient in each leaf, which makes the best subset a split of that order. A null is in the last
@@ -16,6 +16,7 @@ bin of its feature; a category that was not seen goes to the right.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -184,31 +185,43 @@ def advanced(table: DataFrame, model: Boosted) -> DataFrame:
 # ---------------------------------------------------------------- growing
 
 
-def histograms(table: DataFrame, bag: list[int], nodes: list[Node], wanted: list[int], sizes: list[int], single: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """node: (counts, gradient sums) over the bins of all features laid end to end, of ``wanted`` nodes."""
+def summed(codes: list[np.ndarray], count: np.ndarray, gradient: np.ndarray, nodes: list[Node], wanted: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, gradient sums), each (wanted nodes, bins of all features laid end to end)."""
     start = np.concatenate([[0], np.cumsum(sizes)])
     slot = np.full(len(nodes), -1)
     slot[wanted] = np.arange(len(wanted))
-    drawn = np.isin(np.arange(SLICES), bag)
+    at = place(nodes, codes, wanted)
+    own = np.flatnonzero(at >= 0)
+    first, shape = slot[at[own]] * start[-1], len(wanted) * start[-1]
+    n, g = np.zeros(shape), np.zeros(shape)
+    for k, c in enumerate(codes):
+        key = first + start[k] + c[own]
+        n += np.bincount(key, count[own], shape)
+        g += np.bincount(key, gradient[own], shape)
+    return n.reshape(len(wanted), -1), g.reshape(len(wanted), -1)
+
+
+def _cells_of(b: pa.RecordBatch | pa.Table, drawn: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, counts, sums and predictions of the cells of the drawn slices."""
+    own = np.flatnonzero(drawn[b.column(0).to_numpy()])
+    return [c[own] for c in _codes(b)], *(b.column(k).to_numpy()[own] for k in (5, 6, 7))
+
+
+def histograms(table: DataFrame, bag: list[int], nodes: list[Node], wanted: list[int], sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """node: (counts, gradient sums) of ``wanted`` nodes, summed by each task and then by key."""
+    shape, drawn = (len(wanted), sum(sizes)), np.isin(np.arange(SLICES), bag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, g = np.zeros(len(wanted) * start[-1]), np.zeros(len(wanted) * start[-1])
+        n, g = np.zeros(shape), np.zeros(shape)
         for b in batches:
-            own = np.flatnonzero(drawn[b.column(0).to_numpy()])
-            codes = [c[own] for c in _codes(b)]
-            at = place(nodes, codes, wanted)
-            own, codes, at = own[at >= 0], [c[at >= 0] for c in codes], slot[at[at >= 0]]
-            count, sy, f = (b.column(k).to_numpy()[own] for k in (5, 6, 7))
-            for k, c in enumerate(codes):
-                key = at * start[-1] + start[k] + c
-                n += np.bincount(key, count, len(n))
-                g += np.bincount(key, count * f - sy, len(g))
+            codes, count, sy, f = _cells_of(b, drawn)
+            more = summed(codes, count, count * f - sy, nodes, wanted, sizes)
+            n, g = n + more[0], g + more[1]
         keys = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[keys]), pa.array(g[keys])], ["key", "n", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.flat[keys]), pa.array(g.flat[keys])], ["key", "n", "g"])
 
-    out = table.mapInArrow(run, "key bigint, n double, g double")
-    got = (out if single else out.groupBy("key").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))).toArrow()
-    n, g = np.zeros((len(wanted), start[-1])), np.zeros((len(wanted), start[-1]))
+    got = table.mapInArrow(run, "key bigint, n double, g double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
+    n, g = np.zeros(shape), np.zeros(shape)
     n.flat[got.column("key").to_numpy()], g.flat[got.column("key").to_numpy()] = got.column("n").to_numpy(), got.column("g").to_numpy()
     return {w: (n[k], g[k]) for k, w in enumerate(wanted)}
 
@@ -320,13 +333,15 @@ def fit(train: DataFrame, seed: int = 0, rounds: int = 300, leaves: int = 63, le
     model = Boosted(how, float(top[1] / top[0]) if top[0] else 0.0, rate)
     if not top[0]:
         return model
-    tasks = max(1, top[2] // CELLS)
-    table, olds = coded(whole.coalesce(tasks), how, model.base).persist(), []
     rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        bag = np.sort(rng.permutation(SLICES)[: max(1, round(share * SLICES))]).tolist()
-        of = lambda nodes, wanted, bag=bag, table=table: histograms(table, bag, nodes, wanted, how.sizes, tasks == 1)
-        model.trees.append(grow(of, how.sizes, leaves, least))
+    bags = [np.sort(rng.permutation(SLICES)[: max(1, round(share * SLICES))]).tolist() for _ in range(rounds)]
+    tasks, how_to = -(-top[2] // CELLS), (how.sizes, leaves, least)
+    if tasks == 1:
+        model.trees = _in_one_task(coded(whole.coalesce(1), how, model.base), bags, rate, *how_to)
+        return model
+    table, olds = coded(whole.coalesce(tasks), how, model.base).persist(), []
+    for bag in bags:
+        model.trees.append(grow(lambda nodes, wanted, bag=bag, table=table: histograms(table, bag, nodes, wanted, how.sizes), *how_to))
         for old in olds:  # the present cells are there by now
             old.unpersist()
         olds = [table]
@@ -339,6 +354,24 @@ def fit(train: DataFrame, seed: int = 0, rounds: int = 300, leaves: int = 63, le
     return model
 
 
+def _in_one_task(table: DataFrame, bags: list[list[int]], rate: float, sizes: list[int], leaves: int, least: int) -> list[list[Node]]:
+    """The trees on cells that fill one task, CELLS at most: the same steps without a job for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        every, count, sy, f = _cells_of(t, np.ones(SLICES, bool))
+        part = t.column(0).to_numpy()
+        for bag in bags:
+            own = np.flatnonzero(np.isin(part, bag))
+            codes, n, g = [c[own] for c in every], count[own], (count * f - sy)[own]
+            of = lambda nodes, wanted, codes=codes, n=n, g=g: {w: x for w, *x in zip(wanted, *summed(codes, n, g, nodes, wanted, sizes), strict=True)}
+            tree = grow(of, sizes, leaves, least)
+            f = f + rate * np.array([x.value for x in tree])[place(tree, every)]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tree)])], ["tree"])
+
+    return [pickle.loads(r["tree"]) for r in table.mapInArrow(run, "tree binary").collect()]
+
+
 def root_gains(train: DataFrame) -> DataFrame:
     """(feature, upto, n_low, gain): what every first split of the first tree on all rows gains, one value or category a bin.
 
