@@ -85,3 +85,18 @@ def test_expectations(spark, built):
 def test_written_tables_are_read_back(spark, built, tmp_path):
     W.write(built, str(tmp_path))
     assert W.read_table(spark, str(tmp_path), "fct_turns").count() == 2
+
+
+def test_rows_are_counted_while_tables_are_written(spark, tmp_path):
+    """The same report as one that looks again, without reading what single rows break."""
+    rows = [flight(1, "2026-07-01", "XX", "T", "ATL", "QQQ", "0600", "0710", 130.0), flight(2, "2026-07-01", "WN", "T", "ATL", "ORD", "0600", "0710", 500.0), flight(3, "2026-07-01", "WN", "U", "DAL", "HOU", "0700", "0800", 60.0), flight(4, "2026-07-01", "WN", "U", "HOU", "DAL", "0830", "0930", 60.0)]
+    done = W.write(W.build(raw(spark, rows), airports(spark)), str(tmp_path))
+    of_rows = {e.name for e in quality.EXPECTATIONS if e.table}
+    assert set(done.counted) == of_rows and done.counted["accepted_stg_flights_carrier"] == 1
+    short = quality.report(done.tables, counted=done.counted)
+    key = lambda r: r["expectation"]
+    assert sorted(short.collect(), key=key) == sorted(quality.report(done.tables).collect(), key=key)
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "block_time_residual_min" not in scans(short) and "block_time_residual_min" in scans(quality.report(done.tables))
+    with pytest.raises(ValueError, match="not met"):
+        quality.check(spark, done.tables, done.counted)

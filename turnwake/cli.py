@@ -60,7 +60,8 @@ def main(argv: list[str] | None = None) -> None:
         return
     built = warehouse.build(raw, airports.load(spark, a.airports))
     if a.step == "build":
-        for name in quality.check(spark, warehouse.write(built, a.tables).tables):
+        done = warehouse.write(built, a.tables)
+        for name in quality.check(spark, done.tables, done.counted):
             print(f"warning: {name}")
     elif a.step == "lineage":
         for name, df in built.tables.items():

@@ -118,7 +118,7 @@ def add_months(spark: SparkSession, raw: DataFrame, folder: str, max_turn_min: i
     W.store(wide, folder, "int_chains")
     for name, df in W.of_chains(wide).items():
         W.store(df, folder, name)
-    W.store_marts(W.read_table(spark, folder, "stg_flights"), new, folder)
+    W.store_marts(W.read_table(spark, folder, "stg_flights"), new, lambda df, name: W.store(df, folder, name))
     keep_state(legs, aircraft, span[1], max_turn_min, folder)
     return _stored(spark, folder, new.columns, airports, max_turn_min)
 

@@ -7,6 +7,7 @@ downstream is a projection of that wide leg table, so nothing is joined back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -211,6 +212,7 @@ class Warehouse:
     stg_flights: DataFrame
     wide: DataFrame
     max_turn_min: int = MAX_TURN_MIN
+    counted: dict[str, int] | None = None  # rows that break expectations, if the tables were counted as they were written
 
     @property
     def tables(self) -> dict[str, DataFrame]:
@@ -267,23 +269,25 @@ def write(warehouse: Warehouse, folder: str) -> Warehouse:
     Staging and chains are written first and read by what follows: each shuffle runs once. What another month
     needs to go on from here is kept beside them (``incremental``). ``folder`` is new, or has the same months.
     """
-    from . import incremental
+    from . import incremental, quality
 
-    staging = store(warehouse.stg_flights, folder, "stg_flights").select(*warehouse.stg_flights.columns)
+    counts = quality.Counts()
+    put = lambda df, name: store(counts.watched(name, df), folder, name)
+    staging = put(warehouse.stg_flights, "stg_flights").select(*warehouse.stg_flights.columns)
     wide = store(sequenced(staging, warehouse.max_turn_min), folder, "int_chains")
-    done = Warehouse(store(warehouse.airports, folder, "airports"), staging, wide, warehouse.max_turn_min)
+    airports = put(warehouse.airports, "airports")
     for name, df in of_chains(wide).items():
-        store(df, folder, name)
-    store_marts(staging, staging, folder)
+        put(df, name)
+    store_marts(staging, staging, put)
     incremental.keep_state(wide, None, incremental.last_month(staging), warehouse.max_turn_min, folder)
-    return done
+    return Warehouse(airports, staging, wide, warehouse.max_turn_min, counts.broken())
 
 
-def store_marts(staging: DataFrame, months: DataFrame, folder: str) -> None:
+def store_marts(staging: DataFrame, months: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> None:
     """The marts: those by month of ``months``, the others of all of ``staging``."""
-    store(carrier_month(months), folder, "agg_carrier_month")
-    store(airport_hour(staging), folder, "agg_airport_hour")
-    store(delay_causes(staging), folder, "agg_delay_causes")
+    put(carrier_month(months), "agg_carrier_month")
+    put(airport_hour(staging), "agg_airport_hour")
+    put(delay_causes(staging), "agg_delay_causes")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
