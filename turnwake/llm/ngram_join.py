@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOW, WHITE, byte_table, cut, cut_small, row_of, sealed, shingles, utf8_buffer, word_hashes
+from .common import LOW, WHITE, byte_table, cut, cut_small, give_back, lean, row_of, sealed, shingles, utf8_buffer, word_hashes
 from .components import components
 
 _TABLE = byte_table(WHITE)
@@ -97,7 +97,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("key"))
-    return rows.mapInArrow(run, "block bigint, ids array<bigint>, keys array<bigint>, sizes array<int>, texts binary")
+    return rows.mapInArrow(lean(run), "block bigint, ids array<bigint>, keys array<bigint>, sizes array<int>, texts binary")
 
 
 def block_sets(sizes: np.ndarray, texts: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +140,11 @@ def frequencies(parts: DataFrame, k: int, bits: int, range_bits: int) -> DataFra
         classes[order] = np.repeat(frequency_class(total), np.diff([*first, len(numbers)]))
         cuts = np.concatenate([[0], np.cumsum(n)])
         answer = [pa.compress(classes[lo:hi].tobytes(), "zstd", asbytes=True) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        del numbers, counts, order, first, total, classes
+        give_back()
         return pa.table({"block": table.column("block"), "range": table.column("range"), "n": table.column("n"), "classes": pa.array(answer, pa.binary())})
 
-    asked = parts.select("block", "sizes", "texts").mapInArrow(ask, "range int, block bigint, n int, numbers binary, counts binary")
+    asked = parts.select("block", "sizes", "texts").mapInArrow(lean(ask), "range int, block bigint, n int, numbers binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(count, "block bigint, range int, n int, classes binary")
     return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "classes"))).alias("answers"))
 
@@ -155,8 +157,6 @@ NODE = (
 
 def with_prefixes(parts: DataFrame, answers: DataFrame, k: int, bits: int, percent: int) -> DataFrame:
     """A row per document: size and signature of its set and, where the prefix is not its own, prefix and set."""
-    prefix_type = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for j in range(b.num_rows):
@@ -171,24 +171,25 @@ def with_prefixes(parts: DataFrame, answers: DataFrame, k: int, bits: int, perce
                 kept = (place < (n - need(n, percent) + 1)[owner]) & (often[order] > 1)
                 single = np.bincount(owner, weights=often == 1, minlength=len(ids)).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(ids)))]) if len(found) else np.zeros(len(ids) + 1, np.int64)
-                tokens, pos = found[order][kept].view(np.int64), place[kept]
+                shared = pa.StructArray.from_arrays([pa.array(found[order[kept]].view(np.int64)), pa.array(place[kept].astype(np.int32))], ["token", "pos"])
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shared)
+                del order, place, often, owner, kept
                 zero = np.zeros(1, np.uint64)
                 sig1 = np.concatenate([zero, np.cumsum(found, dtype=np.uint64)])
                 sig2 = np.concatenate([zero, np.cumsum((found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64)])
-                prefix, members, deal = [], [], []
+                members, deal = [], []
                 for i in range(len(ids)):
                     lo, hi = ends[i], ends[i + 1]
-                    prefix.append([{"token": t, "pos": p} for t, p in zip(tokens[lo:hi].tolist(), pos[lo:hi].tolist(), strict=True)])
                     own = found[bounds[i] : bounds[i + 1]]
                     members.append(own.tobytes() if hi > lo else None)
                     deal.append(np.minimum(255, np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)).astype(np.uint8).tobytes() if hi > lo else None)
                 uid = pa.array(np.arange(len(ids)) + (block << 16))
-                cols = [uid, pa.array(ids, pa.int64()), pa.array(b.column(5)[j].as_py(), pa.int64()), pa.array(n), pa.array((sig1[bounds[1:]] - sig1[bounds[:-1]]).view(np.int64)), pa.array((sig2[bounds[1:]] - sig2[bounds[:-1]]).view(np.int64)), pa.array(single.astype(np.int32)), pa.array(prefix, prefix_type), pa.array(members, pa.binary()), pa.array(deal, pa.binary())]
+                cols = [uid, pa.array(ids, pa.int64()), pa.array(b.column(5)[j].as_py(), pa.int64()), pa.array(n), pa.array((sig1[bounds[1:]] - sig1[bounds[:-1]]).view(np.int64)), pa.array((sig2[bounds[1:]] - sig2[bounds[:-1]]).view(np.int64)), pa.array(single.astype(np.int32)), prefix, pa.array(members, pa.binary()), pa.array(deal, pa.binary())]
                 out = pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in ("uid", "doc_id", "row_key", "n_shingles", "sig1", "sig2", "rare", "prefix", "members", "parts")])
                 for lo in range(0, out.num_rows, 2000):
                     yield out.slice(lo, 2000)
 
-    return parts.join(answers, "block", "left").select("block", "ids", "sizes", "texts", "answers", "keys").mapInArrow(run, NODE)
+    return parts.join(answers, "block", "left").select("block", "ids", "sizes", "texts", "answers", "keys").mapInArrow(lean(run), NODE)
 
 
 # ---------------------------------------------------------------- pairs
@@ -210,7 +211,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
 
     sized = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +240,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     dealt = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.select("a", "b", "members").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("a", "b", "members").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def clustered(live: DataFrame) -> DataFrame:
