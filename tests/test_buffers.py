@@ -82,6 +82,29 @@ def test_scores(spark, toy):
     assert [r["score"] for r in B.marginal_score(toy, known, TAU, BETA, 15.0).orderBy("origin").collect()] == [2, 1]
 
 
+def test_one_sweep_replies_as_a_replay_for_each_cell(spark):
+    """Chains that meet a cell more than once, hold delay, lose it and gain it again."""
+    legs = random_legs(spark, n_chains=40, seed=3)
+    known, tau, beta, b_max = B.cells(legs), 38.0, 0.85, 20.0
+    got = {(r["origin"], r["dep_hour_local"]): r["score"] for r in B.marginal_score(legs, known, tau, beta, b_max).collect()}
+    runs: dict = {}
+    for r in C.decomposed(legs, tau, beta).orderBy("chain_id", "run", "leg_seq").collect():
+        runs.setdefault((r["chain_id"], r["run"]), []).append(r)
+    n_days = legs.select("day").distinct().count()
+    want = {}
+    for k in known.collect():
+        at, saved = (k["origin"], k["dep_hour_local"]), 0.0
+        for own in runs.values():
+            a = 0.0
+            for r in own:
+                b = b_max if (r["origin"], r["dep_hour_local"]) == at else 0.0
+                a = r["p"] + r["e"] + (0.0 if r["start"] else beta * max(0.0, a - r["s"] - b + tau))
+                saved += max(0.0, r["arr_delay"]) - max(0.0, a)
+        if k["nbar"] > 0:
+            want[at] = saved / n_days / (b_max * k["nbar"])
+    assert got == pytest.approx(want, abs=1e-9) and max(want.values()) > 0
+
+
 def test_program_on_the_toy(spark, toy):
     p = lp.Program(toy, B.cells(toy), TAU, BETA, 15.0)
     b, value, _ = p.solve(20)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chains import CELL, decomposed, folded, runs
+from .chains import CELL, decomposed, runs
 
 
 def cells(legs: DataFrame) -> DataFrame:
@@ -31,23 +31,48 @@ def propagated_score(legs: DataFrame, tau: float, beta: float) -> DataFrame:
 def marginal_score(legs: DataFrame, known: DataFrame, tau: float, beta: float, b_max: float) -> DataFrame:
     """(origin, dep_hour_local, score): delay avoided per buffer minute if one cell alone gets ``b_max``.
 
-    Every run is replayed once for each cell it touches, and for no other.
+    A buffer takes minutes off the delay that its turn hands on, at most what is handed on, z. What is taken off one
+    leg's arrival is again taken off the next leg's z, and so on: d -> beta * min(z, d + own buffer). So one
+    sweep down a run replies for all its cells: it holds those whose buffer still takes something off, and drops
+    all of them at a turn that hands nothing on. The work grows with the legs and the late stretches, not with
+    legs times cells.
     """
     t = decomposed(legs, tau, beta)
     days = legs.agg(F.countDistinct("day").alias("days"))
-    cell = F.struct(*CELL).alias("cell")
-    one = F.struct("leg_seq", "s", "p", "e", "arr_delay", cell)
+    one = F.struct("leg_seq", "start", "z", F.col("arr_delay").alias("late"), F.struct(*CELL).alias("cell"))
     chained = t.groupBy("chain_id", "run").agg(F.sort_array(F.collect_list(one)).alias("legs"))
-    touched = F.array_distinct(F.transform(F.filter("legs", lambda x: x["s"].isNotNull()), lambda x: x["cell"]))
-    each = chained.select("legs", F.explode(touched).alias("cell"))
-    padded = F.transform("legs", lambda x: x.withField("b", F.when(x["cell"] == F.col("cell"), F.lit(float(b_max))).otherwise(F.lit(0.0))))
-    late = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0)))
-    gain = late(F.transform("legs", lambda x: x["arr_delay"])) - late(folded(padded, tau, beta))
-    total = each.select("cell", gain.alias("gain")).groupBy("cell").agg(F.sum("gain").alias("gain")).select("cell.*", "gain", F.lit(1).alias("k"))
+    kept = f"array<struct<cell:{_type_of(t)},off:double,gain:double>>"
+    start = F.struct(F.array().cast(kept).alias("held"), F.array().cast(kept).alias("ended"))
+
+    def step(acc: Column, leg: Column) -> Column:
+        new = F.struct(leg["cell"].alias("cell"), F.lit(0.0).alias("off"), F.lit(0.0).alias("gain"))
+        all_ = F.when(F.exists(acc["held"], lambda h: h["cell"] == leg["cell"]), acc["held"]).otherwise(F.array_append(acc["held"], new))
+
+        def passed(h: Column) -> Column:
+            own = F.when(h["cell"] == leg["cell"], F.lit(float(b_max))).otherwise(F.lit(0.0))
+            off = F.lit(float(beta)) * F.least(leg["z"], h["off"] + own)
+            saved = F.greatest(leg["late"], F.lit(0.0)) - F.greatest(leg["late"] - off, F.lit(0.0))
+            return F.struct(h["cell"].alias("cell"), off.alias("off"), (h["gain"] + saved).alias("gain"))
+
+        late = leg["z"] > 0
+        return F.struct(
+            F.when(late, F.transform(all_, passed)).otherwise(F.array().cast(kept)).alias("held"),
+            F.when(late | (F.size(acc["held"]) == 0), acc["ended"]).otherwise(F.concat(acc["ended"], acc["held"])).alias("ended"),
+        )
+
+    swept = chained.select("legs", F.aggregate("legs", start, step).alias("acc"))
+    # Cells whose turns never hand anything on are there with 0.
+    turns = F.transform(F.filter("legs", lambda x: ~x["start"]), lambda x: F.struct(x["cell"].alias("cell"), F.lit(0.0).alias("off"), F.lit(0.0).alias("gain")))
+    each = swept.select(F.explode(F.concat(turns, F.col("acc.ended"), F.col("acc.held"))).alias("x"))
+    total = each.groupBy("x.cell").agg(F.sum("x.gain").alias("gain")).select("cell.*", "gain", F.lit(1).alias("k"))
     scored = total.join(days.withColumn("k", F.lit(1)), "k").join(known, list(CELL))
     return scored.select(*CELL, (F.col("gain") / F.col("days") / (F.lit(float(b_max)) * F.col("nbar"))).alias("score"))
 
 
+def _type_of(legs: DataFrame) -> str:
+    return legs.select(F.struct(*CELL).alias("cell")).schema["cell"].dataType.simpleString()
+
+
 def uniform(known: DataFrame, budget: float, b_max: float) -> DataFrame:
     """The same minutes on every turn of cells that have turns."""
     all_ = known.agg(F.sum("nbar").alias("all")).withColumn("k", F.lit(1))
