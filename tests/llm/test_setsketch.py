@@ -91,6 +91,26 @@ def test_hot_groups_that_fall_into_many_components(spark, monkeypatch, hot, deal
     assert got(setsketch.linked_documents(spark.createDataFrame(rows, SCHEMA))) == jaccard_components(rows, 2, 80)
 
 
+def test_similar_nodes_that_share_one_token_of_very_many(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "HOT", 2)
+    monkeypatch.setattr(setsketch, "DEALT", 10)
+    rng, xs = random.Random(5), []
+    frame = {rng.getrandbits(60) for _ in range(30)}
+    for _ in range(20):
+        common = frame | {rng.getrandbits(60) for _ in range(30)}
+        xs += [common | {rng.getrandbits(60) for _ in range(3)} for _ in range(2)]
+    found, bounds = sets(*xs)
+    nodes = []
+    for i, registers in enumerate(setsketch.sketch(found, bounds)):
+        own = found[bounds[i] : bounds[i + 1]]
+        parts = np.bincount((own >> np.uint64(56)).astype(int), minlength=256).astype(np.uint8)
+        nodes.append((i, len(own), registers.tobytes(), own.tobytes(), parts.tobytes()))
+    nodes = spark.createDataFrame(nodes, "uid bigint, n_shingles bigint, registers binary, members binary, parts binary")
+    rows = spark.createDataFrame([(1, i) for i in range(40)], "token bigint, uid bigint")
+    got = setsketch.node_components(rows, nodes, 80).collect()
+    assert {(r["node"], r["comp"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(20)}
+
+
 def test_rows_repeated_whole_null_ids_and_clashing_names(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (9, None), (None, "z z z")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", comp int, token string")

@@ -10,16 +10,16 @@ each place, and two registers are equal with about the sets' Jaccard similarity.
 2. Nodes meet on tokens that two nodes have. All tokens first pair their holders with one pivot, the same one
    for most tokens of a group, and links found are contracted to components; then only pairs between
    different components are looked at: by a join on tokens with few holders, and block against block, inside
-   tasks, on those with more, where a node brings 256 bytes that bound the overlap. A token of very many is
-   dealt again before, by a second and third token that its holders share.
+   tasks, on those with more, where a node brings 256 bytes that bound the overlap. Holders of a token that very
+   many have meet instead on the rare end of their sets, where every two similar sets share a shingle.
 3. For a pair the similarity J is estimated jointly from sizes and registers by maximum likelihood:
    D+ registers larger in the first, D- in the second, D0 equal, with probabilities p(u - vJ), p(v - uJ) and
    the rest, p(x) = -log_B(1 - x (B - 1) / B), u and v the sizes' shares. A pair goes on unless the likelihood
    of the required similarity is below exp(-SURE) of the best.
 4. What goes on is verified on the full sets, once.
 
-A pair of the required 80 % shares a token with odds of all but 3e-6, two with all but 5e-5, three with all but
-4e-4, and more similar pairs miss far less; the estimate passes over one such pair in a million. Nothing else is ever left out.
+A pair of the required 80 % shares a token with odds of all but 3e-6, and more similar pairs miss far less; the
+estimate passes over one such pair in a million. Nothing else is ever left out, however many hold a token.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer words than a shingle
 is one shingle; null text, or one without words, has an empty set and is linked with nothing; a
@@ -35,7 +35,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOW, WHITE, bit_array, bounded, byte_table, cut, cut_small, in_bits, mix64, shingles, utf8_buffer, word_hashes
@@ -48,7 +48,7 @@ ROWS, BANDS = 6, 42
 A, B, Q = 20.0, 1.001, (1 << 16) - 2
 SURE = 14.0
 HOT = 16  # tokens with more holders are settled block against block
-DEALT = 4096  # tokens with more holders are dealt again by a second and third token first
+DEALT = 4096  # holders of tokens with more meet on the rare ends of their sets instead
 POINTS = 250_000  # held at once
 SLICE = 1 << 20  # bytes of texts, or one longer text
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -248,6 +248,30 @@ def met(rows: DataFrame) -> DataFrame:
     return x.join(y, "token").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def rare_ends(large: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, uid): shingles of the nodes in ``large`` on which every two that are similar meet.
+
+    Shingles stand by how many of these nodes have them, then by hash. Of two similar sets, the first
+    n - needed + 1 shingles of each have one in common, so no pair is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in bounded(whole, 2, SLICE)):
+            n = b.column(1).to_numpy()
+            found = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            cols = [pa.array(found), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n))]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "uid", "n"])
+
+    held = large.select("uid").distinct().join(nodes.select("uid", "n_shingles", "members"), "uid")
+    own = held.select("uid", "n_shingles", "members").mapInArrow(run, "token bigint, uid bigint, n bigint")
+    often = cut_small(own.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1"))
+    by = Window.partitionBy("uid")
+    # Shingles of one holder alone come first.
+    place = F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("often", "token")) - 1
+    placed = own.join(often, "token").select("token", "uid", "n", place.alias("place"))
+    return placed.filter(f"place <= n - ({percent} * n + 99) div 100").select("token", "uid")
+
+
 def node_components(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     """(node, comp) over nodes (uid, n_shingles, registers, members, parts) with ``rows`` (token, uid).
 
@@ -280,17 +304,14 @@ def node_components(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     pivot = live.groupBy("token").agg(F.min_by(F.struct("uid", "comp"), F.struct(F.xxhash64("uid"), F.col("uid"))).alias("p"))
     near = live.select("token", "uid", "comp").join(cut_small(pivot.select("token", F.col("p.uid").alias("x"), F.col("p.comp").alias("cx"))), "token").filter("cx <> comp")
     settle(near.select(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b")).distinct())
+    live = open_rows()
+    large = live.filter(F.col("n") > DEALT)
+    if not large.isEmpty():
+        rows = cut_small(live.filter(F.col("n") <= DEALT).select("token", "uid").unionByName(rare_ends(large, nodes, percent)))
     # Nearest partners first: what they join need not be looked at again, pair by pair.
     for nearest in (True, False):
         live = open_rows()
         hot = live.filter(F.col("n") > HOT)
-        for _ in range(2):  # of many that share one token, few share two or three
-            large = hot.filter(F.col("n") > DEALT)
-            if large.isEmpty():
-                break
-            other = live.select("uid", F.col("token").alias("other"))
-            both = large.join(other, "uid").filter("token <> other").select(F.xxhash64("token", "other").alias("token"), "uid", "comp").distinct()
-            hot = cut_small(hot.filter(F.col("n") <= DEALT).unionByName(parted(both)))
         # A token of few has all its pairs looked at in the first turn.
         pairs = [met(live.filter(F.col("n") <= HOT))] if nearest else []
         if not hot.isEmpty():
