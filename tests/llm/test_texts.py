@@ -83,6 +83,22 @@ def test_windows_are_narrow_whatever_the_line(spark):
     assert got["m"] <= line_dedup.WIDTH and got["n"] > 0
 
 
+def test_cuts_write_few_files_whatever_the_shuffle(spark, monkeypatch):
+    written = []
+    for name, count in (("cut", lambda df: df.rdd.getNumPartitions()), ("cut_small", lambda df: len(df.inputFiles()))):
+        monkeypatch.setattr(line_dedup, name, lambda df, f=getattr(line_dedup, name), count=count: written.append(count(out := f(df))) or out)
+    for key, value in {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        spark.conf.set(key, value)
+    try:
+        rows = [(i, f"a line of text {i % 7}\nanother line of text {i}") for i in range(60)]
+        got = line_dedup.line_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["doc_id"], r["line_no"]): r["edits"] for r in got} == edits_of_lines(rows)
+    assert len(written) >= 5 and max(written) <= 16
+
+
 def test_repeated_rows_keep_one_line(spark):
     df = spark.createDataFrame([(1, "a line of text"), (1, "a line of text"), (None, "a line of texts")], SCHEMA)
     got = sorted((str(r["doc_id"]), r["kept"]) for r in line_dedup.line_duplicates(df).collect())

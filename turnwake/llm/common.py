@@ -50,6 +50,16 @@ def cut_small(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, rows straight from an aggregate, in an eighth of the shuffle's tasks, four for each core at least.
+
+    For a cut: each of its files costs some processes on file systems that set permissions by a command, and
+    such a process counts with the memory of the executor that starts it until it runs that command.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def cut_by(df: DataFrame, column: str) -> DataFrame:
     """``cut`` for rows that are read again by the values of a column: a table in the shared checkpoint folder, a folder a value."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, LOW, bit_of, bit_words, cut, cut_small
+from .common import BITS, LOW, bit_of, bit_words, cut, cut_small, gathered
 
 WINDOWS = 16
 WIDTH = 64  # characters of a window whose deletion neighbourhood is written out
@@ -58,7 +58,7 @@ def _meeting(keys: DataFrame) -> DataFrame:
 
     Cut, so that a join on them shuffles both sides anew and can split a key that many share.
     """
-    return cut_small(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("short").alias("s")).filter("n > 1 AND s > 0").select("key"))
+    return cut_small(gathered(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("short").alias("s")).filter("n > 1 AND s > 0").select("key")))
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -101,12 +101,12 @@ def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame
     long_ = classes.filter(F.col("size") >= min_chars)
     halves = long_.select("h", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(int(i < 2)).alias("short")) for i in range(4)))).alias("x")).select("h", "x.key", "x.short")
     # One hash of a class is enough to find those that go on; both tell classes apart from here.
-    some = cut(halves.join(_meeting(halves), "key").select("h").distinct())
+    some = cut(gathered(halves.join(_meeting(halves), "key").select("h").distinct()))
     places = long_.join(some, "h").select("h", "g", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     candidate = F.bit_get(F.element_at(bit_column(some), (F.shiftright(bit_of("h"), 6) + 1).cast("int")), bit_of("h").bitwiseAND(63).cast("int")) == 1
     # A row repeated whole gives a place twice; one line of it is enough.
     text = lines(docs).filter(F.col("size") >= min_chars).filter(candidate).join(places, ["doc_id", "line_no", "h", "g"])
-    text = cut(text.dropDuplicates(["h", "g"]).select("h", "g", "first", "s", "size"))
+    text = cut(gathered(text.dropDuplicates(["h", "g"]).select("h", "g", "first", "s", "size")))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * WINDOWS - 1)), lambda i: F.struct((F.col("size") - F.floor(i / WINDOWS).cast("int")).alias("n"), (i % WINDOWS).alias("j"))))
     windows = text.select("h", "g", "first", "s", "size", each.alias("x")).select("h", "g", "first", "s", "size", "x.n", "x.j")
     short = F.col("n") == F.col("size")
@@ -129,7 +129,7 @@ def neighbours(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame
     place = F.struct("first", "h", "g")
     least = lambda role: F.min(F.when(F.col("role") == role, place)).alias(f"m{role}")
     met = variants.groupBy("v").agg(*(least(r) for r in (0, 1, 2)), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = cut_small(met)  # as in _meeting
+    met = cut_small(gathered(met))  # as in _meeting
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     near = variants.join(met, "v").select("h", "g", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
     near = near.groupBy("h", "g").agg(F.min("o").alias("o"), F.first("first").alias("first"))
@@ -147,7 +147,7 @@ def line_duplicates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     keys = [_key(F.col("s"), F.col("size"), F.col("size") - int(i > 1), F.lit(i % 2), 2).alias(f"k{i}") for i in range(4)]
     all_ = lines(docs)
     grouped = all_.filter("size > 0").select("h", "g", "size", F.struct("doc_id", "line_no").alias("at"), *keys).groupBy("h", "g")
-    classes = cut(grouped.agg(F.min("at").alias("first"), F.max("size").alias("size"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4))))
+    classes = cut(gathered(grouped.agg(F.min("at").alias("first"), F.max("size").alias("size"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)))))
     near = neighbours(docs, classes, min_chars).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h", "g", "near")
     # Lines of rows repeated whole share a place; they are counted before the joins and one stays.
     own = all_.groupBy("doc_id", "line_no", "h", "g").agg(F.count("*").alias("times"), F.first("size").alias("size"))
