@@ -80,6 +80,41 @@ def test_same_trees_from_one_and_many_tasks(spark, monkeypatch):
     assert np.allclose([n.value for t in one.trees for n in t], [n.value for t in many.trees for n in t])
 
 
+def test_cells_of_many_tasks_take_few_jobs_a_tree(spark, monkeypatch):
+    """Only the top of a tree is a job a step; what is below is the same as in one task, also where growth would not go."""
+    df, group = spark.createDataFrame(table(4000, 8), SCHEMA), "trees of many tasks"
+    one = trees.fit(df, rounds=6, leaves=63, least=10)
+    monkeypatch.setattr(trees, "CELLS", 400)
+    monkeypatch.setattr(trees, "BLOCK", 4)
+    spark.sparkContext.setJobGroup(group, group)
+    many = trees.fit(df, rounds=6, leaves=63, least=10)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [[(n.feature, n.at, n.left, n.low, n.high) for n in t] for t in one.trees] == [[(n.feature, n.at, n.left, n.low, n.high) for n in t] for t in many.trees]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 10 * len(many.trees)
+
+
+def test_place_follows_the_splits_of_more_nodes_than_a_word_has_bits():
+    rng = np.random.default_rng(9)
+    nodes, codes = [trees.Node()], [rng.integers(0, size, 3000) for size in (200, 90, 24, 9)]
+    for at in range(150):
+        k = int(rng.integers(0, 4))
+        left = frozenset(rng.choice(9, 4, replace=False).tolist()) if k == 3 else frozenset()
+        nodes[at] = trees.Node(k, int(rng.integers(0, (200, 90, 24, 9)[k])), left, len(nodes), len(nodes) + 1)
+        nodes += [trees.Node(), trees.Node()]
+
+    def walk(row: int) -> int:
+        at = 0
+        while (n := nodes[at]).feature >= 0:
+            c = codes[n.feature][row]
+            at = n.low if (c in n.left if n.left else c <= n.at) else n.high
+        return at
+
+    ends = [walk(r) for r in range(3000)]
+    assert trees.place(nodes, codes).tolist() == ends
+    wanted = sorted(set(ends))[::2]
+    assert trees.place(nodes, codes, wanted).tolist() == [e if e in wanted else -1 for e in ends]
+
+
 def test_asking_ahead_does_not_change_the_tree():
     """A tree takes fewer requests than splits, each for the smaller children only."""
     rows = table(1500, 3)

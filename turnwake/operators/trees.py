@@ -4,9 +4,13 @@ Turns are first summed into cells of equal features and slice (sixteen slices by
 round draws). Trees are grown on the cells. A step of a tree is one aggregate of gradients by (leaf, feature,
 bin): of every leaf that may be split next, only the smaller child is summed, its sibling is the parent less
 that. The leaf whose split gains most is split first, until there are ``leaves``; children are summed ahead
-for all leaves that wait, so a tree takes about as many jobs as it is deep, not as many as it has leaves,
+for all leaves that wait, so a tree takes about as many steps as it is deep, not as many as it has leaves,
 and is the same as if each split had been asked for by itself. Only histograms and trees come to the driver,
-some 100 KB a step, whatever the number of turns. Cells that fill one task are worked on there without a job a step.
+some 10 KB a node and task, whatever the number of turns.
+
+A step is a job only at the top of a tree. The cells of a leaf that fill one task go there, one shuffle for all
+leaves of a tree, and what is below is grown there, to ``leaves`` leaves; the tree keeps of it what best-first growth
+takes, as the splits below a leaf do not depend on others. If all cells fill one task there is no job a tree either.
 
 Numbers are binned by whole values, those of more than BINS values with about equally many rows to a bin; categories are put in order of
 their mean gradient in each leaf, which makes the best subset a split of that order. A null is in the last
@@ -17,12 +21,13 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +37,8 @@ NUMBERS, CATEGORY = ("i", "s", "hour"), "carrier"
 FEATURES = (*NUMBERS, CATEGORY)
 SLICES, BINS = 16, 255
 CELLS = 200_000  # in a task
-BLOCK = 10  # trees after which the cells' predictions are written; between, they are kept in memory
+GROWN = 2.5  # times as many at most are grown on in a task: a job more costs as much as half a million rows
+BLOCK = 30  # trees after which predictions are computed anew from all trees, so that they do not hang on a long row of steps
 
 
 @dataclass
@@ -45,36 +51,40 @@ class Node:
     low: int = -1
     high: int = -1
     value: float = 0.0
+    loss: float = 0.0  # of the split, as there
+
+    def goes_low(self, width: int) -> np.ndarray:
+        """For each code of the split's feature, whether it goes to ``low``."""
+        out = np.zeros(width, bool)
+        out[[c for c in self.left if c < width] if self.left else slice(self.at + 1)] = True
+        return out
 
 
 def place(nodes: list[Node], codes: list[np.ndarray], wanted: list[int] | None = None) -> np.ndarray:
-    """The node in which each row ends; -1 for rows that do not come to a ``wanted`` one."""
-    feature, low, high = (np.array([getattr(n, f) for n in nodes]) for f in ("feature", "low", "high"))
-    goes_low = np.zeros((len(nodes), max(1, *(int(c.max(initial=0)) + 1 for c in codes))), bool)
-    for at, n in enumerate(nodes):
-        if n.left:
-            goes_low[at, [c for c in n.left if c < goes_low.shape[1]]] = True
-        elif n.feature >= 0:
-            goes_low[at, : n.at + 1] = True
-    on_the_way = np.ones(len(nodes), bool)
-    if wanted is not None:
-        on_the_way[:] = False
-        on_the_way[wanted] = True
-        for at in range(len(nodes) - 1, -1, -1):  # children come after their parent
-            if feature[at] >= 0:
-                on_the_way[at] = on_the_way[low[at]] or on_the_way[high[at]]
-    out, rows = np.zeros(len(codes[0]), np.int32), np.arange(len(codes[0]))
-    if not on_the_way[0]:
-        return out - 1
-    each = np.stack(codes)
-    while len(rows):
-        now = out[rows]
-        inner = feature[now] >= 0
-        rows, now = rows[inner], now[inner]
-        after = np.where(goes_low[now, each[feature[now], rows]], low[now], high[now])
-        stays = on_the_way[after]
-        out[rows] = np.where(stays, after, -1)
-        rows = rows[stays]
+    """The node in which each row ends; -1 for rows that do not come to a ``wanted`` one (of those without children).
+
+    A node is a set of codes of each feature. A word has a bit for each of 64 nodes: a code's are those of the nodes that
+    it may be in, and of the words of a row's codes only the bit of its own node is in all.
+    """
+    width = max(1, *(int(c.max(initial=0)) + 1 for c in codes))
+    may = np.ones((len(nodes), len(codes), width), bool)
+    for at, n in enumerate(nodes):  # children come after their parent
+        if n.feature >= 0:
+            goes_low = n.goes_low(width)
+            may[n.low] = may[n.high] = may[at]
+            may[n.low, n.feature] &= goes_low
+            may[n.high, n.feature] &= ~goes_low
+    ends = np.array([at for at, n in enumerate(nodes) if n.feature < 0] if wanted is None else wanted, np.int32)
+    out = np.full(len(codes[0]), -1, np.int32)
+    for first in range(0, len(ends), 64):
+        own = ends[first : first + 64]
+        bits = np.left_shift(np.uint64(1), np.arange(len(own), dtype=np.uint64))
+        words = np.bitwise_or.reduce(np.where(may[own], bits[:, None, None], np.uint64(0)))
+        word = words[0][codes[0]]
+        for k in range(1, len(codes)):
+            word &= words[k][codes[k]]
+        rows = np.flatnonzero(word)
+        out[rows] = own[np.frexp(word[rows].astype(float))[1] - 1]
     return out
 
 
@@ -166,64 +176,67 @@ def coded(all_cells: DataFrame, how: Coding, base: float) -> DataFrame:
     return all_cells.select("slice", *(F.col(f).cast("double").alias(f) for f in NUMBERS), CATEGORY, "n", "sy").mapInArrow(run, CODED)
 
 
-def _codes(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [b.column(k).to_numpy() for k in range(1, 1 + len(FEATURES))]
+@dataclass
+class Cells:
+    """The cells of a task."""
 
+    part: np.ndarray  # the slice
+    codes: np.ndarray  # a row a feature
+    n: np.ndarray
+    sy: np.ndarray
+    f: np.ndarray  # the prediction
 
-def advanced(table: DataFrame, model: Boosted) -> DataFrame:
-    """The cells with the predictions of the last tree added."""
-    last = Boosted(model.coding, 0.0, model.rate, model.trees[-1:])
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch]) -> Cells:
+        read, kinds = list(batches), (np.int32,) * (1 + len(FEATURES)) + (np.int64, float, float)
+        part, *codes, n, sy, f = (np.concatenate([np.zeros(0, kind), *(b.column(k).to_numpy() for b in read)]) for k, kind in enumerate(kinds))
+        narrow = lambda x: x.astype(np.min_scalar_type(x.max(initial=0)))
+        return cls(narrow(part), narrow(np.stack(codes)), narrow(n), sy, f)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = b.column(7).to_numpy() + last.values(_codes(b))
-            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(f)], b.schema.names)
+    def with_trees(self, trees: list[list[Node]], rate: float) -> Cells:
+        f = self.f
+        for t in trees:
+            f = f + rate * np.array([n.value for n in t])[place(t, self.codes)]
+        return Cells(self.part, self.codes, self.n, self.sy, f)
 
-    return table.mapInArrow(run, CODED)
+    def drawn(self, bag: list[int]) -> Rows:
+        own = np.flatnonzero(np.isin(self.part, bag))
+        return Rows(self.codes[:, own], self.n[own], self.n[own] * self.f[own] - self.sy[own])
 
 
-# ---------------------------------------------------------------- growing
+@dataclass
+class Rows:
+    """What trees are grown on: codes, counts and sums of gradients."""
 
+    codes: np.ndarray
+    n: np.ndarray
+    g: np.ndarray
 
-def summed(codes: list[np.ndarray], count: np.ndarray, gradient: np.ndarray, nodes: list[Node], wanted: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, gradient sums), each (wanted nodes, bins of all features laid end to end)."""
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    slot = np.full(len(nodes), -1)
-    slot[wanted] = np.arange(len(wanted))
-    at = place(nodes, codes, wanted)
-    own = np.flatnonzero(at >= 0)
-    first, shape = slot[at[own]] * start[-1], len(wanted) * start[-1]
-    n, g = np.zeros(shape), np.zeros(shape)
-    for k, c in enumerate(codes):
-        key = first + start[k] + c[own]
-        n += np.bincount(key, count[own], shape)
-        g += np.bincount(key, gradient[own], shape)
-    return n.reshape(len(wanted), -1), g.reshape(len(wanted), -1)
+    def only(self, own: np.ndarray) -> Rows:
+        return Rows(self.codes[:, own], self.n[own], self.g[own])
 
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        return cls(np.concatenate([p.codes for p in parts], axis=1), *(np.concatenate([getattr(p, c) for p in parts]) for c in "ng"))
 
-def _cells_of(b: pa.RecordBatch | pa.Table, drawn: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, counts, sums and predictions of the cells of the drawn slices."""
-    own = np.flatnonzero(drawn[b.column(0).to_numpy()])
-    return [c[own] for c in _codes(b)], *(b.column(k).to_numpy()[own] for k in (5, 6, 7))
+    def histogram(self, sizes: list[int], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, gradient sums) of some rows, the bins of all features laid end to end."""
+        codes, each = self.codes[:, own], [self.n[own], self.g[own]]
+        n, g = (np.concatenate([np.bincount(c, x, size) for c, size in zip(codes, sizes, strict=True)]) for x in each)
+        return n, g
 
+    def tree(self, sizes: list[int], leaves: int, least: int) -> list[Node]:
+        """One tree on these rows, in this task; the rows of each node are kept, so that a step passes those that it moves."""
+        own, width = {0: np.arange(len(self.n))}, max(sizes)
 
-def histograms(table: DataFrame, bag: list[int], nodes: list[Node], wanted: list[int], sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """node: (counts, gradient sums) of ``wanted`` nodes, summed by each task and then by key."""
-    shape, drawn = (len(wanted), sum(sizes)), np.isin(np.arange(SLICES), bag)
+        def histograms_of(nodes: list[Node], wanted: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            for at in [k for k in own if nodes[k].feature >= 0]:
+                node, rows = nodes[at], own.pop(at)
+                low = node.goes_low(width)[self.codes[node.feature, rows]]
+                own[node.low], own[node.high] = rows[low], rows[~low]
+            return {w: self.histogram(sizes, own[w]) for w in wanted}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, g = np.zeros(shape), np.zeros(shape)
-        for b in batches:
-            codes, count, sy, f = _cells_of(b, drawn)
-            more = summed(codes, count, count * f - sy, nodes, wanted, sizes)
-            n, g = n + more[0], g + more[1]
-        keys = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.flat[keys]), pa.array(g.flat[keys])], ["key", "n", "g"])
-
-    got = table.mapInArrow(run, "key bigint, n double, g double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
-    n, g = np.zeros(shape), np.zeros(shape)
-    n.flat[got.column("key").to_numpy()], g.flat[got.column("key").to_numpy()] = got.column("n").to_numpy(), got.column("g").to_numpy()
-    return {w: (n[k], g[k]) for k, w in enumerate(wanted)}
+        return grow(histograms_of, sizes, leaves, least)
 
 
 @dataclass(order=True)
@@ -237,90 +250,108 @@ class Split:
     n_low: float = field(compare=False, default=0)
 
 
-def candidates(n: np.ndarray, g: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(feature, codes in order, rows up to each, gains of splitting after each)."""
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    for k in range(len(sizes)):
-        own_n, own_g = n[start[k] : start[k + 1]], g[start[k] : start[k + 1]]
-        order = np.arange(len(own_n))
+def best_split(n: np.ndarray, g: np.ndarray, sizes: list[int], least: int) -> Split | None:
+    """The split of most gain that leaves ``least`` rows on both sides."""
+    best, start, least = None, 0, max(least, 1)
+    for k, size in enumerate(sizes):
+        own_n, own_g, order = n[start : start + size], g[start : start + size], None
+        start += size
+        total_n, total_g = own_n.sum(), own_g.sum()
         if k == FEATURES.index(CATEGORY):
-            order = order[:-1][own_n[:-1] > 0]  # unseen categories are on the right
+            order = np.flatnonzero(own_n[:-1] > 0)  # unseen categories are on the right
             order = order[np.argsort(own_g[order] / own_n[order], kind="stable")]
-        nl, gl = np.cumsum(own_n[order]), np.cumsum(own_g[order])
-        total_n, total_g = own_n.sum(), own_g.sum()
+            own_n, own_g = own_n[order], own_g[order]
+        nl = own_n.cumsum()
+        first, end = np.searchsorted(nl, least), np.searchsorted(nl, total_n - least, "right")
+        if first >= end:
+            continue
+        nl, gl = nl[first:end], own_g.cumsum()[first:end]
         nr, gr = total_n - nl, total_g - gl
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where((nl > 0) & (nr > 0), gl * gl / nl + gr * gr / nr - total_g * total_g / total_n, -np.inf)
-        yield k, order, nl, gain
-
-
-def best_split(n: np.ndarray, g: np.ndarray, sizes: list[int], least: int) -> Split | None:
-    best = None
-    for k, order, nl, gain in candidates(n, g, sizes):
-        total = n[sum(sizes[:k]) : sum(sizes[: k + 1])].sum()
-        fine = np.where((nl >= least) & (total - nl >= least) & (gain > 1e-9), gain, -np.inf)
-        if len(fine) and np.isfinite(top := fine.max()):
-            at = int(np.argmax(fine))
-            left = frozenset(order[: at + 1].tolist()) if k == FEATURES.index(CATEGORY) else frozenset()
-            one = Split(-float(top), k, int(order[at]) if not left else at, left, float(nl[at]))
+        gain = gl * gl / nl + gr * gr / nr - total_g * total_g / total_n
+        top = int(gain.argmax())
+        if gain[top] > 1e-9:
+            at = int(first) + top
+            one = Split(-float(gain[top]), k, at, frozenset() if order is None else frozenset(order[: at + 1].tolist()), float(nl[top]))
             best = one if best is None or one < best else best
     return best
 
 
-def grow(histograms_of, sizes: list[int], leaves: int, least: int) -> list[Node]:
+def grow(histograms_of, sizes: list[int], leaves: int, least: int, rest_of: Callable | None = None, rows_at_most: float = 0) -> list[Node]:
     """One tree; ``histograms_of(nodes, wanted)`` sums the rows of nodes.
 
-    Nodes are split ahead as ``ahead``; the tree keeps only the splits that best-first growth takes.
+    Nodes are split ahead as ``ahead``; the tree keeps only the splits that best-first growth takes. With ``rest_of(nodes, counts)``,
+    which grows the trees below nodes of given counts, steps are taken only for nodes of more than ``rows_at_most`` rows.
     """
     nodes = [Node()]
-    sums = histograms_of(nodes, [0])
-    split: dict[int, Split | None] = {0: best_split(*sums[0], sizes, least)}
-    waiting = [(split[0], 0)] if split[0] else []
-    taken: set[int] = set()
+    sums, split, value = {}, {}, {}
+
+    def known(at: int, n: np.ndarray, g: np.ndarray) -> None:
+        sums[at], split[at] = (n, g), best_split(n, g, sizes, least)
+        n_all, g_all = rows(at), g[: sizes[0]].sum()
+        value[at] = float(-g_all / n_all) if n_all else 0.0
+
+    def rows(at: int) -> float:
+        return sums[at][0][: sizes[0]].sum()
+
+    def open_ends() -> list[int]:
+        return [at for at, n in enumerate(nodes) if n.feature < 0 and split[at]]
 
-    def split_ahead() -> None:
+    def split_ahead(chosen: list[int]) -> None:
         small, pairs = [], []
-        room = leaves - 1 - len(taken)
-        for s, at in heapq.nsmallest(room, waiting):
-            if nodes[at].feature >= 0:
-                continue
-            low, high = len(nodes), len(nodes) + 1
+        for at in chosen:
+            s, low, high = split[at], len(nodes), len(nodes) + 1
             nodes[at] = Node(s.feature, s.at, s.left, low, high)
             nodes.extend((Node(), Node()))
-            less, more = (low, high) if s.n_low <= sums[at][0][: sizes[0]].sum() / 2 else (high, low)
+            less, more = (low, high) if s.n_low <= rows(at) / 2 else (high, low)
             small.append(less)
             pairs.append((at, less, more))
         got = histograms_of(nodes, small)
         for at, less, more in pairs:
             n, g = got[less]
-            sums[less], sums[more] = (n, g), (sums[at][0] - n, sums[at][1] - g)
-            for child in (less, more):
-                split[child] = best_split(*sums[child], sizes, least)
-
+            known(less, n, g)
+            known(more, sums[at][0] - n, sums[at][1] - g)
+
+    def graft(at: int, below: list[Node]) -> None:
+        """The tree that was grown below a node; its leaves stay as they are."""
+        to = [at, *range(len(nodes), len(nodes) + len(below) - 1)]
+        nodes.extend(Node() for _ in below[1:])
+        for x, n in zip(to, below, strict=True):
+            inner = n.feature >= 0
+            nodes[x] = Node(n.feature, n.at, n.left, to[n.low], to[n.high]) if inner else Node()
+            split[x] = Split(n.loss, n.feature, n.at, n.left) if inner else None
+            value[x] = n.value
+
+    known(0, *histograms_of(nodes, [0])[0])
+    if rest_of is not None:
+        while large := [at for at in open_ends() if rows(at) > rows_at_most]:
+            split_ahead(large)
+        if ends := open_ends():
+            for at, below in sorted(rest_of(nodes, {at: rows(at) for at in ends}).items()):
+                graft(at, below)
+    waiting = [(split[0], 0)] if split[0] else []
+    taken: set[int] = set()
     while waiting and len(taken) < leaves - 1:
         if nodes[waiting[0][1]].feature < 0:
-            split_ahead()
+            split_ahead([at for _, at in heapq.nsmallest(leaves - 1 - len(taken), waiting) if nodes[at].feature < 0])
         _, at = heapq.heappop(waiting)
         taken.add(at)
         for child in (nodes[at].low, nodes[at].high):
             if split[child]:
                 heapq.heappush(waiting, (split[child], child))
-    return _kept(nodes, taken, sums, sizes)
+    return _kept(nodes, taken, split, value)
 
 
-def _kept(nodes: list[Node], taken: set[int], sums: dict, sizes: list[int]) -> list[Node]:
+def _kept(nodes: list[Node], taken: set[int], split: dict[int, Split | None], value: dict[int, float]) -> list[Node]:
     """The nodes that best-first growth reached, numbered anew, with their values."""
     out, queue = [Node()], [(0, 0)]
     for at, to in queue:
-        n, g = (x[: sizes[0]].sum() for x in sums[at])
-        value = float(-g / n) if n else 0.0
         if at in taken:
             old, low = nodes[at], len(out)
-            out[to] = Node(old.feature, old.at, old.left, low, low + 1, value)
+            out[to] = Node(old.feature, old.at, old.left, low, low + 1, value[at], split[at].loss)
             out += [Node(), Node()]
             queue += [(old.low, low), (old.high, low + 1)]
         else:
-            out[to] = Node(value=value)
+            out[to] = Node(value=value[at])
     return out
 
 
@@ -335,22 +366,13 @@ def fit(train: DataFrame, seed: int = 0, rounds: int = 300, leaves: int = 63, le
         return model
     rng = np.random.default_rng(seed)
     bags = [np.sort(rng.permutation(SLICES)[: max(1, round(share * SLICES))]).tolist() for _ in range(rounds)]
-    tasks, how_to = -(-top[2] // CELLS), (how.sizes, leaves, least)
-    if tasks == 1:
+    how_to = (how.sizes, leaves, least)
+    if top[2] <= CELLS:
         model.trees = _in_one_task(coded(whole.coalesce(1), how, model.base), bags, rate, *how_to)
         return model
-    table, olds = coded(whole.coalesce(tasks), how, model.base).persist(), []
-    for bag in bags:
-        model.trees.append(grow(lambda nodes, wanted, bag=bag, table=table: histograms(table, bag, nodes, wanted, how.sizes), *how_to))
-        for old in olds:  # the present cells are there by now
-            old.unpersist()
-        olds = [table]
-        table = advanced(table, model)
-        if len(model.trees) % BLOCK == 0:
-            table = settled(table).coalesce(tasks)
-        table = table.persist()
-    for old in (*olds, table):
-        old.unpersist()
+    wide = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, top[2] // CELLS // wide) * wide  # of less than 2 * CELLS each, and no wave of few
+    model.trees = _in_many_tasks(coded(whole, how, model.base).repartition(tasks), bags, rate, GROWN * CELLS * top[0] / top[2], wide, *how_to)
     return model
 
 
@@ -358,20 +380,81 @@ def _in_one_task(table: DataFrame, bags: list[list[int]], rate: float, sizes: li
     """The trees on cells that fill one task, CELLS at most: the same steps without a job for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches).combine_chunks()
-        every, count, sy, f = _cells_of(t, np.ones(SLICES, bool))
-        part = t.column(0).to_numpy()
+        cells_ = Cells.of(batches)
         for bag in bags:
-            own = np.flatnonzero(np.isin(part, bag))
-            codes, n, g = [c[own] for c in every], count[own], (count * f - sy)[own]
-            of = lambda nodes, wanted, codes=codes, n=n, g=g: {w: x for w, *x in zip(wanted, *summed(codes, n, g, nodes, wanted, sizes), strict=True)}
-            tree = grow(of, sizes, leaves, least)
-            f = f + rate * np.array([x.value for x in tree])[place(tree, every)]
+            tree = cells_.drawn(bag).tree(sizes, leaves, least)
+            cells_ = cells_.with_trees([tree], rate)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tree)])], ["tree"])
 
     return [pickle.loads(r["tree"]) for r in table.mapInArrow(run, "tree binary").collect()]
 
 
+def _in_many_tasks(table: DataFrame, bags: list[list[int]], rate: float, rows_at_most: float, wide: int, sizes: list[int], leaves: int, least: int) -> list[list[Node]]:
+    """The trees on cells of many tasks: jobs at the top of each tree, then one in which a task grows what is below a node.
+
+    Predictions are computed from the trees, so that a lost executor costs no more than its cells.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Cells.of(batches))], pa.binary())], ["cells"])
+
+    sc, trees = table.sparkSession.sparkContext, []
+    first = old = now = table.mapInArrow(packed, "cells binary").rdd.map(lambda r: pickle.loads(r["cells"])).persist()
+    for bag in bags:
+        rows = now.map(lambda c, bag=bag: c.drawn(bag)).persist()
+        top = lambda nodes, wanted, rows=rows: _histograms(rows, nodes, wanted, sizes)
+        below = lambda nodes, counts, rows=rows: _below(rows, nodes, counts, max(wide, int(sum(counts.values()) / rows_at_most)), sizes, leaves, least)
+        trees.append(grow(top, sizes, leaves, least, below, rows_at_most))
+        rows.unpersist()
+        if old is not first:  # the present cells are there by now
+            old.unpersist()
+        old = now
+        start, more = (first, trees) if len(trees) % BLOCK == 0 else (now, trees[-1:])
+        now = start.map(lambda c, more=sc.broadcast(more): c.with_trees(more.value, rate)).persist()
+    for kept in (first, old, now):
+        kept.unpersist()
+    return trees
+
+
+def _histograms(drawn: RDD, nodes: list[Node], wanted: list[int], sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """node: (counts, gradient sums) of ``wanted`` nodes over the rows of all tasks, added in the order of tasks."""
+
+    def sums(rows: Rows) -> tuple[np.ndarray, ...]:
+        at = place(nodes, rows.codes, wanted)
+        n, g = map(np.stack, zip(*(rows.histogram(sizes, np.flatnonzero(at == w)) for w in wanted), strict=True))
+        keys = np.flatnonzero(n)
+        return keys, n.flat[keys], g.flat[keys]
+
+    n, g = (np.zeros((len(wanted), sum(sizes))) for _ in "ng")
+    for keys, more_n, more_g in drawn.map(sums).collect():
+        n.flat[keys] += more_n
+        g.flat[keys] += more_g
+    return {w: (n[k], g[k]) for k, w in enumerate(wanted)}
+
+
+def _below(drawn: RDD, nodes: list[Node], counts: dict[int, float], tasks: int, sizes: list[int], leaves: int, least: int) -> dict[int, list[Node]]:
+    """node: the tree below it, for nodes of given counts; the largest go first, each to the task with the fewest rows."""
+    ends, load, to = sorted(counts, key=counts.get, reverse=True), np.zeros(min(tasks, len(counts))), {}
+    for at in ends:
+        to[at] = int(load.argmin())
+        load[to[at]] += counts[at]
+
+    def deal(source: int, each: Iterator[Rows]) -> Iterator[tuple[int, tuple[int, int, Rows]]]:
+        for rows in each:
+            at = place(nodes, rows.codes, ends)
+            for end in ends:
+                yield to[end], (end, source, rows.only(np.flatnonzero(at == end)))
+
+    def grown(dealt: Iterator[tuple[int, tuple[int, int, Rows]]]) -> Iterator[tuple[int, list[Node]]]:
+        parts: dict[int, dict[int, Rows]] = {}
+        for _, (end, source, rows) in dealt:
+            parts.setdefault(end, {})[source] = rows
+        for end, by_source in parts.items():
+            yield end, Rows.joined([by_source[k] for k in sorted(by_source)]).tree(sizes, leaves, least)
+
+    return dict(drawn.mapPartitionsWithIndex(deal).partitionBy(len(load), int).mapPartitions(grown).collect())
+
+
 def root_gains(train: DataFrame) -> DataFrame:
     """(feature, upto, n_low, gain): what every first split of the first tree on all rows gains, one value or category a bin.
 

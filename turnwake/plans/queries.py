@@ -22,7 +22,7 @@ from ..operators import chains as C
 from ..operators import contagion, descriptive, evaluate, hinge, trees
 from ..operators.ids import dense_ids
 from ..operators.lp import Program
-from ..session import prepared
+from ..session import prepared, settled
 from ..sources.adapter import RAW_SQL, ZONES, test_flights
 from ..sources.airports import AIRPORTS, seeded
 from ..sources.sample import whole_tails
@@ -67,12 +67,12 @@ def _events(w: W.Warehouse) -> DataFrame:
     return contagion.events(w.legs, MATCH)
 
 
-def _fit(w: W.Warehouse) -> DataFrame:
-    return hinge.fit(hinge.day_sums(_early(w.turns), "carrier"))
+def _fit(turns: DataFrame) -> DataFrame:
+    return hinge.fit(hinge.day_sums(_early(turns), "carrier"))
 
 
 def _scores(w: W.Warehouse) -> DataFrame:
-    return hinge.score(hinge.features(_early(w.turns)), hinge.features(_late(w.turns)), _fit(w), "carrier")
+    return hinge.score(hinge.features(_early(w.turns)), hinge.features(_late(w.turns)), _fit(w.turns), "carrier")
 
 
 def _legs(w: W.Warehouse) -> DataFrame:
@@ -166,7 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "network_summary": _query(lambda w: descriptive.network(W.carrier_month(w.stg_flights), w.legs, w.turns)),
     "top_hubs": _query(lambda w: descriptive.top_hubs(w.turns, 3)),
     "hinge_stats": _query(lambda w: hinge.day_sums(hinge.in_months(w.turns, list(HINGE_MONTHS)), "carrier")),
-    "hinge_fit": _query(_fit),
+    "hinge_fit": _query(lambda w: _fit(w.turns)),
     "hinge_fit_stations": _query(lambda w: hinge.fit(hinge.day_sums(_early(w.turns), "station"))),
     "hinge_binned": _query(lambda w: hinge.shape(_late(w.turns), least=3)),
     "holdout_scores": _query(_scores),
@@ -220,9 +220,11 @@ def _frame(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _boosted(w: W.Warehouse) -> DataFrame:
-    train, test = hinge.features(_early(w.turns)), hinge.features(_late(w.turns))
+    # Cells, fits, lines and both sides of the test read the turns: they are made once.
+    turns = settled(hinge.usable(w.turns).select("flight_date", "flight_month", "carrier", "station", "dep_hour_local", "inbound_arr_delay", "sched_turn_min", "outbound_dep_delay"))
+    train, test = hinge.features(_early(turns)), hinge.features(_late(turns))
     held = hinge.boosted(train, test)
-    return hinge.score(train, held, _fit(w), "carrier", {"gbm": "p_gbm"})
+    return hinge.score(train, held, _fit(turns), "carrier", {"gbm": "p_gbm"})
 
 
 def _program(w: W.Warehouse) -> Program:
