@@ -36,8 +36,9 @@ from ..session import settled
 NUMBERS, CATEGORY = ("i", "s", "hour"), "carrier"
 FEATURES = (*NUMBERS, CATEGORY)
 SLICES, BINS = 16, 255
-CELLS = 200_000  # in a task
-GROWN = 2.5  # times as many at most are grown on in a task: a job more costs as much as half a million rows
+CELLS = 200_000  # all trees of so many are grown by one task
+KEPT = 5  # of more cells, times as many at most are in a task: waves cost more than rows
+GROWN = 2.5  # times as many at most are grown on by a task: below that a step more costs more than rows
 BLOCK = 30  # trees after which predictions are computed anew from all trees, so that they do not hang on a long row of steps
 
 
@@ -370,8 +371,8 @@ def fit(train: DataFrame, seed: int = 0, rounds: int = 300, leaves: int = 63, le
     if top[2] <= CELLS:
         model.trees = _in_one_task(coded(whole.coalesce(1), how, model.base), bags, rate, *how_to)
         return model
-    wide = train.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, top[2] // CELLS // wide) * wide  # of less than 2 * CELLS each, and no wave of few
+    wide = min(train.sparkSession.sparkContext.defaultParallelism, -(-10 * top[2] // CELLS))  # a tenth of CELLS in a task at least
+    tasks = wide * -(-top[2] // int(wide * KEPT * CELLS))  # no wave of few
     model.trees = _in_many_tasks(coded(whole, how, model.base).repartition(tasks), bags, rate, GROWN * CELLS * top[0] / top[2], wide, *how_to)
     return model
 
